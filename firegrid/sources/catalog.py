@@ -133,35 +133,29 @@ def find_burn_probability(
     )
 
 
-def find_behavior_raster(files: DataFrame, requests: DataFrame) -> DataFrame:
+def find_behavior_raster(files: DataFrame, requests: Sequence[tuple[str, str]]) -> DataFrame:
     """Raster per request ``(percentile, band)``: the first file of the folder named after the
-    percentile, else the first whose stem contains both band and percentile."""
-    parent = F.element_at(F.split("path", "/"), -2)
-    tifs = files.where(F.lower("path").endswith(".tif"))
-    in_folder = (
-        tifs.select(parent.alias("percentile"), "path")
-        .groupBy("percentile")
-        .agg(F.min("path").alias("_first"))
+    percentile, else the first whose stem contains both band and percentile. A request without
+    any file is an error. ``requests`` is the caller's short list."""
+    pairs = F.explode(
+        F.array(
+            *[F.struct(F.lit(p).alias("percentile"), F.lit(b).alias("band")) for p, b in requests]
+        )
     )
+    parent = F.element_at(F.split("path", "/"), -2)
     stem = F.lower(file_stem("path"))
-    by_name = (
-        tifs.join(
-            F.broadcast(requests.select("percentile", "band").distinct()),
-            F.contains(stem, F.lower("percentile")) & F.contains(stem, F.lower("band")),
-        )
+    in_folder = parent == F.col("percentile")
+    named = F.contains(stem, F.lower("percentile")) & F.contains(stem, F.lower("band"))
+    found = (
+        files.where(F.lower("path").endswith(".tif"))
+        .withColumn("_p", pairs)
+        .select("path", "_p.percentile", "_p.band")
+        .where(in_folder | named)
         .groupBy("percentile", "band")
-        .agg(F.min("path").alias("_named"))
-    )
-    out = requests.join(in_folder, "percentile", "left").join(
-        by_name, ["percentile", "band"], "left"
+        .agg(F.min_by("path", F.struct((~in_folder).cast("int"), F.col("path"))).alias("path"))
     )
-    path = F.coalesce("_first", "_named")
-    return out.select(
-        "percentile", "band",
-        F.when(
-            path.isNull(),
-            F.raise_error(F.concat(F.lit("no raster for "), "percentile", F.lit(" "), "band")),
-        ).otherwise(path).alias("path"),
+    wanted = files.sparkSession.createDataFrame(list(requests), "percentile string, band string")
+    problem = F.raise_error(F.concat(F.lit("no raster for "), "percentile", F.lit(" "), "band"))
+    return F.broadcast(wanted).join(found, ["percentile", "band"], "left").select(
+        "percentile", "band", F.coalesce("path", problem.cast("string")).alias("path")
     )
-
-
