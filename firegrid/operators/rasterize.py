@@ -102,6 +102,8 @@ def line_spans(edges: DataFrame, grid: Grid, keys: Sequence[str] = ("feature_id"
     lower = F.least(F.col("row") + 1.0, F.greatest("ay", "by"))
     xa = F.when(flat, F.col("ax")).otherwise(x_at(upper))
     xb = F.when(flat, F.col("bx")).otherwise(x_at(lower))
+    # Where the segment leaves through the bottom of the row, that end belongs to the next row.
+    leaves = ~flat & (F.col("row") + 1.0 <= F.greatest("ay", "by")) & (F.col("_xb") > F.col("_xa"))
     spans = (
         e.withColumns({"_low": low, "_high": high})
         .where(F.col("_low") <= F.col("_high"))
@@ -111,7 +113,7 @@ def line_spans(edges: DataFrame, grid: Grid, keys: Sequence[str] = ("feature_id"
             *keys,
             "row",
             F.floor(F.least("_xa", "_xb")).alias("c0"),
-            F.floor(F.greatest("_xa", "_xb")).alias("c1"),
+            F.when(leaves, F.ceil("_xb") - 1).otherwise(F.floor(F.greatest("_xa", "_xb"))).alias("c1"),
         )
     )
     return merge_spans(_clip_cols(spans, grid), keys)

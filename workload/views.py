@@ -182,9 +182,9 @@ VIEWS["fires"] = """
 SELECT p_partkey AS fire_id, CAST(p_partkey % 8 AS STRING) AS pyrome_id,
   (CAST((p_partkey * 37) % 1000 AS DOUBLE) / 10 + 0.03) * 30 AS x,
   -(CAST(p_partkey * 7 AS DOUBLE) / 100 + 0.013) * 30 AS y,
-  CAST(-112 AS DOUBLE) + CAST((p_partkey * 37) % 150 AS DOUBLE) / 20 + 0.0213
-    + CAST(p_partkey % 20 AS DOUBLE) / 1000 AS lon,
-  CAST(36 AS DOUBLE) + CAST(p_partkey DIV 20 AS DOUBLE) / 20 + 0.0131 AS lat,
+  CAST(-112 AS DOUBLE) + CAST((p_partkey * 37) % 150 AS DOUBLE) / 20 + CAST(0.0213 AS DOUBLE)
+    + CAST((p_partkey % 20) * 113 AS DOUBLE) / 100000 AS lon,
+  CAST(36 AS DOUBLE) + CAST(p_partkey DIV 20 AS DOUBLE) / 20 + CAST(0.01317 AS DOUBLE) AS lat,
   CASE p_partkey % 3 WHEN 0 THEN DATE '2015-07-01' WHEN 1 THEN DATE '2017-07-01'
        ELSE DATE '2017-07-02' END AS ignition_date,
   CASE WHEN p_size <= 7 THEN 'A' WHEN p_size <= 14 THEN 'B' WHEN p_size <= 21 THEN 'C'
@@ -289,7 +289,7 @@ SELECT DISTINCT feature_id, row, col FROM {px} JOIN {zone_ge}
 WHERE greatest(0::DOUBLE,
         CASE WHEN bx = ax THEN 0 ELSE least((col - ax) / (bx - ax), (col + 1 - ax) / (bx - ax)) END,
         CASE WHEN b_y = ay THEN 0 ELSE least((row - ay) / (b_y - ay), (row + 1 - ay) / (b_y - ay)) END)
-   <= least(1::DOUBLE,
+   < least(1::DOUBLE,
         CASE WHEN bx = ax THEN 1 ELSE greatest((col - ax) / (bx - ax), (col + 1 - ax) / (bx - ax)) END,
         CASE WHEN b_y = ay THEN 1 ELSE greatest((row - ay) / (b_y - ay), (row + 1 - ay) / (b_y - ay)) END)""",
     "zone_touched": "SELECT feature_id, row, col FROM {zone_cells} UNION SELECT feature_id, row, col FROM {zone_border}",
