@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -196,61 +195,73 @@ def first_difference(curve: DataFrame, keys: Sequence[str] = ("treatment",)) ->
     return curve.withColumn("diff", F.col("mean_value") - F.lag("mean_value").over(w))
 
 
-def _changepoints(x: list[float], penalty: float, min_size: int = 2, jump: int = 5) -> list[int]:
-    """End positions of the optimal segmentation under the RBF segment cost."""
-    n = len(x)
-    d2 = [[(a - b) ** 2 for b in x] for a in x]
-    upper = sorted(d2[i][j] for i in range(n) for j in range(i + 1, n))
-    mid = pd.Series(upper).median() if upper else 0.0
-    gamma = 1.0 / mid if mid else 1.0
-    gram = [[math.exp(-min(max(v * gamma, 1e-2), 1e2)) if i != j else 1.0
-             for j, v in enumerate(r)] for i, r in enumerate(d2)]
-
-    def cost(s: int, e: int) -> float:
-        size = e - s
-        return size - sum(gram[i][j] for i in range(s, e) for j in range(s, e)) / size
-
-    ends = [e for e in range(jump, n, jump) if e >= min_size] + [n]
-    best: dict[int, tuple[float, list[int]]] = {0: (-penalty, [])}
-    for e in ends:
-        options = [
-            (best[s][0] + cost(s, e) + penalty, best[s][1] + [e])
-            for s in best
-            if e - s >= min_size
-        ]
-        if options:
-            best[e] = min(options, key=lambda o: o[0])
-    return best[n][1] if n in best else [n]
+def _curve_solver(key: str, penalty: float, min_size: int = 2, jump: int = 5):
+    """Grouped function for :func:`levelling_off`. Self-contained, so that executors need nothing
+    but pandas."""
+
+    def segment_cost(x: list[float]):
+        import math as m
+        from itertools import combinations
+        from statistics import median
+
+        squares = [(a - b) ** 2 for a, b in combinations(x, 2)]
+        middle = median(squares) if squares else 0.0
+        gamma = 1.0 / middle if middle else 1.0
+
+        def similarity(i: int, j: int) -> float:
+            return 1.0 if i == j else m.exp(-min(max(gamma * (x[i] - x[j]) ** 2, 1e-2), 1e2))
+
+        return lambda s, e: (e - s) - sum(
+            similarity(i, j) for i in range(s, e) for j in range(s, e)
+        ) / (e - s)
+
+    def first_break(x: list[float]) -> int:
+        """First end of the segmentation with the least total cost (dynamic programme over the
+        admissible ends: multiples of ``jump`` and the series' end)."""
+        n, cost = len(x), segment_cost(x)
+        best = {0: (0.0, None)}
+        for end in [e for e in range(jump, n, jump)] + [n]:
+            starts = [s for s in best if end - s >= min_size]
+            if starts:
+                s = min(starts, key=lambda s: best[s][0] + cost(s, end))
+                best[end] = (best[s][0] + cost(s, end) + penalty, s)
+        at = n
+        while at in best and best[at][1]:
+            at = best[at][1]
+        return at
+
+    def solve(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("buffer_ft")
+        diffs = pdf["mean_value"].diff().iloc[1:].tolist()
+        at = first_break(diffs) if diffs else None
+        stable = None if at is None else int(pdf["buffer_ft"].iloc[at])
+        return pd.DataFrame(
+            {
+                key: [pdf[key].iloc[0]],
+                "stable_ft": pd.array([stable], dtype="Int32"),
+                "found": [at is not None and at < len(diffs)],
+            }
+        )
+
+    return solve
 
 
 def levelling_off(
     curve: DataFrame, key: str = "treatment", penalty: float = 1.0
 ) -> DataFrame:
     """Distance at which the buffer curve levels off: the first changepoint of its first
-    differences. ``found`` is false when that is just the end of the series.
+    differences (radial-basis segment cost). ``found`` is false when that is just the end of the
+    series.
 
     The grouped function sees one curve of a treatment, i.e. one row per buffer distance (30).
     """
     kind = curve.schema[key].dataType.simpleString()
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("buffer_ft")
-        diffs = pdf["mean_value"].diff().iloc[1:].tolist()
-        if not diffs:
-            return pd.DataFrame({key: pdf[key].iloc[:1], "stable_ft": None, "found": False})
-        first = _changepoints(diffs, penalty)[0]
-        return pd.DataFrame(
-            {
-                key: [pdf[key].iloc[0]],
-                "stable_ft": [int(pdf["buffer_ft"].iloc[first])],
-                "found": [first < len(diffs)],
-            }
-        )
-
     return (
         curve.select(key, "buffer_ft", "mean_value")
         .groupBy(key)
-        .applyInPandas(solve, f"{key} {kind}, stable_ft int, found boolean")
+        .applyInPandas(_curve_solver(key, penalty), f"{key} {kind}, stable_ft int, found boolean")
     )
 
 

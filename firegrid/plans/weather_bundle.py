@@ -27,17 +27,17 @@ def weather_bundle(
     ERC matrix, mean and deviation, ERC classes, current-season ERC. Every list is bounded by
     years x 214 values."""
     season = season_erc(wx, region)
-    days = lambda df, c: df.groupBy(region).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("dos", c))), lambda s: s[c]).alias(c)
-    )
-    stats = erc_stats(season, region).groupBy(region).agg(
-        *[
-            F.transform(F.array_sort(F.collect_list(F.struct("dos", c))), lambda s, c=c: s[c]).alias(c)
-            for c in ("erc_avg", "erc_std")
-        ]
-    )
-    now = days(current_erc(season, current_start, current_days, region), "erc").withColumnRenamed(
-        "erc", "current_erc"
+
+    def by_day(c: str):
+        pairs = F.array_sort(F.collect_list(F.struct("dos", c)))
+        return F.transform(pairs, lambda s: s.getField(c)).alias(c)
+
+    stats = erc_stats(season, region).groupBy(region).agg(by_day("erc_avg"), by_day("erc_std"))
+    now = (
+        current_erc(season, current_start, current_days, region)
+        .groupBy(region)
+        .agg(by_day("erc"))
+        .withColumnRenamed("erc", "current_erc")
     )
     table = classes if classes is not None else erc_classes(wx, region)
     class_rows = table.groupBy(region).agg(

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,7 +20,31 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 CELL = 30.0
 NCOLS = 100
 
-VIEWS: dict[str, str] = {}
+VIEWS: dict[str, "str | Branches"] = {}
+
+
+@dataclass(frozen=True)
+class Branches:
+    """Several rows per source row. Spark expands one scan with ``inline``; the checker gets a
+    UNION ALL of one SELECT per branch."""
+
+    source: str
+    rows: tuple[tuple[str | None, dict[str, str]], ...]
+
+    def spark_sql(self) -> str:
+        def struct(cond: str | None, cols: dict[str, str]) -> str:
+            body = ", ".join(f"'{n}', {e}" for n, e in cols.items())
+            return f"CASE WHEN {cond or 'true'} THEN named_struct({body}) END"
+
+        items = ",\n".join(struct(c, cols) for c, cols in self.rows)
+        return f"SELECT inline(filter(array({items}), s -> s IS NOT NULL)) FROM {{{self.source}}}"
+
+    def union_sql(self) -> str:
+        def select(cond: str | None, cols: dict[str, str]) -> str:
+            body = ", ".join(f"{e} AS {n}" for n, e in cols.items())
+            return f"SELECT {body} FROM {{{self.source}}}" + (f" WHERE {cond}" if cond else "")
+
+        return "\nUNION ALL\n".join(select(c, cols) for c, cols in self.rows)
 
 
 def _fuel_code(i: str) -> str:
@@ -62,34 +87,39 @@ FROM {{orders}}"""
 TYPES = ("Mech Thin", "Hand/Pile", "Rx Fire")
 
 # Simulated fire behaviour, untreated and under each treatment type, at two percentiles.
-VIEWS["fire_bl"] = "\nUNION ALL\n".join(
-    f"""SELECT '{pct}' AS percentile, row, col,
-  CASE WHEN pix % 97 = 5 THEN NULL ELSE CAST((pix * {m} + seed) % 600 AS DOUBLE) / 100 END AS flamelength,
-  CASE WHEN pix % 89 = 7 THEN NULL ELSE CAST((pix * {m} + seed) % 4 AS DOUBLE) END AS crownstate,
-  CAST((pix * {m} * 7919) % 40000 AS DOUBLE) AS heatarea
-FROM {{px}}"""
+VIEWS["fire_bl"] = Branches("px", tuple(
+    (None, {
+        "percentile": f"'{pct}'", "row": "row", "col": "col",
+        "flamelength": f"CASE WHEN pix % 97 = 5 THEN NULL ELSE CAST((pix * {m} + seed) % 600 AS DOUBLE) / 100 END",
+        "crownstate": f"CASE WHEN pix % 89 = 7 THEN NULL ELSE CAST((pix * {m} + seed) % 4 AS DOUBLE) END",
+        "heatarea": f"CAST((pix * {m} * 7919) % 40000 AS DOUBLE)",
+    })
     for pct, m in (("Pct50", 37), ("Pct90", 53))
-)
-VIEWS["fire_tr"] = "\nUNION ALL\n".join(
-    f"""SELECT '{t}' AS type, '{pct}' AS percentile, row, col,
-  CASE WHEN pix % 91 = {k} THEN NULL ELSE CAST((pix * {m + k} + seed) % 450 AS DOUBLE) / 100 END AS flamelength,
-  CASE WHEN pix % 73 = {k} THEN NULL ELSE CAST((pix * {m} + seed + {k}) % 3 AS DOUBLE) END AS crownstate,
-  CAST((pix * {m + k} * 7919) % 30000 AS DOUBLE) AS heatarea
-FROM {{px}}"""
+))
+VIEWS["fire_tr"] = Branches("px", tuple(
+    (None, {
+        "type": f"'{t}'", "percentile": f"'{pct}'", "row": "row", "col": "col",
+        "flamelength": f"CASE WHEN pix % 91 = {k} THEN NULL ELSE CAST((pix * {m + k} + seed) % 450 AS DOUBLE) / 100 END",
+        "crownstate": f"CASE WHEN pix % 73 = {k} THEN NULL ELSE CAST((pix * {m} + seed + {k}) % 3 AS DOUBLE) END",
+        "heatarea": f"CAST((pix * {m + k} * 7919) % 30000 AS DOUBLE)",
+    })
     for k, t in enumerate(TYPES)
     for pct, m in (("Pct50", 41), ("Pct90", 59))
-)
-VIEWS["bp_tr"] = "\nUNION ALL\n".join(
-    f"""SELECT '{t}' AS type, row, col,
-  CASE WHEN pix % 79 = {k} THEN NULL ELSE CAST((pix * {29 + k} + seed) % 97 AS DOUBLE) / 100 END AS bp
-FROM {{px}}"""
+))
+VIEWS["bp_tr"] = Branches("px", tuple(
+    (None, {
+        "type": f"'{t}'", "row": "row", "col": "col",
+        "bp": f"CASE WHEN pix % 79 = {k} THEN NULL ELSE CAST((pix * {29 + k} + seed) % 97 AS DOUBLE) / 100 END",
+    })
     for k, t in enumerate(TYPES)
-)
-VIEWS["sdi_tr"] = "\nUNION ALL\n".join(
-    f"""SELECT '{t}' AS type, row, col, CAST((pix * {19 + k} + seed) % 800 AS INT) AS sdi
-FROM {{px}}"""
+))
+VIEWS["sdi_tr"] = Branches("px", tuple(
+    (None, {
+        "type": f"'{t}'", "row": "row", "col": "col",
+        "sdi": f"CAST((pix * {19 + k} + seed) % 800 AS INT)",
+    })
     for k, t in enumerate(TYPES)
-)
+))
 
 # Treatment polygons: one per supplier, with overlaps; some have a hole or a second part, some
 # are smaller than a cell, some lie off the grid. Columns g* are grid units, y grows upward.
@@ -109,24 +139,17 @@ _SHAPES = (
 VIEWS["zone_base"] = _BASE
 
 
-def _shape_edges() -> str:
-    parts = []
+def _shape_edges():
     for cond, offset, part, ring, corners in _SHAPES:
         for i, (a, b) in enumerate(zip(corners, corners[1:] + corners[:1], strict=True)):
-            point = lambda c: f"(u + {c[0]}) * 30.0 AS x{{n}}, -(w + {c[1]}) * 30.0 AS y{{n}}"
-            first, second = point(a).replace("{n}", "1"), point(b).replace("{n}", "2")
-            parts.append(
-                f"SELECT s + {offset} AS feature_id, {part} AS part, {ring} AS ring, {i} AS seq, "
-                f"{first}, {second} FROM {{zone_base}} WHERE {cond}"
-            )
-    body = "\nUNION ALL\n".join(parts)
-    return (
-        "SELECT feature_id, part, ring, seq, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1, "
-        f"CAST(x2 AS DOUBLE) AS x2, CAST(y2 AS DOUBLE) AS y2 FROM (\n{body}\n) t"
-    )
+            yield cond, {
+                "feature_id": f"s + {offset}", "part": str(part), "ring": str(ring), "seq": str(i),
+                "x1": f"CAST((u + {a[0]}) * 30 AS DOUBLE)", "y1": f"CAST(-(w + {a[1]}) * 30 AS DOUBLE)",
+                "x2": f"CAST((u + {b[0]}) * 30 AS DOUBLE)", "y2": f"CAST(-(w + {b[1]}) * 30 AS DOUBLE)",
+            }
 
 
-VIEWS["zone_edges"] = _shape_edges()
+VIEWS["zone_edges"] = Branches("zone_base", tuple(_shape_edges()))
 VIEWS["zone_attr"] = f"""
 SELECT feature_id, feature_id AS ord,
   CASE s_nationkey % 3 WHEN 0 THEN '{TYPES[0]}' WHEN 1 THEN '{TYPES[1]}' ELSE '{TYPES[2]}' END AS type,
@@ -139,14 +162,16 @@ VIEWS["region_base"] = (
     "SELECT DISTINCT CAST((o_orderkey % 100) DIV 25 AS INT) AS rc, "
     "CAST((o_orderkey DIV 100) DIV 40 AS INT) AS rr FROM {orders}"
 )
-VIEWS["region_edges"] = "\nUNION ALL\n".join(
-    f"SELECT rr * 4 + rc AS region_id, 0 AS part, 0 AS ring, {i} AS seq, "
-    f"(rc * 25 + {x1}) * 30.0D0 AS x1, -(rr * 40 + {y1}) * 30.0D0 AS y1, "
-    f"(rc * 25 + {x2}) * 30.0D0 AS x2, -(rr * 40 + {y2}) * 30.0D0 AS y2 FROM {{region_base}}"
+VIEWS["region_edges"] = Branches("region_base", tuple(
+    (None, {
+        "region_id": "rr * 4 + rc", "part": "0", "ring": "0", "seq": str(i),
+        "x1": f"CAST((rc * 25 + {x1}) * 30 AS DOUBLE)", "y1": f"CAST(-(rr * 40 + {y1}) * 30 AS DOUBLE)",
+        "x2": f"CAST((rc * 25 + {x2}) * 30 AS DOUBLE)", "y2": f"CAST(-(rr * 40 + {y2}) * 30 AS DOUBLE)",
+    })
     for i, (x1, y1, x2, y2) in enumerate(
         ((0, 0, 25, 0), (25, 0, 25, 40), (25, 40, 0, 40), (0, 40, 0, 0))
     )
-).replace("30.0D0", "CAST(30 AS DOUBLE)")
+))
 
 # Roads: one segment per customer in the left part of the grid; trails: one per part.
 VIEWS["roads"] = """
@@ -164,18 +189,18 @@ SELECT p_partkey + 1000000 AS feature_id,
   -(CAST(p_partkey DIV 13 + p_partkey % 3 AS DOUBLE) + 0.84375) * 30 AS y2
 FROM {part}"""
 # Boundary lines: a three-segment polyline per supplier.
-VIEWS["pod_lines"] = "\nUNION ALL\n".join(
-    f"""SELECT s_suppkey AS feature_id, {i} AS seq,
-  (CAST((s_suppkey * 41) % 80 AS DOUBLE) + {ax}) * 30 AS x1,
-  -(CAST((s_suppkey * 3) DIV 2 AS DOUBLE) + {ay}) * 30 AS y1,
-  (CAST((s_suppkey * 41) % 80 AS DOUBLE) + {bx}) * 30 AS x2,
-  -(CAST((s_suppkey * 3) DIV 2 AS DOUBLE) + {by}) * 30 AS y2
-FROM {{supplier}}"""
+_POD_X = "(CAST((s_suppkey * 41) % 80 AS DOUBLE) + {0}) * 30"
+_POD_Y = "-(CAST((s_suppkey * 3) DIV 2 AS DOUBLE) + {0}) * 30"
+VIEWS["pod_lines"] = Branches("supplier", tuple(
+    (None, {
+        "feature_id": "s_suppkey", "seq": str(i), "x1": _POD_X.format(ax), "y1": _POD_Y.format(ay),
+        "x2": _POD_X.format(bx), "y2": _POD_Y.format(by),
+    })
     for i, (ax, ay, bx, by) in enumerate(
         ((0.3125, 0.40625, 4.8125, 1.65625), (4.8125, 1.65625, 6.3125, 5.15625),
          (6.3125, 5.15625, 12.5625, 6.40625))
     )
-)
+))
 
 # Fires: points on the grid and as geographic positions.
 VIEWS["fires"] = """
@@ -196,14 +221,15 @@ VIEWS["lattice"] = """
 SELECT o_orderkey AS gid, CAST(248 AS DOUBLE) + CAST(o_orderkey % 150 AS DOUBLE) / 20 AS lon,
   CAST(36 AS DOUBLE) + CAST(o_orderkey DIV 150 AS DOUBLE) / 20 AS lat
 FROM {orders}"""
-VIEWS["wind_grid"] = "\nUNION ALL\n".join(
-    f"""SELECT gid, lon, lat, DATE '{d}' AS valid_date, {h} AS utc_hour,
-  CAST((gid * {7 + h}) % 200 AS DOUBLE) / 10 - 10 AS u,
-  CAST((gid * {13 + k}) % 180 AS DOUBLE) / 10 - 9 AS v
-FROM {{lattice}}"""
+VIEWS["wind_grid"] = Branches("lattice", tuple(
+    (None, {
+        "gid": "gid", "lon": "lon", "lat": "lat", "valid_date": f"DATE '{d}'", "utc_hour": str(h),
+        "u": f"CAST((gid * {7 + h}) % 200 AS DOUBLE) / 10 - 10",
+        "v": f"CAST((gid * {13 + k}) % 180 AS DOUBLE) / 10 - 9",
+    })
     for k, d in enumerate(("2017-07-01", "2017-07-02"))
     for h in (19, 20)
-)
+))
 
 # Daily weather of eight regions over seven years, with duplicates and gaps, raw and normalised.
 VIEWS["wx_raw"] = """
@@ -246,69 +272,78 @@ SELECT concat('pct', CAST(n_nationkey AS STRING)) AS Scenario, n_nationkey + 5 A
   CASE WHEN n_regionkey % 2 = 0 THEN 'Yes' ELSE 'No' END AS GRIDDED_WINDS_GENERATE
 FROM {nation}"""
 HVRAS = ("Total", "Water", "Timber")
-VIEWS["nvc_bl"] = "\nUNION ALL\n".join(
-    f"SELECT '{'Composite' if h == 'Total' else h}' AS hvra, row, col, "
-    f"CASE WHEN pix % 67 = {k} THEN NULL ELSE CAST((pix * {5 + k} + seed) % 41 - 20 AS DOUBLE) END AS nvc "
-    "FROM {px}"
+VIEWS["nvc_bl"] = Branches("px", tuple(
+    (None, {
+        "hvra": f"'{'Composite' if h == 'Total' else h}'", "row": "row", "col": "col",
+        "nvc": f"CASE WHEN pix % 67 = {k} THEN NULL ELSE CAST((pix * {5 + k} + seed) % 41 - 20 AS DOUBLE) END",
+    })
     for k, h in enumerate(HVRAS)
-)
-VIEWS["nvc_tr"] = "\nUNION ALL\n".join(
-    f"SELECT '{h}' AS hvra, '{t}' AS type, row, col, "
-    f"CASE WHEN pix % 61 = {k} THEN NULL ELSE CAST((pix * {7 + k} + seed * {j + 1}) % 31 - 12 AS DOUBLE) END AS nvc "
-    "FROM {px}"
+))
+VIEWS["nvc_tr"] = Branches("px", tuple(
+    (None, {
+        "hvra": f"'{h}'", "type": f"'{t}'", "row": "row", "col": "col",
+        "nvc": f"CASE WHEN pix % 61 = {k} THEN NULL ELSE CAST((pix * {7 + k} + seed * {j + 1}) % 31 - 12 AS DOUBLE) END",
+    })
     for k, h in enumerate(HVRAS)
     for j, t in enumerate(TYPES)
-)
+))
 FEAS = ("hand", "mech", "rx", "mow")
-VIEWS["feas"] = "\nUNION ALL\n".join(
-    f"SELECT '{s}' AS scenario, row, col, CAST((pix + seed * {k + 1}) % 3 AS INT) AS feas FROM {{px}}"
+VIEWS["feas"] = Branches("px", tuple(
+    (None, {
+        "scenario": f"'{s}'", "row": "row", "col": "col",
+        "feas": f"CAST((pix + seed * {k + 1}) % 3 AS INT)",
+    })
     for k, s in enumerate(FEAS)
-)
+))
 VIEWS["masks"] = """
 SELECT row, col, CAST(CASE WHEN seed % 9 = 0 THEN 0 ELSE 1 END AS INT) AS undisturbed,
   CAST(CASE WHEN fbfm40 < 100 THEN 0 ELSE 1 END AS INT) AS burnable,
   CAST(CASE WHEN pix % 53 = 0 THEN NULL WHEN pix % 13 = 0 THEN 0 ELSE 1 END AS INT) AS bps
 FROM {px}"""
 
-# Checker-only: cells of polygons and lines by brute force (every pixel against every edge).
-CHECK_VIEWS = {
-    "zone_ge": "SELECT feature_id, x1 / 30 AS ax, -y1 / 30 AS ay, x2 / 30 AS bx, -y2 / 30 AS b_y FROM {zone_edges}",
-    "zone_cells": """
-SELECT feature_id, row, col FROM {px} JOIN {zone_ge}
+_GE = "(SELECT *, x1 / 30 AS ax, -y1 / 30 AS ay, x2 / 30 AS bx, -y2 / 30 AS b_y FROM {{{0}}})"
+
+
+def cells_sql(edges: str, key: str = "feature_id") -> str:
+    """Pixels whose centre lies inside a polygon, by the parity of the edges to their left."""
+    return f"""
+SELECT {key}, row, col FROM {{px}} JOIN {_GE.format(edges)}
   ON least(ay, b_y) <= row + 0.5::DOUBLE AND row + 0.5::DOUBLE < greatest(ay, b_y)
  AND ax + (row + 0.5::DOUBLE - ay) * (bx - ax) / (b_y - ay) <= col + 0.5::DOUBLE
-GROUP BY feature_id, row, col HAVING count(*) % 2 = 1""",
+GROUP BY {key}, row, col HAVING count(*) % 2 = 1"""
+
+
+def border_sql(edges: str, key: str = "feature_id") -> str:
+    """Pixels crossed by a segment: through the inside or through the top left corner they own."""
+    return f"""
+SELECT DISTINCT {key}, row, col FROM (
+ SELECT *, greatest(0::DOUBLE,
+        CASE WHEN bx = ax THEN 0 ELSE least((col - ax) / (bx - ax), (col + 1 - ax) / (bx - ax)) END,
+        CASE WHEN b_y = ay THEN 0 ELSE least((row - ay) / (b_y - ay), (row + 1 - ay) / (b_y - ay)) END) AS lo,
+   least(1::DOUBLE,
+        CASE WHEN bx = ax THEN 1 ELSE greatest((col - ax) / (bx - ax), (col + 1 - ax) / (bx - ax)) END,
+        CASE WHEN b_y = ay THEN 1 ELSE greatest((row - ay) / (b_y - ay), (row + 1 - ay) / (b_y - ay)) END) AS hi
+ FROM {{px}} JOIN {_GE.format(edges)}
+  ON floor(least(ay, b_y)) <= row AND row <= floor(greatest(ay, b_y))
+ AND floor(least(ax, bx)) <= col AND col <= floor(greatest(ax, bx)))
+WHERE lo < hi OR (lo = hi AND abs(ax + lo * (bx - ax) - col) < 1e-9 AND abs(ay + lo * (b_y - ay) - row) < 1e-9)"""
+
+
+# Checker-only: cells of polygons and lines by brute force (every pixel against every edge).
+CHECK_VIEWS = {
+    "zone_cells": cells_sql("zone_edges"),
+    "zone_border": border_sql("zone_edges"),
+    "zone_touched": "SELECT * FROM {zone_cells} UNION SELECT * FROM {zone_border}",
     "zone_grid": "SELECT row, col, max(feature_id) AS feature_id FROM {zone_cells} GROUP BY row, col",
     "zone_grid_type": """
 SELECT type, row, col, max(feature_id) AS feature_id FROM {zone_cells}
 JOIN {zone_attr} USING (feature_id) GROUP BY type, row, col""",
-    "zone_border": """
-SELECT DISTINCT feature_id, row, col FROM {px} JOIN {zone_ge}
-  ON floor(least(ay, b_y)) <= row AND row <= floor(greatest(ay, b_y))
- AND floor(least(ax, bx)) <= col AND col <= floor(greatest(ax, bx))
-WHERE greatest(0::DOUBLE,
-        CASE WHEN bx = ax THEN 0 ELSE least((col - ax) / (bx - ax), (col + 1 - ax) / (bx - ax)) END,
-        CASE WHEN b_y = ay THEN 0 ELSE least((row - ay) / (b_y - ay), (row + 1 - ay) / (b_y - ay)) END)
-   < least(1::DOUBLE,
-        CASE WHEN bx = ax THEN 1 ELSE greatest((col - ax) / (bx - ax), (col + 1 - ax) / (bx - ax)) END,
-        CASE WHEN b_y = ay THEN 1 ELSE greatest((row - ay) / (b_y - ay), (row + 1 - ay) / (b_y - ay)) END)""",
-    "zone_touched": "SELECT feature_id, row, col FROM {zone_cells} UNION SELECT feature_id, row, col FROM {zone_border}",
-    "region_cells": """
-SELECT (row // 40) * 4 + col // 25 AS region_id, row, col FROM {px}""",
+    "region_cells": "SELECT (row // 40) * 4 + col // 25 AS region_id, row, col FROM {px}",
+    "road_cells": border_sql("roads", "highway_code, feature_id"),
+    "trail_cells": border_sql("trails"),
+    "pod_cells": border_sql("pod_lines"),
 }
 
-
-def _line_cells(source: str) -> str:
-    ge = f"(SELECT *, x1 / 30 AS ax, -y1 / 30 AS ay, x2 / 30 AS bx, -y2 / 30 AS b_y FROM {{{source}}})"
-    return CHECK_VIEWS["zone_border"].replace("{zone_ge}", ge)
-
-
-CHECK_VIEWS["road_cells"] = _line_cells("roads").replace(
-    "DISTINCT feature_id,", "DISTINCT highway_code, feature_id,"
-)
-CHECK_VIEWS["trail_cells"] = _line_cells("trails")
-CHECK_VIEWS["pod_cells"] = _line_cells("pod_lines")
-
 _REF = re.compile(r"\{(\w+)\}")
 
 
@@ -321,6 +356,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in TABLES:
         return table(spark, sf_dir, name)
     text = VIEWS[name]
+    if isinstance(text, Branches):
+        text = text.spark_sql()
     refs = {r: view(spark, sf_dir, r) for r in set(_REF.findall(text))}
     return spark.sql(text, **refs)
 
@@ -328,6 +365,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def duck(body: str, **extra: str) -> str:
     """A checking query: ``{view}`` references become CTEs in dependency order."""
     texts = {**VIEWS, **CHECK_VIEWS, **extra}
+    texts = {n: v.union_sql() if isinstance(v, Branches) else v for n, v in texts.items()}
     order: list[str] = []
 
     def need(sql: str) -> None:
