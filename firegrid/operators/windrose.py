@@ -177,11 +177,12 @@ def hourly_wind_rows(
     cloud_cover: int = 0,
     utc_offset_hours: int = 0,
     strict: bool = True,
+    keys: Sequence[str] = (),
 ) -> DataFrame:
     """Hourly wind block of a conditioning period, sorted by time.
 
     The time comes from ``datetime``, or ``date`` plus ``hour``, or ``date`` plus ``utc_hour``
-    shifted by ``utc_offset_hours``.
+    shifted by ``utc_offset_hours``. ``keys`` (e.g. the region) are carried along.
     """
     hours_later = lambda h: F.make_dt_interval(hours=h)
     day = F.col("date").cast("timestamp")
@@ -201,11 +202,11 @@ def hourly_wind_rows(
         obs.withColumn("_t", when)
         .where(F.col("_t").between(begin, end) & F.hour("_t").isin([int(h) for h in hours]))
         .select(
-            "_t", F.month("_t").alias("month"), F.day("_t").alias("day"),
+            *keys, "_t", F.month("_t").alias("month"), F.day("_t").alias("day"),
             (F.hour("_t") * 100).alias("hhmm"), whole(F.col("ws_mph")).alias("speed"),
             whole(F.col("wd_deg")).alias("direction"), cloud.alias("cloud_cover"),
         )
     )
     if strict and rows.isEmpty():
         raise ValueError(f"no records for hours {list(hours)} in {start_date} to {end_date}")
-    return rows.orderBy("_t", "speed", "direction").withColumnRenamed("_t", "time")
+    return rows.orderBy(*keys, "_t", "speed", "direction").withColumnRenamed("_t", "time")

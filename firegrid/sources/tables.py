@@ -156,27 +156,26 @@ def read_scenarios(spark: SparkSession, path: str, lcp_dir: str | None = None) -
     return resolve_scenarios(spark.read.csv(path, header=True, inferSchema=True, escape='"'), lcp_dir)
 
 
-def read_rtc(spark: SparkSession, path: str) -> DataFrame:
-    """``code:value`` lines; blanks and ``#`` lines are skipped, anything else must parse.
-
-    A lookup table of a few dozen lines; a malformed line fails with its line number.
-    """
-    from .ascii_grid import numbered_lines
-
+def parse_rtc(lines: DataFrame) -> DataFrame:
+    """``code:value`` lines → ``(code, rtc)``. Blanks and ``#`` lines are skipped; anything else
+    must parse, or the job fails naming the line."""
     text = F.trim("value")
     parts = F.split(text, ":")
-    ok = (F.size(parts) == 2) & parts[0].try_cast("int").isNotNull() & parts[1].try_cast(
-        "double"
-    ).isNotNull()
-    bad = F.concat(
-        F.lit("cannot parse line "), (F.col("line_no") + 1).cast("string"), F.lit(": "), text
+    code, value = F.get(parts, F.lit(0)).try_cast("int"), F.get(parts, F.lit(1)).try_cast("double")
+    ok = (F.size(parts) == 2) & code.isNotNull() & value.isNotNull()
+    problem = F.raise_error(
+        F.concat(F.lit("cannot parse line "), (F.col("line_no") + 1).cast("string"), F.lit(": "), text)
     )
-    table = (
-        numbered_lines(spark, path)
-        .where((text != "") & ~F.startswith(text, F.lit("#")))
-        .withColumn("_code", F.when(ok, parts[0].try_cast("int")).otherwise(F.raise_error(bad).cast("int")))
-        .select(F.col("_code").alias("code"), parts[1].try_cast("double").alias("rtc"))
+    return lines.where((text != "") & ~F.startswith(text, F.lit("#"))).select(
+        F.when(ok, code).otherwise(problem.cast("int")).alias("code"), value.alias("rtc")
     )
+
+
+def read_rtc(spark: SparkSession, path: str) -> DataFrame:
+    """Resistance-to-control table of a text file; an empty one is an error."""
+    from .ascii_grid import numbered_lines
+
+    table = parse_rtc(numbered_lines(spark, path))
     if table.isEmpty():
         raise ValueError(f"no entries in lookup table {path}")
     return table
