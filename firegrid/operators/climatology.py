@@ -129,8 +129,8 @@ def erc_classes(
     """ERC classes per region, most extreme first, with median fuel moistures.
 
     Class limits are equal-count quantiles; classes are closed on both sides, so a value on a
-    limit belongs to both neighbours. An empty class would fall back to the whole record; with
-    interpolated quantiles and a non-empty region that happens only between two observations.
+    limit belongs to both neighbours. A class between two observations may be empty; it takes the
+    medians of the region's whole record, which is read again only in that case.
     """
     require_columns(wx, [region, "erc", "fm100", "tmmx_f", "rmin", "doy"], "weather")
     if len(spotting) != n_classes:
@@ -156,15 +156,14 @@ def erc_classes(
             )
         ).alias("class"),
     )
-    inside = medians(members, [region, "class"], _dead_fuel())
-    overall = medians(wx, [region], {f"all_{k}": v for k, v in _dead_fuel().items()})
+    inside = checkpoint(medians(members, [region, "class"], _dead_fuel()))
+    empty = edges.join(inside, [region, "class"], "left_anti")
+    if not empty.isEmpty():
+        whole = wx.join(broadcast_if_small(empty.select(region).distinct()), region, "left_semi")
+        record = medians(whole, [region], _dead_fuel())
+        inside = inside.unionByName(empty.select(region, "class").join(record, region))
     r1 = lambda c: half_even(c, 1)
-    own = lambda c: F.when(F.col("_hit"), F.col(c)).otherwise(F.col(f"all_{c}"))
-    joined = (
-        edges.join(inside.withColumn("_hit", F.lit(True)), [region, "class"], "left")
-        .join(overall, region, "left")
-        .withColumns({c: own(c) for c in ("fm1", "fm10", "fm100", "doy")})
-    )
+    joined = edges.join(inside, [region, "class"])
     spot = lambda i: F.element_at(F.element_at(spots, F.col("class")), i)
     return joined.select(
         region, "class", r1(F.col("lower")).alias("lower"), r1(F.col("upper")).alias("upper"),

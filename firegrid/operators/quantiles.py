@@ -1,9 +1,10 @@
 """Exact grouped quantiles that never gather a whole group in one task.
 
-Spark's ``percentile`` keeps every distinct value of a group in one buffer. Here the values of a
-group are counted first (the shuffle key includes the value, so a group with a third of all rows
-is spread over the cluster), cut into slices at approximate splitters, and only the slices that
-hold a wanted rank are sorted, each slice in its own task.
+The values of a group are counted first; the shuffle key includes the value, so a group with a
+third of all rows is spread over the cluster. The counts are stored once. Spark's ``percentile``
+keeps every distinct value of a group in one buffer, so it is used only when the largest group is
+measured to be small. Otherwise the counts are cut into slices at approximate splitters, and only
+the slices that hold a wanted rank are sorted, each slice in its own task.
 """
 
 from __future__ import annotations
@@ -13,7 +14,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
+
 SLICES = 64
+# Distinct values per group up to which one buffer (some 10 MB) may hold them all.
+BUFFERED_VALUES = 200_000
 
 
 def exact_quantiles(
@@ -22,6 +27,7 @@ def exact_quantiles(
     measures: Mapping[str, Column | str],
     probs: Sequence[float] = (0.5,),
     slices: int = SLICES,
+    buffered: int = BUFFERED_VALUES,
 ) -> DataFrame:
     """Linearly interpolated quantiles of each measure per group, NULLs ignored.
 
@@ -47,6 +53,17 @@ def exact_quantiles(
         .groupBy(*group, "v")
         .agg(F.count("*").alias("n"))
     )
+    counted = checkpoint(counted)
+    largest = counted.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
+    if largest <= buffered:
+        q = F.percentile("v", F.array(*[F.lit(float(p)) for p in probs]), F.col("n"))
+        return counted.groupBy(*group).agg(F.sum("n").alias("n"), q.alias("q"))
+    return _sliced_quantiles(counted, group, probs, slices)
+
+
+def _sliced_quantiles(
+    counted: DataFrame, group: Sequence[str], probs: Sequence[float], slices: int
+) -> DataFrame:
     cuts = [i / slices for i in range(1, slices)]
     splitters = counted.groupBy(*group).agg(
         F.percentile_approx("v", cuts, 4 * slices).alias("cuts"), F.sum("n").alias("total")

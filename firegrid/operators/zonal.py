@@ -89,11 +89,14 @@ def zonal_continuous(
     valid = v.isNotNull() & ~F.isnan(v)
     if nodata is not None:
         valid = valid & (v != float(nodata))
+    # Aggregates skip NULLs, so nothing is filtered below the aggregation: a filter would be
+    # pushed into the scan side and evaluate a computed ``value`` twice.
     return (
-        zoned.withColumn("_v", v / float(scale_factor))
-        .where(valid)
+        zoned.withColumn("_v", F.when(valid, v / float(scale_factor)))
         .groupBy(*zone)
-        .agg(*[STATS[s]("_v").alias(f"{prefix}{s}") for s in stats])
+        .agg(*[STATS[s]("_v").alias(f"{prefix}{s}") for s in stats], F.count("_v").alias("_valid"))
+        .where(F.col("_valid") > 0)
+        .drop("_valid")
     )
 
 

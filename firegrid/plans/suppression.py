@@ -39,19 +39,16 @@ def with_rtc(pixels: DataFrame, rtc: DataFrame, clipped: bool = True) -> DataFra
     return out.drop("_code")
 
 
-def sdi_expression(
-    slope: Column, distance: Column, trail: Column, rtc: Column, asp: Column, fl: Column, heat: Column
-) -> Column:
-    """SDI x 100 of a pixel as one expression (NULL when any ingredient is missing)."""
-    energy = sc.energy(sc.classify_fl(fl), sc.classify_hua(heat))
-    penetr = sc.penetrability(
-        sc.classify_slope_pen(slope), rtc, sc.classify_aspect(asp), sc.classify_trail_length(trail)
+def _classes(pixels: DataFrame, slope: Column) -> DataFrame:
+    """Add the classes every later formula uses several times. They stay columns of their own
+    projection: inlined into each other, the class tables would outgrow a generated method."""
+    return pixels.withColumn("_slope", slope).withColumns(
+        {
+            "_fl": sc.classify_fl("flamelength"),
+            "_hua": sc.classify_hua("heatarea"),
+            "_trail": sc.classify_trail_length(F.coalesce("trail_m", F.lit(0.0))),
+        }
     )
-    line = sc.fireline(rtc, sc.slope_adjust_hand(slope), sc.slope_adjust_mach(slope))
-    base = sc.sdi_value(energy, sc.classify_accessibility(distance), penetr, line)
-    roaded = F.coalesce(distance <= ROADED_M, F.lit(False))
-    final = F.when(roaded, base).otherwise(base + sc.slope_hazard(slope))
-    return half_even(final * 100.0, 0).cast("smallint")
 
 
 def calculate_sdi(
@@ -69,11 +66,25 @@ def calculate_sdi(
         trail_density(trails, grid), ["row", "col"], "full_outer"
     )
     joined = with_rtc(pixels, rtc).join(broadcast_if_small(access), ["row", "col"], "left")
-    value = sdi_expression(
-        sc.slope_pct_from_deg("slpd"), F.col("distance_m"), F.coalesce("trail_m", F.lit(0.0)),
-        F.col("rtc"), F.col("asp"), F.col("flamelength"), F.col("heatarea"),
+    slope = F.col("_slope")
+    classed = _classes(joined, sc.slope_pct_from_deg("slpd")).withColumns(
+        {
+            "_energy": sc.energy(F.col("_fl"), F.col("_hua")),
+            "_penetr": sc.penetrability(
+                sc.classify_slope_pen(slope), F.col("rtc"), sc.classify_aspect("asp"),
+                F.col("_trail"),
+            ),
+            "_line": sc.fireline(
+                F.col("rtc"), sc.slope_adjust_hand(slope), sc.slope_adjust_mach(slope)
+            ),
+            "_access": sc.classify_accessibility("distance_m"),
+            "_hazard": F.when(F.coalesce(F.col("distance_m") <= ROADED_M, F.lit(False)), 0.0)
+            .otherwise(sc.slope_hazard(slope)),
+        }
     )
-    return joined.withColumn("sdi", value).drop("rtc", "distance_m", "trail_m")
+    base = sc.sdi_value(F.col("_energy"), F.col("_access"), F.col("_penetr"), F.col("_line"))
+    value = half_even((base + F.col("_hazard")) * 100.0, 0).cast("smallint")
+    return classed.select(*pixels.columns, value.alias("sdi"))
 
 
 def calculate_sdi_smoothed(
@@ -106,12 +117,12 @@ def calculate_sdi_smoothed(
         broadcast_if_small(access), ["row", "col"], "left"
     )
     slope = F.col("slope_pct")
-    prepared = joined.withColumns(
+    prepared = _classes(joined, slope).withColumns(
         {
-            "_energy": sc.energy(sc.classify_fl("flamelength"), sc.classify_hua("heatarea")),
+            "_energy": sc.energy(F.col("_fl"), F.col("_hua")),
             "_penetr": sc.penetrability(
                 sc.classify_slope_pen(slope), F.col("rtc"), sc.classify_aspect("asp"),
-                sc.classify_trail_length(F.coalesce("trail_m", F.lit(0.0))),
+                F.col("_trail"),
             ),
         }
     )
@@ -130,7 +141,4 @@ def calculate_sdi_smoothed(
         base + sc.slope_hazard(slope, "smoothed")
     )
     final = F.when(F.coalesce("_on_line", F.lit(False)), base).otherwise(off_line)
-    return smooth.withColumn("sdi", (final * 100.0).cast("int").cast("smallint")).drop(
-        "rtc", "distance_m", "trail_m", "_on_line", "slope_pct", "_energy", "_penetr",
-        "_energy_focal", "_penetr_focal",
-    )
+    return smooth.select(*pixels.columns, (final * 100.0).cast("int").cast("smallint").alias("sdi"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.climatology import current_erc, erc_classes, erc_stats, season_erc, season_matrix
 from ..operators.windrose import region_wind_roses, wind_rose_documents
+from ..session import checkpoint
 
 CLASS_FIELDS = (
     "class", "lower", "upper", "fm1", "fm10", "fm100", "fm_herb", "fm_woody", "spot_dist",
@@ -26,7 +27,7 @@ def weather_bundle(
     """One row per region having both climatology and wind: wind table and calm share, historic
     ERC matrix, mean and deviation, ERC classes, current-season ERC. Every list is bounded by
     years x 214 values."""
-    season = season_erc(wx, region)
+    season = checkpoint(season_erc(wx, region))  # read three times below
 
     def by_day(c: str):
         pairs = F.array_sort(F.collect_list(F.struct("dos", c)))
