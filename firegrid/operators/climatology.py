@@ -89,11 +89,11 @@ def season_matrix(season: DataFrame, region: str = "pyrome", n_years: int = 15)
     )
 
 
-def erc_stats(season: DataFrame, region: str = "pyrome") -> DataFrame:
+def erc_stats(season: DataFrame, region: str = "pyrome", digits: int = 2) -> DataFrame:
     """Mean and sample standard deviation per season day over the years, two digits."""
     return season.groupBy(region, "dos").agg(
-        half_even(F.avg("erc"), 2).alias("erc_avg"),
-        half_even(F.stddev_samp("erc"), 2).alias("erc_std"),
+        half_even(F.avg("erc"), digits).alias("erc_avg"),
+        half_even(F.stddev_samp("erc"), digits).alias("erc_std"),
     )
 
 

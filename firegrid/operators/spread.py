@@ -13,7 +13,8 @@ from .spatial_join import wedge_edges
 
 
 def burn_probability_change(
-    baseline: DataFrame, treated: DataFrame, edges: DataFrame, attrs: DataFrame, grid: Grid
+    baseline: DataFrame, treated: DataFrame, edges: DataFrame, attrs: DataFrame, grid: Grid,
+    digits: int = 4,
 ) -> DataFrame:
     """Per treatment polygon (all-touched cells, overlaps counted in each polygon): acres, mean
     and maximum of both sides, mean of the paired difference baseline − treated.
@@ -32,7 +33,7 @@ def burn_probability_change(
         *cell, nothing.alias("bl"), value.alias("tr")
     )
     paired = bl.unionByName(tr).groupBy(*cell).agg(F.max("bl").alias("bl"), F.max("tr").alias("tr"))
-    r4 = lambda c: F.bround(c, 4)
+    r4 = lambda c: F.bround(c, digits)
     stats = paired.groupBy("feature_id").agg(
         F.bround(F.count("bl") * (grid.cell * grid.cell) / M2_PER_ACRE_SPREAD, 2).alias(
             "acres_gis"

@@ -87,12 +87,12 @@ def season_matrix(t):
 
 @query(
     "C2",
-    """SELECT pyrome, dos, round_even(avg(erc), 2)::DOUBLE AS erc_avg, round_even(stddev_samp(erc), 2)::DOUBLE AS erc_std
+    """SELECT pyrome, dos, round(avg(erc), 6) AS erc_avg, round(stddev_samp(erc), 6) AS erc_std
 FROM {season} GROUP BY ALL""",
     daily=DAILY, season=SEASON,
 )
 def season_statistics(t):
-    return climatology.erc_stats(climatology.season_erc(t.wx))
+    return r6(climatology.erc_stats(climatology.season_erc(t.wx), digits=9))
 
 
 @query(

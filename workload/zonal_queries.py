@@ -149,15 +149,16 @@ def sdi_change(t):
 @query(
     "A7 G4",
     """SELECT a.feature_id, a.type, round_even(count(p.bp) * 900 / 4046.86::DOUBLE, 2) AS acres_gis,
-  round_even(avg(p.bp), 4) AS bp_bl_mean, round_even(avg(r.bp), 4) AS bp_tr_mean,
-  round_even(avg(p.bp - r.bp), 4) AS bp_delta_mean, max(p.bp) AS bp_bl_max, max(r.bp) AS bp_tr_max
+  round(avg(p.bp), 6) AS bp_bl_mean, round(avg(r.bp), 6) AS bp_tr_mean,
+  round(avg(p.bp - r.bp), 6) AS bp_delta_mean, max(p.bp) AS bp_bl_max, max(r.bp) AS bp_tr_max
 FROM {zone_attr} a LEFT JOIN {zone_touched} z USING (feature_id) LEFT JOIN {px} p ON p.row = z.row AND p.col = z.col
 LEFT JOIN {bp_tr} r ON r.type = a.type AND r.row = z.row AND r.col = z.col GROUP BY ALL""",
 )
 def burn_probability_change(t):
-    return spread.burn_probability_change(
-        t.px.select("row", "col", "bp"), t.bp_tr, t.zone_edges, t.zone_attr, t.grid
+    out = spread.burn_probability_change(
+        t.px.select("row", "col", "bp"), t.bp_tr, t.zone_edges, t.zone_attr, t.grid, digits=9
     )
+    return r6(out)
 
 
 WEDGES = """
