@@ -92,7 +92,7 @@ FROM {season} GROUP BY ALL""",
     daily=DAILY, season=SEASON,
 )
 def season_statistics(t):
-    return r6(climatology.erc_stats(climatology.season_erc(t.wx), digits=9))
+    return r6(climatology.erc_stats(climatology.season_erc(t.wx), digits=13))
 
 
 @query(

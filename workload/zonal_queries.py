@@ -156,7 +156,7 @@ LEFT JOIN {bp_tr} r ON r.type = a.type AND r.row = z.row AND r.col = z.col GROUP
 )
 def burn_probability_change(t):
     out = spread.burn_probability_change(
-        t.px.select("row", "col", "bp"), t.bp_tr, t.zone_edges, t.zone_attr, t.grid, digits=9
+        t.px.select("row", "col", "bp"), t.bp_tr, t.zone_edges, t.zone_attr, t.grid, digits=13
     )
     return r6(out)
 
