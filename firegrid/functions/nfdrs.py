@@ -24,12 +24,17 @@ def calc_emc(temp_f: Column | str, rh_pct: Column | str) -> Column:
     return clip(F.when(h < 10.0, dry).when(h < 50.0, mid).when(h >= 50.0, wet), low=0.0)
 
 
+# Moisture of 1-h and 10-h fuels relative to the equilibrium.
+FM_1HR_FACTOR = 1.03
+FM_10HR_FACTOR = 1.28
+
+
 def calc_1hr_fm(temp_f: Column | str, rh_pct: Column | str) -> Column:
-    return 1.03 * calc_emc(temp_f, rh_pct)
+    return FM_1HR_FACTOR * calc_emc(temp_f, rh_pct)
 
 
 def calc_10hr_fm(temp_f: Column | str, rh_pct: Column | str) -> Column:
-    return 1.28 * calc_emc(temp_f, rh_pct)
+    return FM_10HR_FACTOR * calc_emc(temp_f, rh_pct)
 
 
 def calc_vpd_pa(temp_f: Column | str, rh_pct: Column | str) -> Column:

@@ -19,7 +19,7 @@ from .quantiles import exact_quantiles, medians
 def _limits(df: DataFrame) -> DataFrame:
     """Per-region quantile limits, computed once and replicated when their count allows, so that
     the weather table itself is not shuffled to meet them."""
-    return broadcast_if_small(checkpoint(df))
+    return broadcast_if_small(df)
 
 
 SEASON_DAYS = 214
@@ -113,13 +113,18 @@ def current_erc(
 
 def _dead_fuel() -> dict[str, Column]:
     return {
-        "fm1": nfdrs.calc_1hr_fm("tmmx_f", "rmin"),
-        "fm10": nfdrs.calc_10hr_fm("tmmx_f", "rmin"),
+        "emc": nfdrs.calc_emc("tmmx_f", "rmin"),
         "fm100": F.col("fm100"),
         "doy": F.col("doy"),
     }
 
 
+def _dead_medians(emc: str = "emc") -> tuple[Column, Column]:
+    """1-h and 10-h moisture from the median equilibrium moisture: both are constant multiples of
+    it, so the median of the multiple is the multiple of the median."""
+    return F.col(emc) * nfdrs.FM_1HR_FACTOR, F.col(emc) * nfdrs.FM_10HR_FACTOR
+
+
 def erc_classes(
     wx: DataFrame,
     region: str = "pyrome",
@@ -167,7 +172,7 @@ def erc_classes(
     spot = lambda i: F.element_at(F.element_at(spots, F.col("class")), i)
     return joined.select(
         region, "class", r1(F.col("lower")).alias("lower"), r1(F.col("upper")).alias("upper"),
-        r1(F.col("fm1")).alias("fm1"), r1(F.col("fm10")).alias("fm10"),
+        r1(_dead_medians()[0]).alias("fm1"), r1(_dead_medians()[1]).alias("fm10"),
         r1(F.col("fm100")).alias("fm100"),
         r1(nfdrs.calc_herb_fm("doy")).alias("fm_herb"),
         r1(nfdrs.calc_woody_fm("doy")).alias("fm_woody"),
@@ -233,7 +238,8 @@ def scenario_fuel_moistures(
     herb, woody = _live_fuel(F.col("gsi") if by_gsi else None, F.col("scenario_doy"))
     out = mid.select(
         *keys,
-        half_even(F.col("fm1"), 1).alias("FM_1hr"), half_even(F.col("fm10"), 1).alias("FM_10hr"),
+        half_even(_dead_medians()[0], 1).alias("FM_1hr"),
+        half_even(_dead_medians()[1], 1).alias("FM_10hr"),
         half_even(F.col("fm100"), 1).alias("FM_100hr"), half_even(herb, 1).alias("FM_herb"),
         half_even(woody, 1).alias("FM_woody"),
     )
@@ -347,7 +353,7 @@ def scenario_cache(
     r1 = lambda c: half_even(c, 1)
     return mid.select(
         region, percentile_key(p).alias("key"), p.alias("percentile"),
-        r1(F.col("fm1")).alias("FM_1hr"), r1(F.col("fm10")).alias("FM_10hr"),
+        r1(_dead_medians()[0]).alias("FM_1hr"), r1(_dead_medians()[1]).alias("FM_10hr"),
         r1(F.col("fm100")).alias("FM_100hr"), r1(herb).alias("FM_herb"),
         r1(woody).alias("FM_woody"), F.lit(int(wind_direction)).alias("WIND_DIRECTION"),
         r1(F.element_at("q", F.col("_level"))).alias("erc_threshold"),

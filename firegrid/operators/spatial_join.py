@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import Grid, require_columns
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, checkpoint
 from .distance import point_segment_distance
 
 
@@ -287,7 +287,7 @@ def nearest_grid_points(
     nearest = Window.partitionBy("lon", "lat").orderBy("distance_deg", "gid")
     while True:
         around = F.sequence(F.lit(-ring), F.lit(ring))
-        ranked = (
+        ranked = checkpoint(
             open_spots.select("lon", "lat", "_bx", "_by")
             .withColumn("_dx", F.explode(around))
             .withColumn("_dy", F.explode(around))
@@ -309,7 +309,7 @@ def nearest_grid_points(
         )
         done = ranked.join(settled, ["lon", "lat"], "left_semi")
         found = done if found is None else found.unionByName(done)
-        open_spots = open_spots.join(settled, ["lon", "lat"], "left_anti")
+        open_spots = checkpoint(open_spots.join(settled, ["lon", "lat"], "left_anti"))
         if ring >= max_ring or open_spots.isEmpty():
             break
         ring = min(2 * ring, max_ring)

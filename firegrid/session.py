@@ -43,17 +43,23 @@ def build_session(app: str = "firegrid", master: str | None = None, **conf: str)
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` through the shared checkpoint folder of the cluster.
 
-    The folder is the one named in ``spark.checkpoint.dir``; only where nothing is configured
-    (tests, local runs) a private folder is set.
+    The folder is the one named in ``spark.checkpoint.dir``. Only a local session without that
+    setting gets a private folder; a cluster must name a shared one.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         shared = context.getConf().get("spark.checkpoint.dir")
+        if shared is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return df.checkpoint(eager=True)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting ``df``; above the bound the join shuffles instead."""
-    return F.broadcast(df) if df.count() <= max_rows else df
+    """Compute ``df`` once into the checkpoint folder, count it, and hint a broadcast only when
+    the count is within the bound; above it the join shuffles instead.
+
+    The side is stored because it is needed twice, for the count and for the join.
+    """
+    stored = checkpoint(df)
+    return F.broadcast(stored) if stored.count() <= max_rows else stored

@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -351,17 +352,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived table as a Spark plan over the driver's parquet files."""
-    if name in TABLES:
-        return table(spark, sf_dir, name)
-    text = VIEWS[name]
-    if isinstance(text, Branches):
-        text = text.spark_sql()
-    refs = {r: view(spark, sf_dir, r) for r in set(_REF.findall(text))}
-    return spark.sql(text, **refs)
-
-
 def duck(body: str, **extra: str) -> str:
     """A checking query: ``{view}`` references become CTEs in dependency order."""
     texts = {**VIEWS, **CHECK_VIEWS, **extra}
@@ -382,23 +372,26 @@ def duck(body: str, **extra: str) -> str:
     return re.sub(r"\bDIV\b", "//", out)
 
 
-def raster_grid(spark: SparkSession, sf_dir: str) -> Grid:
-    """Grid of the landscape; the row count comes from parquet metadata."""
-    n = table(spark, sf_dir, "orders").count()
-    return Grid(x0=0.0, y0=0.0, cell=CELL, nrows=(n + NCOLS - 1) // NCOLS, ncols=NCOLS)
-
-
 class Tables:
-    """Attribute access to the derived tables of one directory."""
+    """Attribute access to the derived tables of one directory, as Spark plans over its files."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = tune(spark), sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name in VIEWS or name in TABLES:
-            return view(self.spark, self.sf_dir, name)
-        raise AttributeError(name)
-
-    @property
+        if name in TABLES:
+            df = table(self.spark, self.sf_dir, name)
+        elif name in VIEWS:
+            text = VIEWS[name]
+            text = text.spark_sql() if isinstance(text, Branches) else text
+            df = self.spark.sql(text, **{r: getattr(self, r) for r in set(_REF.findall(text))})
+        else:
+            raise AttributeError(name)
+        self.__dict__[name] = df  # a plan, not data: resolved once per query
+        return df
+
+    @cached_property
     def grid(self) -> Grid:
-        return raster_grid(self.spark, self.sf_dir)
+        """Grid of the landscape; the row count comes from parquet metadata."""
+        n = self.orders.count()
+        return Grid(x0=0.0, y0=0.0, cell=CELL, nrows=(n + NCOLS - 1) // NCOLS, ncols=NCOLS)
