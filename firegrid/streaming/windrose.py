@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.wind import (
@@ -46,13 +46,16 @@ def stream_bin_counts(
 def rose_from_counts(counts: DataFrame, region: str = "pyrome_id") -> DataFrame:
     """Non-empty wind-rose cells of accumulated counts: share of the non-calm observations."""
     cells = counts.groupBy(region, "speed_bin", "dir_bin").agg(F.sum("n").alias("n"))
-    totals = cells.groupBy(region).agg(
-        F.sum("n").alias("n_obs"),
-        F.sum(F.when(F.col("speed_bin").isNotNull(), F.col("n"))).alias("n_noncalm"),
-    )
+    whole = Window.partitionBy(region)  # at most one row per bin and one for calm
+    windy = F.col("speed_bin").isNotNull()
     return (
-        cells.where(F.col("speed_bin").isNotNull())
-        .join(totals, region)
+        cells.withColumns(
+            {
+                "n_obs": F.sum("n").over(whole),
+                "n_noncalm": F.sum(F.when(windy, F.col("n"))).over(whole),
+            }
+        )
+        .where(windy)
         .withColumns(
             {
                 "pct": F.col("n") / F.col("n_noncalm") * 100.0,
