@@ -18,20 +18,22 @@ from ..schema import Grid, require_columns
 CELL = ["row", "col"]
 
 
-def select_band(pixels: DataFrame, name: str, keys: Sequence[str] = ("raster_id",)) -> DataFrame:
-    """Pixels of the band with exactly this name; rasters lacking it raise an error.
+def select_band(
+    pixels: DataFrame,
+    name: str,
+    bands: DataFrame | None = None,
+    keys: Sequence[str] = ("raster_id",),
+) -> DataFrame:
+    """Pixels of the band with exactly this name; a raster lacking it raises an error.
 
-    The presence check runs inside the job, on a per-raster aggregate of the band names.
+    ``bands`` is the catalog ``(raster_id, band)``; without one the band names are aggregated
+    from the pixel table (one column, partial aggregation).
     """
     require_columns(pixels, ["band", *keys], "pixels")
-    lacking = (
-        pixels.groupBy(*keys)
-        .agg(F.bool_or(F.col("band") == name).alias("has"))
-        .where(~F.col("has"))
-        .limit(1)
-        .count()
+    known = (bands if bands is not None else pixels).groupBy(*keys).agg(
+        F.bool_or(F.col("band") == name).alias("has")
     )
-    if lacking:
+    if not known.where(~F.col("has")).isEmpty():
         raise ValueError(f"{name!r} not found among the bands of every raster")
     return pixels.where(F.col("band") == name)
 

@@ -36,12 +36,15 @@ def class_change(
     labels: Sequence[str],
     prefix: str,
     nodata_in_denominator: bool = False,
+    rasters: DataFrame | None = None,
 ) -> DataFrame:
     """Class shares before and after treatment, per (treatment, percentile, class).
 
     ``baseline`` is ``(percentile, row, col, …)``, ``treated`` additionally carries ``type``.
     The baseline is read over the zone grid of all treatments, each treated raster over the zone
-    grid of its own type. Unmatched sides count as 0; delta = treated − baseline.
+    grid of its own type. Unmatched sides count as 0; delta = treated − baseline. ``rasters`` is
+    the catalog ``(type, percentile)`` of the treated rasters; without one it is found by
+    aggregating those two columns.
     """
     require_columns(attrs, ATTRS, "treatments")
     all_zones = disjoint_zone_spans(spans, attrs)
@@ -50,7 +53,7 @@ def class_change(
     kw = {"name": "_class", "nodata_in_denominator": nodata_in_denominator}
     bl = zonal_categorical(join_pixels(baseline, all_zones), value, keys, **kw)
     tr = zonal_categorical(join_pixels(treated, own_zones, on=["type"]), value, keys, **kw)
-    present = treated.select("type", "percentile").distinct()
+    present = rasters if rasters is not None else treated.select("type", "percentile").distinct()
     info = attrs.select("feature_id", "type", "acres_gis")
     bl = bl.join(info.select("feature_id", "type"), "feature_id").join(
         present, ["type", "percentile"], "left_semi"

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import EDGE_COLUMNS, Grid, require_columns
-from ..session import broadcast_if_small
+from ..session import BROADCAST_ROWS, checkpoint
 
 BLOCK = 256
 
@@ -182,11 +182,21 @@ def join_pixels(
 ) -> DataFrame:
     """Pixels with the features covering them (one row per pixel and covering feature).
 
-    ``on`` names further key columns both sides share. Spans below the broadcast bound are
-    replicated and the pixel table is not moved at all; beyond it both sides are shuffled on
-    (row, column block), which spreads even a feature that covers a third of all pixels.
+    ``on`` names further key columns both sides share. The spans are stored and measured first:
+    up to the broadcast bound they are replicated and the pixel table is not moved at all; beyond
+    it both sides are shuffled on (row, column block), which spreads even a feature that covers a
+    third of all pixels.
     """
-    pieces = broadcast_if_small(blocked(spans, block).withColumnRenamed("row", "_srow"))
+    pieces = checkpoint(blocked(spans, block).withColumnRenamed("row", "_srow"))
+    size = pieces.agg(
+        F.count("*").alias("n"), F.min("_srow"), F.max("_srow"), F.min("c0"), F.max("c1")
+    ).first()
+    if size["n"] <= BROADCAST_ROWS:
+        pieces = F.broadcast(pieces)
+    if how in ("inner", "left_semi") and size["n"] > 0:
+        # The features' bounding box prunes row groups of the pixel files before the join.
+        _, r0, r1, k0, k1 = size
+        pixels = pixels.where(F.col("row").between(r0, r1) & F.col("col").between(k0, k1))
     condition = (
         (F.col("row") == F.col("_srow"))
         & (F.floor(F.col("col") / block).cast("int") == F.col("_blk"))

@@ -14,16 +14,17 @@ from .spatial_join import wedge_edges
 
 def burn_probability_change(
     baseline: DataFrame, treated: DataFrame, edges: DataFrame, attrs: DataFrame, grid: Grid,
-    digits: int = 4,
+    digits: int = 4, rasters: DataFrame | None = None,
 ) -> DataFrame:
     """Per treatment polygon (all-touched cells, overlaps counted in each polygon): acres, mean
     and maximum of both sides, mean of the paired difference baseline − treated.
 
     ``baseline`` is ``(row, col, bp)``, ``treated`` is ``(type, row, col, bp)``. Both are brought
     to (polygon, cell) and combined in one aggregation, so the rasters are never joined.
+    ``rasters`` lists the treated rasters' types, to spare a scan for the check.
     """
     require_columns(attrs, ["feature_id", "type"], "treatments")
-    check_types(attrs, treated)
+    check_types(attrs, rasters if rasters is not None else treated)
     spans = touched_spans(edges, grid).join(attrs.select("feature_id", "type"), "feature_id")
     nothing = F.lit(None).cast("double")
     value = F.when(~F.isnan("bp"), F.col("bp"))

@@ -33,8 +33,9 @@ _HEADER_KEYS = (
 
 
 def fixed(value: Column, digits: int) -> Column:
-    """Number with a fixed count of decimals, ties to even."""
-    return F.format_string(f"%.{digits}f", half_even(value.cast("double"), digits))
+    """Number with a fixed count of decimals, ties to even; a missing one reads ``nan``."""
+    text = F.format_string(f"%.{digits}f", half_even(value.cast("double"), digits))
+    return F.when(value.isNotNull(), text).otherwise(F.lit("nan"))
 
 
 def _joined(values: Column, digits: int) -> Column:

@@ -78,9 +78,9 @@ def test_merged_spans_count_cells_once(spark):
     assert got == [(0, 0, 6), (0, 9, 9), (1, 1, 1)]
 
 
-@pytest.mark.parametrize("bound", [10**9, 0])
+@pytest.mark.parametrize("bound", [10**9, -1])
 def test_pixel_join_is_the_same_with_and_without_broadcast(spark, monkeypatch, bound):
-    monkeypatch.setattr(rasterize, "broadcast_if_small", lambda df: F.broadcast(df) if bound else df)
+    monkeypatch.setattr(rasterize, "BROADCAST_ROWS", bound)
     px = spark.range(600).select((F.col("id") % 2).cast("int").alias("row"), F.floor(F.col("id") / 2).cast("int").alias("col"))
     spans = spark.createDataFrame([(7, 0, 250, 270), (8, 1, 0, 0)], "feature_id long, row int, c0 int, c1 int")
     got = rasterize.join_pixels(px, spans)

@@ -17,6 +17,7 @@ from .registry import query, r6
 from .spatial_queries import ROAD_DIST, TRAIL_DENS
 from .scalar_queries import ASPECT_CLS, DOWN, FL_CLS, HUA_CLS, SLOPE_CLS, UP, steps_sql
 from .views import TYPES
+from .weather_queries import DOC_VIEWS
 from .zonal_queries import CS_CHANGE, FL_CHANGE, rounded_change
 
 # Paths made from the part table: metric, scenario and percentile words in the file names.
@@ -373,7 +374,13 @@ def container_manifests(t):
     return stamped.withColumn("num_fires", F.col("fspro_kwargs")["NumFires"]).drop("fspro_kwargs", "created_at")
 
 
-@query("C15 S15")
+@query(
+    "C15 S15",
+    """SELECT container_id, CAST(line_no AS INT) AS line_no, line FROM {docs} JOIN {region_of} USING (pyrome) UNION ALL
+SELECT container_id, CAST(42 + n AS INT), concat('IgnitionFile: /out/', container_id, '/ignitions/container_ignition.shp')
+FROM {n_years} JOIN {region_of} USING (pyrome)""",
+    region_of=REGION_OF, **DOC_VIEWS,
+)
 def container_documents(t):
     zones, regions = _containers(t)
     lines, _ = container.prepare_containers(zones, regions, weather_bundle(t.wx, t.obs), "/out", 2022)

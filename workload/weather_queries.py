@@ -318,7 +318,12 @@ def conditioning_wind(t):
     return rows.withColumn("time", F.date_format("time", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query("C13")
+@query(
+    "C13",
+    """SELECT pyrome, round_even(calm_pct, 4)::DOUBLE AS calm_value, n_years, 214 AS n_days, 5 AS n_classes, 79 AS n_current, 6 AS n_speeds
+FROM (SELECT DISTINCT pyrome_id AS pyrome, calm_pct FROM {rose}) JOIN (SELECT pyrome, CAST(count(DISTINCT year) AS INT) AS n_years FROM {daily} GROUP BY pyrome) USING (pyrome)""",
+    rose=ROSE, daily=DAILY,
+)
 def weather_bundles(t):
     b = weather_bundle(t.wx, t.obs)
     return b.select(
@@ -328,6 +333,58 @@ def weather_bundles(t):
     )
 
 
-@query("S15 S16")
+def fx(x: str, d: int) -> str:
+    return f"coalesce(printf('%.{d}f', round_even({x}, {d})::DOUBLE), 'nan')"
+
+
+_HEAD = (
+    "FSPRO-Inputs-File-Version-4", "Dimension: 2", "Resolution: 90.0", "Duration: 7", "NumFires: 1000", "MaxLag: 30",
+    "PolyDegree: 9", "ThreadsPerFire: 1", "UseCustomFuels: 0", "SPOTTING_SEED: 617327", "CROWN_FIRE_METHOD: Finney",
+)
+_FIXED = {
+    **dict(enumerate(_HEAD)), 12: "NumWindDirs: 8", 13: "45 90 135 180 225 270 315 360", 14: "NumWindSpeeds: 6",
+    15: "5 10 15 20 25 30", 16: "WindCellValues:", 23: "NumERCClasses: 5", 30: "NumWxPerYear: 214", 31: "HistoricERCValues: ",
+}
+_TAIL = ("AvgERCValues: ", None, "StdDevERCValues:", None, "NumWxCurrYear: 79", "CurrentERCValues: ", None, "NumForecast: 0",
+         "BarrierFill: 0", "SavePerimeters: 1", None)
+STATS = """
+SELECT pyrome, dos, round_even(avg(erc), 2)::DOUBLE AS m, round_even(stddev_samp(erc), 2)::DOUBLE AS s, round_even(median(erc), 0) AS c
+FROM {season} GROUP BY ALL"""
+CLASSES = f"""
+SELECT pyrome, CAST(class AS INT) AS class, {e1('lower')} AS lower, {e1('upper')} AS upper, {e1('m1')} AS fm1, {e1('m10')} AS fm10,
+ {e1('m100')} AS fm100, {e1(herb_sql('mdoy'))} AS fm_herb, {e1(woody_sql('mdoy'))} AS fm_woody
+FROM (SELECT pyrome, class, lower, upper, median(fm1) AS m1, median(fm10) AS m10, median(fm100) AS m100, median(doy) AS mdoy
+ FROM {{dead}} JOIN (SELECT pyrome, class, q[6 - class] AS lower, q[7 - class] AS upper FROM (
+   SELECT pyrome, quantile_cont(erc, [0, 0.2, 0.4, 0.6, 0.8, 1.0]) AS q FROM {{wx}} GROUP BY pyrome), range(1, 6) r(class)) USING (pyrome)
+ WHERE erc >= lower AND erc <= upper GROUP BY ALL)"""
+DOCS = (
+    """
+SELECT p.pyrome, y.n AS years, f.line_no, f.line FROM (SELECT DISTINCT pyrome FROM {season}) p JOIN {n_years} y USING (pyrome),
+ (VALUES """ + ", ".join(f"({i}, '{v}')" for i, v in _FIXED.items()) + f""") f(line_no, line)
+UNION ALL SELECT DISTINCT pyrome_id, NULL, 11, concat('CalmValue: ', {fx('round_even(calm_pct, 4)', 2)}) FROM {{rose}}
+UNION ALL SELECT pyrome_id, NULL, 17 + speed_bin, string_agg({fx('pct', 2)}, ' ' ORDER BY dir_bin) FROM {{rose}} GROUP BY pyrome_id, speed_bin
+UNION ALL SELECT pyrome, NULL, 23 + class, concat_ws(' ', {fx('lower', 0)}, {fx('upper', 0)}, {fx('fm1', 1)}, {fx('fm10', 1)}, {fx('fm100', 1)},
+  {fx('fm_herb', 1)}, {fx('fm_woody', 1)}, 420 - 60 * class, ['0.15', '0.10', '0.05', '0.01', '0.00'][class], '0') FROM {{classes}}
+UNION ALL SELECT pyrome, NULL, 29, concat('NumERCYears: ', n) FROM {{n_years}}
+UNION ALL SELECT pyrome, NULL, 31 + row_number() OVER (PARTITION BY pyrome ORDER BY year), line FROM (
+  SELECT pyrome, year, string_agg({fx('erc', 0)}, ' ' ORDER BY dos) AS line FROM {{season}} GROUP BY pyrome, year)
+UNION ALL SELECT pyrome, NULL, 32 + n + k, line FROM {{n_years}}, (VALUES """
+    + ", ".join(f"({k}, '{v}')" for k, v in enumerate(_TAIL) if v is not None) + f""") f(k, line)
+UNION ALL SELECT pyrome, NULL, 33 + n, string_agg({fx('m', 1)}, ' ' ORDER BY dos) FROM {{stats}} JOIN {{n_years}} USING (pyrome) GROUP BY pyrome, n
+UNION ALL SELECT pyrome, NULL, 35 + n, string_agg({fx('s', 2)}, ' ' ORDER BY dos) FROM {{stats}} JOIN {{n_years}} USING (pyrome) GROUP BY pyrome, n
+UNION ALL SELECT pyrome, NULL, 38 + n, string_agg({fx('c', 0)}, ' ' ORDER BY dos) FROM {{stats}} JOIN {{n_years}} USING (pyrome) WHERE dos BETWEEN 91 AND 169 GROUP BY pyrome, n"""
+)
+DOC_VIEWS = {
+    "daily": DAILY, "season": SEASON, "dead": DEAD, "rose": ROSE, "stats": STATS, "classes": CLASSES, "docs": DOCS,
+    "n_years": "SELECT pyrome, count(DISTINCT year) AS n FROM {daily} GROUP BY pyrome",
+}
+
+
+@query(
+    "S15 S16",
+    """SELECT pyrome, CAST(line_no AS INT) AS line_no, line FROM {docs} UNION ALL
+SELECT pyrome, CAST(42 + n AS INT), 'IgnitionFile: ignition.shp' FROM {n_years}""",
+    **DOC_VIEWS,
+)
 def probability_run_documents(t):
     return documents.paired_lines(weather_bundle(t.wx, t.obs), "ignition.shp")
