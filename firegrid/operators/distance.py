@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import Grid, require_columns
-from .focal import disk_half_widths
+from .focal import TILE, disk_half_widths
 from .rasterize import grid_edges, line_spans, span_cells
 
 ROAD_BOUND_M = 900.0
@@ -17,30 +17,70 @@ TRAIL_RADIUS_M = 56.42
 CIRCLE_RADIUS_M = 56.41896
 
 
+def _tile_solver(reach: int, tile: int, cell: float, limit: float, keys: list[str]):
+    """Grouped function for :func:`cell_distance`: exact distances inside one tile from the
+    marked cells of the tile and its margin. Self-contained, so executors need numpy and pandas
+    only."""
+
+    def solve(pdf):
+        import numpy as np
+        import pandas as pd
+
+        top = int(pdf["_trow"].iloc[0]) * tile - reach
+        left = int(pdf["_tcol"].iloc[0]) * tile - reach
+        side = tile + 2 * reach
+        marked = np.zeros((side, side), dtype=bool)
+        marked[pdf["row"].to_numpy() - top, pdf["col"].to_numpy() - left] = True
+        # Along columns: distance to the last mark above and the next one below.
+        index = np.arange(side)[:, None]
+        far = 4 * side
+        above = np.maximum.accumulate(np.where(marked, index, -far), axis=0)
+        below = np.minimum.accumulate(np.where(marked, index, far)[::-1], axis=0)[::-1]
+        gap = np.minimum(index - above, below - index)[reach : reach + tile].astype("float64")
+        # Along rows: smallest squared distance over all columns in reach.
+        best = np.full((tile, tile), np.inf)
+        for shift in range(2 * reach + 1):
+            np.minimum(
+                best, gap[:, shift : shift + tile] ** 2 + (shift - reach) ** 2, out=best
+            )
+        row, col = np.nonzero(best <= limit)
+        out = {k: [pdf[k].iloc[0]] * len(row) for k in keys}
+        out["row"] = (row + top + reach).astype("int32")
+        out["col"] = (col + left + reach).astype("int32")
+        out["distance_m"] = np.sqrt(best[row, col]) * cell
+        return pd.DataFrame(out)
+
+    return solve
+
+
 def cell_distance(cells: DataFrame, cell: float, max_distance: float,
-                  keys: Sequence[str] = ()) -> DataFrame:
+                  keys: Sequence[str] = (), tile: int = TILE) -> DataFrame:
     """Distance from every cell within ``max_distance`` to the nearest marked cell, centre to
     centre, in metres.
 
-    Two passes (first along columns, then along rows) with a minimum after each: every marked
-    cell is expanded to the cells of one line, not to the cells of a disk.
+    The marked cells are shuffled by tile, each to the tiles whose margin it lies in; a tile is
+    then a small dense array. A join or an explode over the neighbourhood would instead move each
+    covered cell dozens of times.
     """
     keys = list(keys)
     reach = int(math.floor(max_distance / cell + 1e-9))
-    offsets = F.sequence(F.lit(-reach), F.lit(reach))
-    vertical = (
-        cells.select(*keys, "row", "col")
-        .withColumn("_d", F.explode(offsets))
-        .groupBy(*keys, (F.col("row") + F.col("_d")).alias("row"), "col")
-        .agg(F.min(F.abs("_d")).alias("_g"))
+    tile = max(tile, reach)  # a mark belongs to at most nine tiles
+
+    def tiles(axis: str) -> Column:
+        first = F.floor((F.col(axis) - reach) / tile).cast("int")
+        last = F.floor((F.col(axis) + reach) / tile).cast("int")
+        return F.explode(F.sequence(first, last))
+
+    placed = (
+        cells.select(*keys, F.col("row").cast("int"), F.col("col").cast("int"))
+        .withColumn("_trow", tiles("row"))
+        .withColumn("_tcol", tiles("col"))
     )
+    types = [f"{k} {cells.schema[k].dataType.simpleString()}" for k in keys]
     limit = (max_distance / cell) ** 2 + 1e-9
-    return (
-        vertical.withColumn("_d", F.explode(offsets))
-        .withColumn("_d2", F.col("_d") * F.col("_d") + F.col("_g") * F.col("_g"))
-        .where(F.col("_d2") <= limit)
-        .groupBy(*keys, "row", (F.col("col") + F.col("_d")).alias("col"))
-        .agg((F.sqrt(F.min("_d2").cast("double")) * float(cell)).alias("distance_m"))
+    return placed.groupBy(*keys, "_trow", "_tcol").applyInPandas(
+        _tile_solver(reach, tile, float(cell), limit, keys),
+        ", ".join([*types, "row int", "col int", "distance_m double"]),
     )
 
 
