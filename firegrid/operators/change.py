@@ -13,8 +13,8 @@ from ..functions.bins import (
 )
 from ..functions.names import safe_name
 from ..schema import require_columns
-from .rasterize import join_pixels
-from .zonal import disjoint_zone_spans, zonal_categorical, zonal_continuous
+from .rasterize import disjoint_spans, join_pixels
+from .zonal import zonal_categorical, zonal_continuous
 
 ATTRS = ("feature_id", "ord", "type", "acres_gis")
 
@@ -47,8 +47,8 @@ def class_change(
     aggregating those two columns.
     """
     require_columns(attrs, ATTRS, "treatments")
-    all_zones = disjoint_zone_spans(spans, attrs)
-    own_zones = disjoint_zone_spans(spans, attrs, keys=["type"])
+    all_zones = disjoint_spans(spans, attrs)
+    own_zones = disjoint_spans(spans, attrs, keys=["type"])
     keys = ["feature_id", "percentile"]
     kw = {"name": "_class", "nodata_in_denominator": nodata_in_denominator}
     bl = zonal_categorical(join_pixels(baseline, all_zones), value, keys, **kw)
@@ -100,8 +100,8 @@ def sdi_change(
         return info.withColumns(
             {"sdi_bl_mean": nothing, "sdi_tr_mean": nothing, "sdi_delta_mean": nothing}
         )
-    all_zones = disjoint_zone_spans(spans, attrs)
-    own_zones = disjoint_zone_spans(spans, attrs, keys=["type"])
+    all_zones = disjoint_spans(spans, attrs)
+    own_zones = disjoint_spans(spans, attrs, keys=["type"])
     mean = lambda df, z, name, **kw: zonal_continuous(
         join_pixels(df, z, **kw), "sdi", ["mean"], scale_factor=100.0
     ).withColumnRenamed("mean", name)

@@ -212,15 +212,47 @@ def join_pixels(
     )
 
 
+def disjoint_spans(
+    spans: DataFrame,
+    attrs: DataFrame,
+    zone: str = "feature_id",
+    order: str = "ord",
+    keys: Sequence[str] = (),
+) -> DataFrame:
+    """Zone grid as spans: each cell belongs to the last zone (by ``order``) covering it, within
+    each combination of ``keys`` (attributes such as the treatment type).
+
+    Spans that overlap no other span of their row pass through whole; only contested stretches
+    are taken apart into cells. Every step is clustered by (keys, row), so there is one shuffle.
+    """
+    keys = list(keys)
+    require_columns(attrs, [zone, order, *keys], "features")
+    tagged = spans.select(zone, "row", "c0", "c1").join(attrs.select(zone, order, *keys), zone)
+    along = Window.partitionBy(*keys, "row").orderBy("c0", "c1", zone)
+    reach = F.max("c1").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    group = Window.partitionBy(*keys, "row", "_island")
+    contested = (
+        tagged.withColumn("_start", F.coalesce((F.col("c0") > reach).cast("int"), F.lit(1)))
+        .withColumn("_island", F.sum("_start").over(along))
+        .withColumn("_alone", F.count("*").over(group) == 1)
+    )
+    pieces = contested.withColumn(
+        "_c", F.explode(F.when(F.col("_alone"), F.array("c0")).otherwise(F.sequence("c0", "c1")))
+    ).withColumn("c1", F.when(F.col("_alone"), F.col("c1")).otherwise(F.col("_c")))
+    winner = F.max_by(F.struct(zone, "c1"), F.struct(F.col(order), F.col(zone)))
+    resolved = (
+        pieces.groupBy(*keys, "row", F.col("_c").alias("c0"))
+        .agg(winner.alias("_w"))
+        .select(*keys, F.col(f"_w.{zone}").alias(zone), "row", "c0", F.col("_w.c1").alias("c1"))
+    )
+    return merge_spans(resolved, [*keys, zone])
+
+
 def zone_pixels(
     spans: DataFrame, attrs: DataFrame, zone: str = "feature_id", order: str = "ord"
 ) -> DataFrame:
     """One zone per cell: where zones overlap, the last one in feature order wins."""
-    require_columns(attrs, [zone, order], "features")
-    covered = span_cells(spans.select(zone, "row", "c0", "c1").join(attrs.select(zone, order), zone))
-    return covered.groupBy("row", "col").agg(
-        F.max_by(zone, F.struct(F.col(order), F.col(zone))).alias(zone)
-    )
+    return span_cells(disjoint_spans(spans, attrs, zone, order)).select("row", "col", zone)
 
 
 def clip_pixels(pixels: DataFrame, spans: DataFrame, crop: bool = False) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import require_columns
-from .rasterize import zone_pixels
 
 STATS = {
     "mean": F.avg,
@@ -20,31 +19,6 @@ STATS = {
 }
 
 
-def disjoint_zone_spans(
-    spans: DataFrame, attrs: DataFrame, zone: str = "feature_id", order: str = "ord",
-    keys: Sequence[str] = (),
-) -> DataFrame:
-    """Zone grid as spans: each cell belongs to the last zone (by ``order``) covering it, within
-    each combination of ``keys`` (attributes such as the treatment type)."""
-    keys = list(keys)
-    if not keys:
-        cells = zone_pixels(spans, attrs, zone, order)
-    else:
-        covered = spans.select(zone, "row", "c0", "c1").join(
-            attrs.select(zone, order, *keys), zone
-        ).withColumn("col", F.explode(F.sequence("c0", "c1")))
-        cells = covered.groupBy(*keys, "row", "col").agg(
-            F.max_by(zone, F.struct(F.col(order), F.col(zone))).alias(zone)
-        )
-    scan = Window.partitionBy(*keys, "row", zone).orderBy("col")
-    return (
-        cells.withColumn("_run", F.col("col") - F.row_number().over(scan))
-        .groupBy(*keys, zone, "row", "_run")
-        .agg(F.min("col").alias("c0"), F.max("col").alias("c1"))
-        .drop("_run")
-    )
-
-
 def zonal_categorical(
     zoned: DataFrame,
     value: Column | str,

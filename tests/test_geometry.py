@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from firegrid import Grid
 from firegrid.operators import distance, focal, geometry, lines, overlap, rasterize, spatial_join
-from firegrid.operators.zonal import disjoint_zone_spans
 
 G5 = Grid(x0=0.0, y0=5.0, cell=1.0, nrows=5, ncols=5)
 EDGE = "feature_id long, part int, ring int, seq int, x1 double, y1 double, x2 double, y2 double"
@@ -56,7 +55,7 @@ def test_last_feature_wins(spark):
     attrs = spark.createDataFrame([(1, 9), (2, 3)], "feature_id long, ord int")
     zones = {(r, c): f for f, r, c in cells(rasterize.zone_pixels(spans, attrs), "feature_id")}
     assert zones[(4, 2)] == 1 and zones[(4, 3)] == 2
-    again = cells(rasterize.span_cells(disjoint_zone_spans(spans, attrs)), "feature_id")
+    again = cells(rasterize.span_cells(rasterize.disjoint_spans(spans, attrs)), "feature_id")
     assert again == sorted((f, r, c) for (r, c), f in zones.items())
 
 

@@ -34,7 +34,7 @@ FROM (SELECT *, {cls} AS c FROM {raster} JOIN {cells} USING ({join})) WHERE c IS
 ({shares('{zone_grid}', '{px}', FL, 'feature_id', 'row, col')})""",
 )
 def flame_classes_by_zone(t):
-    zones = zonal.disjoint_zone_spans(rasterize.polygon_spans(t.zone_edges, t.grid), t.zone_attr)
+    zones = rasterize.disjoint_spans(rasterize.polygon_spans(t.zone_edges, t.grid), t.zone_attr)
     zoned = rasterize.join_pixels(t.px.select("row", "col", "flamelength"), zones)
     out = zonal.zonal_categorical(zoned, bins.bin_fl("flamelength").cast("int"))
     return r6(out)
@@ -47,7 +47,7 @@ def flame_classes_by_zone(t):
   FROM {{px}} JOIN {{zone_grid}} USING (row, col) GROUP BY feature_id, c) WHERE c IS NOT NULL""",
 )
 def flame_classes_with_nodata(t):
-    zones = zonal.disjoint_zone_spans(rasterize.polygon_spans(t.zone_edges, t.grid), t.zone_attr)
+    zones = rasterize.disjoint_spans(rasterize.polygon_spans(t.zone_edges, t.grid), t.zone_attr)
     zoned = rasterize.join_pixels(t.px.select("row", "col", "flamelength"), zones)
     return r6(
         zonal.zonal_categorical(
@@ -63,7 +63,7 @@ def flame_classes_with_nodata(t):
 FROM {px} JOIN {zone_grid} USING (row, col) WHERE sdi <> 700 GROUP BY feature_id""",
 )
 def sdi_stats_by_zone(t):
-    zones = zonal.disjoint_zone_spans(rasterize.polygon_spans(t.zone_edges, t.grid), t.zone_attr)
+    zones = rasterize.disjoint_spans(rasterize.polygon_spans(t.zone_edges, t.grid), t.zone_attr)
     zoned = rasterize.join_pixels(t.px.select("row", "col", "sdi"), zones)
     return r6(
         zonal.zonal_continuous(
