@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,18 +57,22 @@ def run_treatment_pipeline(
     grid: Grid,
     compute_sdi: bool = True,
     sdi_percentile: str = "Pct90",
+    tables: Sequence[str] = ("fl", "cs", "sdi"),
 ) -> dict[str, DataFrame]:
-    """Change tables ``fl``, ``cs`` and ``sdi`` of a treatment plan.
+    """Change tables ``fl``, ``cs`` and ``sdi`` of a treatment plan (or the named ones only).
 
     The simulator's output is an input here: ``behaviour`` is ``(percentile, row, col,
     flamelength, crownstate, heatarea)``, ``treated_behaviour`` also has ``type``. SDI is computed
     for the baseline and all treated landscapes at ``sdi_percentile``.
     """
     check_types(attrs, parameters)
-    out = {
-        "fl": flame_length_change(behaviour, treated_behaviour, spans, attrs),
-        "cs": crown_state_change(behaviour, treated_behaviour, spans, attrs),
-    }
+    out = {}
+    if "fl" in tables:
+        out["fl"] = flame_length_change(behaviour, treated_behaviour, spans, attrs)
+    if "cs" in tables:
+        out["cs"] = crown_state_change(behaviour, treated_behaviour, spans, attrs)
+    if "sdi" not in tables:
+        return out
     if not compute_sdi:
         return {**out, "sdi": sdi_change(None, None, spans, attrs)}
     fire = ["row", "col", "flamelength", "heatarea"]

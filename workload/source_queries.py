@@ -420,24 +420,24 @@ def counterfactual_manifests(t):
     return manifest.select("container_id", "pyrome_id", "seed", "treated_lcp_path")
 
 
-def _pipeline(t):
+def _pipeline(t, name):
     spans = rasterize.polygon_spans(t.zone_edges, t.grid)
     params = t.spark.createDataFrame([(k, "Mech Thin", "Manage") for k in TYPES], "type string, canopy string, surface string")
     return treatment_pipeline.run_treatment_pipeline(
         t.px.select("row", "col", "slpd", "asp", "fbfm40", "cc", "ch", "cbh", "cbd"), t.fire_bl, t.fire_tr, spans,
         t.zone_attr, params, src.canopy_effects(t.spark), surface_table(t), t.roads, t.trails,
-        src.rtc_table(t.spark), t.grid,
-    )
+        src.rtc_table(t.spark), t.grid, tables=[name],
+    )[name]
 
 
 @query("C17", rounded_change("fl", "fl_change"), fl_change=FL_CHANGE)
 def pipeline_flame_change(t):
-    return r6(_pipeline(t)["fl"])
+    return r6(_pipeline(t, "fl"))
 
 
 @query("C17", rounded_change("cs", "cs_change"), cs_change=CS_CHANGE)
 def pipeline_crown_change(t):
-    return r6(_pipeline(t)["cs"])
+    return r6(_pipeline(t, "cs"))
 
 
 RTC_CASE = "CASE least(fbfm40, 205) " + " ".join(f"WHEN {k} THEN {v}" for k, v in src.RTC.items()) + " ELSE 0 END"
@@ -464,4 +464,4 @@ LEFT JOIN (SELECT feature_id, avg(sdi) / 100 AS tr FROM {sdi_land} JOIN {zone_gr
     surface=SURFACE, road_dist=ROAD_DIST, trail_dens=TRAIL_DENS, sdi_land=SDI_LAND,
 )
 def pipeline_sdi_change(t):
-    return r6(_pipeline(t)["sdi"])
+    return r6(_pipeline(t, "sdi"))
