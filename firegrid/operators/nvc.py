@@ -33,6 +33,7 @@ def project_nvc(
     """
     require_columns(attrs, ["feature_id", "type"], "treatments")
     spark = baseline.sparkSession
+    # The caller's list of categories: a handful of names, safe to replicate.
     wanted = spark.createDataFrame([(h,) for h in hvras], "hvra string").withColumn(
         "_stored", hvra_baseline("hvra")
     )

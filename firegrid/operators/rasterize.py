@@ -256,8 +256,8 @@ def zone_pixels(
 
 
 def clip_pixels(pixels: DataFrame, spans: DataFrame, crop: bool = False) -> DataFrame:
-    """Pixels whose centre lies inside any of the features; ``crop`` keeps the features' bounding
-    box and blanks nothing (bands outside stay), as a first cheap cut."""
+    """Pixels whose centre lies inside any of the features; with ``crop``, all pixels of the
+    features' common bounding box."""
     if not crop:
         return join_pixels(pixels, spans, how="left_semi")
     box = spans.agg(

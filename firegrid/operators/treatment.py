@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import require_columns
+from ..session import BROADCAST_ROWS, broadcast_if_small, checkpoint
 
 CANOPY_BANDS = {"cc": "cc_AF", "ch": "ch_AF", "cbh": "cbh_AF", "cbd": "cbd_AF"}
 FOREST_MIN_COVER = 10
@@ -19,23 +20,27 @@ def remap_surface(
     """Replace fuel codes through the long surface table ``(scenario, fbfm40, new_fbfm40)``.
 
     Codes are first limited to [0, highest code of the table]; codes without an entry keep their
-    value. The table has one row per scenario and fuel code (a few hundred), so it is replicated.
+    value. The table normally has a few hundred rows (scenarios x codes); it is stored, counted and
+    replicated only when it is that small.
     """
     require_columns(surface, ["scenario", "fbfm40", "new_fbfm40"], "surface table")
     name = F.lit(scenario) if isinstance(scenario, str) else scenario
-    top = surface.groupBy("scenario").agg(F.max("fbfm40").alias("_top"))
-    table = surface.join(F.broadcast(top), "scenario").select(
-        F.col("scenario").alias("_scenario"),
-        F.col("fbfm40").cast("int").alias("_code"),
-        F.col("new_fbfm40").cast("int").alias("_new"),
+    table = checkpoint(
+        surface.select(
+            F.col("scenario").alias("_scenario"),
+            F.col("fbfm40").cast("int").alias("_code"),
+            F.col("new_fbfm40").cast("int").alias("_new"),
+        )
     )
-    tops = top.select(F.col("scenario").alias("_scenario"), F.col("_top").cast("int"))
+    tops = table.groupBy("_scenario").agg(F.max("_code").alias("_top"))
+    if table.count() <= BROADCAST_ROWS:
+        table, tops = F.broadcast(table), F.broadcast(tops)
     keep = pixels.columns
     kind = pixels.schema[fuel].dataType
     clipped = F.greatest(F.lit(0), F.least(F.col(fuel).cast("int"), F.col("_top")))
     out = (
         pixels.withColumn("_scenario", name)
-        .join(F.broadcast(tops), "_scenario", "left")
+        .join(tops, "_scenario", "left")
         .withColumn(
             "_code",
             F.when(
@@ -45,7 +50,7 @@ def remap_surface(
                 ),
             ).otherwise(F.when(F.col(fuel).isNotNull(), clipped)),
         )
-        .join(F.broadcast(table), ["_scenario", "_code"], "left")
+        .join(table, ["_scenario", "_code"], "left")
     )
     new = F.coalesce("_new", "_code").cast(kind)
     return out.select(*[new.alias(c) if c == fuel else F.col(c) for c in keep])
@@ -66,7 +71,6 @@ def apply_treatment(
     Scenarios are names or columns, so many treatments run in one job. ``band_map`` maps the
     canonical band (``cc``, ``ch``, ``cbh``, ``cbd``, ``fbfm40``) to the table's column. ``mask``
     limits the change to pixels where it is true. Pixels with missing bands keep them missing.
-    The effects table has one row per treatment and is replicated.
     """
     names = {b: b for b in (*CANOPY_BANDS, "fbfm40")} | dict(band_map or {})
     require_columns(pixels, [names["cc"], names["fbfm40"]], "pixels")
@@ -77,7 +81,9 @@ def apply_treatment(
         *[F.col(f).cast("double").alias(f"_{f}") for f in CANOPY_BANDS.values()],
     )
     keep = pixels.columns
-    joined = pixels.withColumn("_trt", scenario).join(F.broadcast(factors), "_trt", "left")
+    joined = pixels.withColumn("_trt", scenario).join(
+        broadcast_if_small(factors), "_trt", "left"
+    )
     known = F.when(
         F.col("_cc_AF").isNull(),
         F.raise_error(F.concat(F.lit("unknown canopy scenario: "), "_trt")).cast("double"),
@@ -110,21 +116,18 @@ def apply_treatment(
 
 
 def crosswalk_effects(records: DataFrame, crosswalk: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(agency, treatment) → canopy and surface effect, translated to the effects tables' names.
-
-    Both dimension tables have a few dozen rows and are replicated.
-    """
+    """(agency, treatment) → canopy and surface effect, translated to the effects tables' names."""
     require_columns(records, ["agency", "treatment"], "records")
     walk = crosswalk.select(
         F.col("Agency").alias("agency"), F.col("Treatment").alias("treatment"), "CanEff", "SurfEff"
     )
-    names = aliases.select("label", "effect")
+    names = broadcast_if_small(aliases.select("label", "effect"))
     can = names.select(F.col("label").alias("CanEff"), F.col("effect").alias("_can"))
     surf = names.select(F.col("label").alias("SurfEff"), F.col("effect").alias("_surf"))
     return (
-        records.join(F.broadcast(walk), ["agency", "treatment"], "left")
-        .join(F.broadcast(can), "CanEff", "left")
-        .join(F.broadcast(surf), "SurfEff", "left")
+        records.join(broadcast_if_small(walk), ["agency", "treatment"], "left")
+        .join(can, "CanEff", "left")
+        .join(surf, "SurfEff", "left")
         .withColumns(
             {"CanEff": F.coalesce("_can", "CanEff"), "SurfEff": F.coalesce("_surf", "SurfEff")}
         )

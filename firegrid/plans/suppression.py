@@ -19,7 +19,7 @@ ROADED_M = 100.0
 
 
 def with_rtc(pixels: DataFrame, rtc: DataFrame, clipped: bool = True) -> DataFrame:
-    """Add ``rtc``: resistance to control by fuel model (table of a few dozen codes, replicated).
+    """Add ``rtc``: resistance to control by fuel model (normally a few dozen codes).
 
     With ``clipped`` the code is limited to [0, highest code] and codes without an entry get 0;
     otherwise they get NULL.
@@ -31,7 +31,9 @@ def with_rtc(pixels: DataFrame, rtc: DataFrame, clipped: bool = True) -> DataFra
         if top is None:
             raise ValueError("empty resistance-to-control table")
         code = F.when(code.isNotNull(), F.greatest(F.lit(0), F.least(code, F.lit(int(top)))))
-    out = pixels.withColumn("_code", code).join(F.broadcast(table), "_code", "left")
+    out = pixels.withColumn("_code", code).join(
+        broadcast_if_small(table), "_code", "left"
+    )
     if clipped:
         out = out.withColumn(
             "rtc", F.when(F.col("_code").isNotNull(), F.coalesce("rtc", F.lit(0.0)))

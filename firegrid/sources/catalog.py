@@ -156,6 +156,6 @@ def find_behavior_raster(files: DataFrame, requests: Sequence[tuple[str, str]])
     )
     wanted = files.sparkSession.createDataFrame(list(requests), "percentile string, band string")
     problem = F.raise_error(F.concat(F.lit("no raster for "), "percentile", F.lit(" "), "band"))
-    return F.broadcast(wanted).join(found, ["percentile", "band"], "left").select(
+    return wanted.join(found, ["percentile", "band"], "left").select(
         "percentile", "band", F.coalesce("path", problem.cast("string")).alias("path")
     )
