@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import Grid
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, checkpoint
 from .catalog import list_files
 
 # Grids a probability run writes, their file suffixes and band names.
@@ -26,12 +26,18 @@ HEADER = ("ncols", "nrows", "xllcorner", "yllcorner", "cellsize", "nodata_value"
 
 
 def numbered_lines(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
-    """``(path, line_no, value)`` with 0-based line numbers per file."""
-    lines = spark.read.text(paths).select(
-        F.regexp_replace("_metadata.file_path", "^file:/*", "/").alias("path"),
-        F.col("_metadata.file_block_start").alias("_at"),
-        F.monotonically_increasing_id().alias("_id"),
-        "value",
+    """``(path, line_no, value)`` with 0-based line numbers per file.
+
+    Files are scanned once and the lines stored: two scans may be cut into different splits, and
+    lines of splits that do not match would be lost in the join.
+    """
+    lines = checkpoint(
+        spark.read.text(paths).select(
+            F.regexp_replace("_metadata.file_path", "^file:/*", "/").alias("path"),
+            F.col("_metadata.file_block_start").alias("_at"),
+            F.monotonically_increasing_id().alias("_id"),
+            "value",
+        )
     )
     order = Window.partitionBy("path").orderBy("_at")
     splits = (
@@ -46,24 +52,23 @@ def numbered_lines(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame
 
 
 def parse_ascii_grids(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pixels, headers) from numbered lines. Header keys may be in either case; nodata → NULL."""
+    """(pixels, headers) from numbered lines. Header lines have one of the six keys, in either
+    case, and stand before the first row of data; nodata and NaN → NULL."""
     head = F.lower(F.regexp_extract("value", r"^\s*([A-Za-z_]+)\s+(\S+)", 1))
     number = F.regexp_extract("value", r"^\s*([A-Za-z_]+)\s+(\S+)", 2)
     marked = lines.withColumns({"_key": head, "_num": number})
-    headers = (
-        marked.where(F.col("_key") != "")
-        .groupBy("path")
-        .agg(
-            *[
-                F.max(F.when(F.col("_key") == k, F.col("_num").cast("double"))).alias(k)
-                for k in HEADER
-            ],
-            (F.max("line_no") + 1).alias("_skip"),
-        )
+    data = ~F.col("_key").isin(*HEADER) & (F.trim("value") != "")
+    first = F.min(F.when(data, F.col("line_no")))
+    headers = marked.groupBy("path").agg(
+        *[
+            F.max(F.when(F.col("_key") == k, F.col("_num").try_cast("double"))).alias(k)
+            for k in HEADER
+        ],
+        first.alias("_skip"),
     )
     cells = (
-        marked.where(F.col("_key") == "")
-        .join(broadcast_if_small(headers.select("path", "_skip", "nodata_value")), "path")
+        marked.join(broadcast_if_small(headers.select("path", "_skip", "nodata_value")), "path")
+        .where(F.col("line_no") >= F.col("_skip"))
         .select(
             "path", (F.col("line_no") - F.col("_skip")).cast("int").alias("row"), "nodata_value",
             F.posexplode(F.split(F.trim("value"), r"\s+")).alias("col", "_text"),
@@ -73,7 +78,8 @@ def parse_ascii_grids(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     nodata = F.coalesce("nodata_value", F.lit(-9999.0))
     pixels = cells.select(
-        "path", "row", "col", F.when(F.col("_v") != nodata, F.col("_v")).alias("value")
+        "path", "row", "col",
+        F.when((F.col("_v") != nodata) & ~F.isnan("_v"), F.col("_v")).alias("value"),
     )
     return pixels, headers.select("path", *HEADER)
 
