@@ -34,10 +34,35 @@ def tiled_with_halo(
             (F.floor(F.col("row") / tile) == F.col("_trow"))
             & (F.floor(F.col("col") / tile) == F.col("_tcol")),
         )
-        .repartition(*keys, "_trow", "_tcol")
     )
 
 
+def with_missing_cells(tiled: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Add rows for the cells that a tile lacks between its pixels (``_own`` false, no values).
+
+    A window down a column finds a neighbour row only through a cell of that column. Tiles whose
+    pixels are complete get no rows; the pixels are shuffled once, by tile.
+    """
+    base = [*keys, "_trow", "_tcol"]
+    boxes = (
+        tiled.groupBy(*base)
+        .agg(
+            F.count("*").alias("_n"),
+            *[f(c).alias(f"_{f.__name__}_{c}") for c in ("row", "col") for f in (F.min, F.max)],
+        )
+        .where(
+            F.col("_n")
+            < (F.col("_max_row") - F.col("_min_row") + 1) * (F.col("_max_col") - F.col("_min_col") + 1)
+        )
+    )
+    frame = (
+        boxes.withColumn("row", F.explode(F.sequence("_min_row", "_max_row")))
+        .withColumn("col", F.explode(F.sequence("_min_col", "_max_col")))
+        .select(*base, "row", "col", F.lit(False).alias("_own"))
+    )
+    return tiled.unionByName(frame, allowMissingColumns=True).repartition(*base)
+
+
 def disk_half_widths(radius_cells: float) -> dict[int, int]:
     """Row offset → half width of the disk ``dr² + dc² <= radius²``."""
     r = int(math.floor(radius_cells + 1e-9))
@@ -56,7 +81,7 @@ def disk_sums(
     widths = disk_half_widths(radius_cells)
     halo = max(widths)
     base = [*keys, "_trow", "_tcol"]
-    df = tiled_with_halo(pixels, halo, keys, tile)
+    df = with_missing_cells(tiled_with_halo(pixels, halo, keys, tile), keys)
     along = Window.partitionBy(*base, "row").orderBy("col")
     parts = {}
     for w in sorted(set(widths.values())):
@@ -69,7 +94,7 @@ def disk_sums(
 
     def total(name: Callable[[int], str]) -> Column:
         terms = [
-            F.coalesce(F.sum(name(w)).over(down.rangeBetween(dr, dr)), F.lit(0))
+            F.coalesce(F.max(name(w)).over(down.rangeBetween(dr, dr)), F.lit(0))
             for dr, w in widths.items()
         ]
         out = terms[0]
@@ -107,7 +132,7 @@ def slope_percent(
     """Add ``slope_pct``: percent rise by Horn's 3x3 formula; missing neighbours (raster edge)
     take the centre's elevation."""
     base = [*keys, "_trow", "_tcol"]
-    df = tiled_with_halo(pixels, 1, keys, tile)
+    df = with_missing_cells(tiled_with_halo(pixels, 1, keys, tile), keys)
     along = Window.partitionBy(*base, "row").orderBy("col")
     down = Window.partitionBy(*base, "col").orderBy("row")
     z = F.col(elev).cast("double")

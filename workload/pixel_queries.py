@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from firegrid import Grid
-from firegrid.operators import algebra, focal, synthetic, treatment
+from firegrid.operators import algebra, focal, rasterize, synthetic, treatment
 from firegrid.sources import tables as src
 
 from .registry import query, r6
@@ -244,6 +244,42 @@ def slope_from_elevation(t):
     return r6(focal.slope_percent(t.px.select("row", "col", "elev"), CELL).drop("elev"))
 
 
+# Pixels clipped to the treatment polygons: the cells between them are absent, not NULL.
+CLIPPED = """SELECT p.row, p.col, p.flamelength, p.elev FROM {px} p
+WHERE EXISTS (SELECT 1 FROM {zone_cells} z WHERE z.row = p.row AND z.col = p.col)"""
+
+
+def clipped(t):
+    spans = rasterize.polygon_spans(t.zone_edges, t.grid)
+    return rasterize.clip_pixels(t.px.select("row", "col", "flamelength", "elev"), spans)
+
+
+@query(
+    "P19",
+    """SELECT a.row, a.col, round(avg(b.flamelength), 6) AS flamelength_focal
+FROM {clipped} a JOIN {clipped} b ON b.row BETWEEN a.row - 1 AND a.row + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1
+GROUP BY a.row, a.col""",
+    clipped=CLIPPED,
+)
+def focal_mean_clipped(t):
+    out = focal.focal_mean(clipped(t).drop("elev"), ["flamelength"], 56.41896, CELL)
+    return r6(out.drop("flamelength"))
+
+
+@query(
+    "P20",
+    f"""SELECT row, col, round(sqrt(dx * dx + dy * dy) * 100, 6) AS slope_pct FROM (
+ SELECT a.row, a.col,
+  (({_near(-1, 1)} + 2 * {_near(0, 1)} + {_near(1, 1)}) - ({_near(-1, -1)} + 2 * {_near(0, -1)} + {_near(1, -1)})) / 240.0::DOUBLE AS dx,
+  (({_near(1, -1)} + 2 * {_near(1, 0)} + {_near(1, 1)}) - ({_near(-1, -1)} + 2 * {_near(-1, 0)} + {_near(-1, 1)})) / 240.0::DOUBLE AS dy
+ FROM {{clipped}} a JOIN {{clipped}} b ON b.row BETWEEN a.row - 1 AND a.row + 1 AND b.col BETWEEN a.col - 1 AND a.col + 1
+ GROUP BY a.row, a.col)""",
+    clipped=CLIPPED,
+)
+def slope_from_clipped(t):
+    return r6(focal.slope_percent(clipped(t).select("row", "col", "elev"), CELL).drop("elev"))
+
+
 @query(
     "P21",
     """SELECT row, col, coalesce(undisturbed = 1 AND burnable = 1 AND bps = 1, false) AS keep FROM {masks}""",
