@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import Grid, require_columns
+from ..session import checkpoint
 from .focal import TILE, disk_half_widths
 from .rasterize import grid_edges, line_spans, span_cells
 
@@ -84,21 +85,94 @@ def cell_distance(cells: DataFrame, cell: float, max_distance: float,
     )
 
 
+def _far_solver(tile: int, cell: float):
+    """Grouped function for :func:`far_distance`: distances of the open cells of one tile to the
+    marked cells that may hold their nearest one."""
+
+    def solve(left, right):
+        import numpy as np
+        import pandas as pd
+
+        rows, cols = left["row"].to_numpy("float64"), left["col"].to_numpy("float64")
+        marks = right[["row", "col"]].to_numpy("float64")
+        best = np.full(len(left), np.inf)
+        for at in range(0, len(marks), 256):
+            part = marks[at : at + 256]
+            near = (rows[:, None] - part[None, :, 0]) ** 2 + (cols[:, None] - part[None, :, 1]) ** 2
+            np.minimum(best, near.min(axis=1), out=best)
+        return pd.DataFrame(
+            {"row": left["row"], "col": left["col"], "distance_m": np.sqrt(best) * cell}
+        )
+
+    return solve
+
+
+def far_distance(open_cells: DataFrame, marked: DataFrame, cell: float, tile: int = 64) -> DataFrame:
+    """Distance of ``open_cells`` to the nearest cell of ``marked``, however far.
+
+    Works on tiles first: a tile's nearest marked tile bounds the distance of all its cells, and only
+    marked tiles that could be nearer are joined. Tiles find their marked tiles in squares of tiles
+    that double in width until the bound is covered, so a join is by equal keys.
+    """
+    index = lambda c: F.floor(F.col(c) / tile).cast("long")
+    cells = open_cells.select("row", "col", index("row").alias("tr"), index("col").alias("tc"))
+    marks = marked.select("row", "col", index("row").alias("mr"), index("col").alias("mc")).distinct()
+    mark_tiles = checkpoint(marks.select("mr", "mc").distinct())
+    waiting = checkpoint(cells.select("tr", "tc").distinct())
+    around = F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))
+    gap = lambda a, b: F.abs(F.col(a) - F.col(b))
+    span = lambda f: F.hypot(f(gap("tr", "mr")), f(gap("tc", "mc")))
+    nearest = span(lambda g: F.greatest(g * tile - (tile - 1), F.lit(0)))
+    farthest = span(lambda g: g * tile + (tile - 1))
+    pairs, width = None, 2
+    while not waiting.isEmpty():
+        square = lambda c: F.floor(F.col(c) / width).cast("long")  # noqa: E731, B023
+        candidates = (
+            waiting.withColumn("_dr", around).withColumn("_dc", around)
+            .select("tr", "tc", (square("tr") + F.col("_dr")).alias("_r"), (square("tc") + F.col("_dc")).alias("_c"))
+            .join(mark_tiles.withColumns({"_r": square("mr"), "_c": square("mc")}), ["_r", "_c"])
+            .withColumns({"_near": nearest, "_far": farthest})
+        )
+        bound = candidates.groupBy("tr", "tc").agg(F.min("_far").alias("_bound"))
+        # The square around a tile certainly covers all tiles up to ``width`` tiles away.
+        settled = checkpoint(bound.where(F.col("_bound") <= width * tile))
+        found = candidates.join(settled, ["tr", "tc"]).where(F.col("_near") <= F.col("_bound"))
+        found = checkpoint(found.select("tr", "tc", "mr", "mc"))
+        pairs = found if pairs is None else pairs.unionByName(found)
+        waiting = checkpoint(waiting.join(settled, ["tr", "tc"], "left_anti"))
+        width *= 2
+    if pairs is None:
+        return cells.select("row", "col", F.lit(None).cast("double").alias("distance_m"))
+    wanted = pairs.join(marks, ["mr", "mc"]).select(F.col("tr").alias("_r"), F.col("tc").alias("_c"), "row", "col")
+    return cells.groupBy("tr", "tc").cogroup(wanted.groupBy("_r", "_c")).applyInPandas(
+        _far_solver(tile, float(cell)), "row int, col int, distance_m double"
+    )
+
+
 def road_distance(
-    roads: DataFrame, grid: Grid, max_road_code: int = 7, max_distance: float = ROAD_BOUND_M
+    roads: DataFrame, grid: Grid, max_road_code: int = 7, max_distance: float | None = None
 ) -> DataFrame:
-    """Distance to the nearest road of class ``<= max_road_code`` for all cells within the bound.
+    """Distance to the nearest road of class ``<= max_road_code`` for every cell of the grid, or for
+    the cells within ``max_distance``. Without any usable road an error is raised.
 
-    Absent cells are farther than 900 m, where every class of the index is the same. Without any
-    usable road an error is raised.
+    Cells within 900 m are solved tile by tile; only the others look farther.
     """
     require_columns(roads, ["feature_id", "highway_code", "x1", "y1", "x2", "y2"], "roads")
     usable = roads.where(F.col("highway_code") <= max_road_code)
     if usable.isEmpty():
         raise RuntimeError(f"no road with highway_code <= {max_road_code}")
     cells = span_cells(line_spans(usable.withColumn("_all", F.lit(1)), grid, ["_all"])).drop("_all")
-    out = cell_distance(cells, grid.cell, max_distance)
-    return out.where(grid.inside())
+    if max_distance is not None:
+        return cell_distance(cells, grid.cell, max_distance).where(grid.inside())
+    cells = checkpoint(cells.distinct())
+    near = checkpoint(cell_distance(cells, grid.cell, ROAD_BOUND_M).where(grid.inside()))
+    spark = roads.sparkSession
+    whole = (
+        spark.range(grid.nrows).select(F.col("id").cast("int").alias("row"))
+        .withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(grid.ncols - 1))))
+    )
+    far = far_distance(whole.join(near, ["row", "col"], "left_anti"), cells, grid.cell)
+    return near.select("row", "col", "distance_m").unionByName(far)
 
 
 def trail_density(trails: DataFrame, grid: Grid, radius_m: float = TRAIL_RADIUS_M) -> DataFrame:

@@ -126,10 +126,12 @@ def points_within_distance(
     distance: float,
     key: str = "feature_id",
     point_id: str = "point_id",
+    tile: float = 1000.0,
 ) -> DataFrame:
     """(point, polygon) pairs where the point lies in the polygon or within ``distance`` of it.
-    A point near several polygons appears once for each."""
-    tile = float(distance)
+    A point near several polygons appears once for each. Tiles are at least as wide as the
+    distance."""
+    tile = float(max(distance, tile))
     near_edges = _edges_by_tile(edges, tile, [key], reach=distance)
     placed = points.select(
         point_id, "x", "y", _tile_of("x", tile).alias("_tx"), _tile_of("y", tile).alias("_ty")
@@ -160,11 +162,12 @@ def _segments_meet() -> Column:
 
 
 def near_line_flag(
-    polygons: DataFrame, lines: DataFrame, distance: float = 300.0, key: str = "feature_id"
+    polygons: DataFrame, lines: DataFrame, distance: float = 300.0, key: str = "feature_id",
+    tile: float = 1000.0,
 ) -> DataFrame:
     """Per polygon: ``Line`` when it comes within ``distance`` of any line segment (or holds
-    one), else ``Interior``."""
-    tile = float(distance)
+    one), else ``Interior``. Tiles are at least as wide as the distance."""
+    tile = float(max(distance, tile))
     segs = lines.select(
         F.col("x1").alias("u1"), F.col("y1").alias("v1"),
         F.col("x2").alias("u2"), F.col("y2").alias("v2"),
@@ -191,7 +194,7 @@ def near_line_flag(
     )
     starts = segs.select(
         F.col("u1").alias("x"), F.col("v1").alias("y")
-    ).distinct().withColumn("point_id", F.xxhash64("x", "y"))
+    ).distinct().withColumn("point_id", F.struct("x", "y"))
     held = points_in_polygons(starts, polygons, tile, key).select(key)
     hit = close.unionByName(held).distinct().withColumn("_hit", F.lit(True))
     return (
@@ -258,42 +261,39 @@ def nearest_grid_points(
     k: int = 1,
     bucket_deg: float = 0.25,
     point_id: str = "point_id",
-    max_ring: int = 64,
 ) -> DataFrame:
-    """The ``k`` nearest lattice points of each point, distance in degrees.
+    """The ``k`` nearest lattice points of each point, distance in degrees, however far.
 
-    Points first search their bucket and the ring around it. A point is settled when its k-th
-    distance does not exceed the width that ring covers for certain; the others search again with
-    twice the ring. Points at the same place are searched once.
+    Points first search their bucket and the eight around it. A point is settled when its k-th
+    distance does not exceed the bucket's width, which that ring covers for certain; the others
+    search again in buckets of twice the width, until the ring spans the globe. Points at the same
+    place are searched once.
     """
     require_columns(points, [point_id, "lon", "lat"], "points")
     require_columns(lattice, ["gid", "lon", "lat"], "lattice")
-    bucket = lambda c: F.floor(F.col(c) / bucket_deg).cast("int")
     located = points.withColumn("_lon", to_lon180("lon"))
-    spots = (
-        located.select(F.col("_lon").alias("lon"), "lat")
-        .distinct()
-        .withColumns({"_bx": bucket("lon"), "_by": bucket("lat")})
-    )
-    grid = broadcast_if_small(
-        lattice.select("gid", to_lon180("lon").alias("glon"), F.col("lat").alias("glat"))
-        .distinct()
-        .withColumns({"_bx": bucket("glon"), "_by": bucket("glat")})
+    grid = checkpoint(
+        lattice.select("gid", to_lon180("lon").alias("glon"), F.col("lat").alias("glat")).distinct()
     )
-    total = lattice.select("gid").distinct().limit(k).count()
+    total = grid.select("gid").distinct().limit(k).count()
     if total < k:
         raise ValueError(f"lattice has only {total} points, {k} wanted")
-    found, ring, open_spots = None, 1, spots
+    found, width = None, float(bucket_deg)
+    open_spots = located.select(F.col("_lon").alias("lon"), "lat").where(
+        F.col("lon").isNotNull() & F.col("lat").isNotNull()
+    ).distinct()
     nearest = Window.partitionBy("lon", "lat").orderBy("distance_deg", "gid")
+    around = F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))
     while True:
-        around = F.sequence(F.lit(-ring), F.lit(ring))
+        bucket = lambda c: F.floor(F.col(c) / width).cast("int")  # noqa: E731, B023
+        buckets = broadcast_if_small(grid.withColumns({"_bx": bucket("glon"), "_by": bucket("glat")}))
         ranked = checkpoint(
-            open_spots.select("lon", "lat", "_bx", "_by")
-            .withColumn("_dx", F.explode(around))
-            .withColumn("_dy", F.explode(around))
-            .withColumns({"_bx": F.col("_bx") + F.col("_dx"), "_by": F.col("_by") + F.col("_dy")})
+            open_spots.select("lon", "lat")
+            .withColumn("_dx", around)
+            .withColumn("_dy", around)
+            .withColumns({"_bx": bucket("lon") + F.col("_dx"), "_by": bucket("lat") + F.col("_dy")})
             .drop("_dx", "_dy")
-            .join(grid, ["_bx", "_by"])
+            .join(buckets, ["_bx", "_by"])
             .withColumn(
                 "distance_deg", F.hypot(F.col("lon") - F.col("glon"), F.col("lat") - F.col("glat"))
             )
@@ -301,21 +301,15 @@ def nearest_grid_points(
             .where(F.col("rank") <= k)
             .select("lon", "lat", "gid", "distance_deg", "rank")
         )
-        settled = (
-            ranked.where(
-                (F.col("rank") == k) & (F.col("distance_deg") <= ring * bucket_deg)
-            )
-            .select("lon", "lat")
-        )
+        whole = width >= 720.0  # no two places are farther apart
+        settled = ranked.where((F.col("rank") == k) & (F.lit(whole) | (F.col("distance_deg") <= width)))
+        settled = settled.select("lon", "lat")
         done = ranked.join(settled, ["lon", "lat"], "left_semi")
         found = done if found is None else found.unionByName(done)
         open_spots = checkpoint(open_spots.join(settled, ["lon", "lat"], "left_anti"))
-        if ring >= max_ring or open_spots.isEmpty():
+        if whole or open_spots.isEmpty():
             break
-        ring = min(2 * ring, max_ring)
-    if not open_spots.isEmpty():
-        span = max_ring * bucket_deg
-        raise ValueError(f"points farther than {span} degrees from {k} lattice points")
+        width *= 2.0
     hits = found.withColumnsRenamed({"lon": "_lon", "lat": "_lat"})
     return located.join(
         hits, (located["_lon"] == hits["_lon"]) & (located["lat"] == hits["_lat"])

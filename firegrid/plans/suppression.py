@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import sdi_classes as sc
 from ..functions.common import half_even
 from ..operators.distance import (
-    CIRCLE_RADIUS_M, line_length_in_circle, road_distance, trail_density,
+    CIRCLE_RADIUS_M, ROAD_BOUND_M, line_length_in_circle, road_distance, trail_density,
 )
 from ..operators.focal import focal_mean, slope_percent
 from ..operators.rasterize import line_spans, span_cells
@@ -64,7 +64,7 @@ def calculate_sdi(
     require_columns(
         pixels, ["row", "col", "slpd", "asp", "fbfm40", "flamelength", "heatarea"], "landscape"
     )
-    access = road_distance(roads, grid).join(
+    access = road_distance(roads, grid, max_distance=ROAD_BOUND_M).join(
         trail_density(trails, grid), ["row", "col"], "full_outer"
     )
     joined = with_rtc(pixels, rtc).join(broadcast_if_small(access), ["row", "col"], "left")
@@ -107,7 +107,7 @@ def calculate_sdi_smoothed(
         "row", "col", F.lit(True).alias("_on_line")
     )
     access = (
-        road_distance(roads, grid)
+        road_distance(roads, grid, max_distance=ROAD_BOUND_M)
         .join(
             line_length_in_circle(trails.select(*lines).unionByName(slow), grid),
             ["row", "col"], "full_outer",

@@ -179,7 +179,7 @@ def test_nearest_points_widen_the_search(spark):
     rnd = random.Random(5)
     grid = [(i, rnd.uniform(0, 4) + (359 if i % 2 else 0) % 360, rnd.uniform(0, 4)) for i in range(60)]
     lattice = spark.createDataFrame(grid, "gid long, lon double, lat double")
-    pts = [(1, 0.1, 0.1), (2, 2.0, 2.0), (3, -3.0, 6.0), (4, 2.0, 2.0)]
+    pts = [(1, 0.1, 0.1), (2, 2.0, 2.0), (3, -3.0, 6.0), (4, 2.0, 2.0), (5, 120.0, -70.0)]
     out = spatial_join.nearest_grid_points(
         spark.createDataFrame(pts, "point_id long, lon double, lat double"), lattice, k=3, bucket_deg=0.5
     ).collect()
@@ -266,3 +266,32 @@ def test_cell_lengths_add_up(spark):
     assert {(r["row"], r["col"]) for r in out.collect()} == {
         (r["row"], r["col"]) for r in rasterize.span_cells(rasterize.line_spans(frame(spark, rows), G5)).collect()
     }
+
+
+def test_road_distance_reaches_every_cell(spark):
+    grid = Grid(x0=0.0, y0=0.0, cell=30.0, nrows=150, ncols=330)
+    roads = spark.createDataFrame([(1, 3, 15.0, -15.0, 75.0, -15.0), (2, 5, 9000.0, -2000.0, 9300.0, -2100.0), (3, 9, 5000.0, -3000.0, 5100.0, -3000.0)],
+                                  "feature_id long, highway_code int, x1 double, y1 double, x2 double, y2 double")
+    got = {(r["row"], r["col"]): r["distance_m"] for r in distance.road_distance(roads, grid).collect()}
+    marks = [k for k, v in got.items() if v == 0.0]
+    assert len(got) == 150 * 330 and len(marks) > 10
+    for row, col in [(0, 0), (149, 0), (149, 329), (75, 160), (0, 329), (100, 31)]:
+        want = 30 * min(math.hypot(row - r, col - c) for r, c in marks)
+        assert got[(row, col)] == pytest.approx(want)
+
+
+def test_focal_windows_over_absent_cells(spark):
+    rows = [(r, c, float(r * 3 + c), float((r * 7 + c * 5) % 11)) for r in range(9) for c in range(9) if (r * 5 + c * 3) % 4]
+    have = {(r, c): (v, e) for r, c, v, e in rows}
+    frame = spark.createDataFrame(rows, "row int, col int, v double, elev double")
+    for r in focal.focal_mean(frame, ["v"], 60.0, 30.0, tile=4).collect():
+        near = [have[(r["row"] + dr, r["col"] + dc)][0] for dr in range(-2, 3) for dc in range(-2, 3)
+                if dr * dr + dc * dc <= 4 and (r["row"] + dr, r["col"] + dc) in have]
+        assert r["v_focal"] == pytest.approx(sum(near) / len(near))
+    out = {(r["row"], r["col"]): r["slope_pct"] for r in focal.slope_percent(frame, 30.0, tile=4).collect()}
+    assert set(out) == set(have)
+    for (r, c), slope in out.items():
+        z = lambda dr, dc: have.get((r + dr, c + dc), have[(r, c)])[1]  # noqa: B023, E731
+        dx = (z(-1, 1) + 2 * z(0, 1) + z(1, 1) - z(-1, -1) - 2 * z(0, -1) - z(1, -1)) / 240
+        dy = (z(1, -1) + 2 * z(1, 0) + z(1, 1) - z(-1, -1) - 2 * z(-1, 0) - z(-1, 1)) / 240
+        assert slope == pytest.approx(math.hypot(dx, dy) * 100)

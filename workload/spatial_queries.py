@@ -69,7 +69,11 @@ FROM {px} p JOIN (SELECT DISTINCT row, col FROM {trail_cells}) r
 GROUP BY p.row, p.col"""
 
 
-@query("G1", "SELECT row, col, round(distance_m, 6) AS distance_m FROM {road_dist}", road_dist=ROAD_DIST)
+@query(
+    "G1",
+    """SELECT p.row, p.col, round(sqrt(min((p.row - r.row) * (p.row - r.row) + (p.col - r.col) * (p.col - r.col))) * 30, 6) AS distance_m
+FROM {px} p CROSS JOIN (SELECT DISTINCT row, col FROM {road_cells} WHERE highway_code <= 7) r GROUP BY p.row, p.col""",
+)
 def road_distance(t):
     return r6(distance.road_distance(t.roads, t.grid))
 
@@ -555,13 +559,15 @@ def road_normalisation(t):
     "G30",
     """SELECT fire_id, gid, CAST(rank AS INT) AS rank, round(d, 9) AS distance_deg FROM (
  SELECT fire_id, gid, d, row_number() OVER (PARTITION BY fire_id ORDER BY d, gid) AS rank FROM (
-  SELECT f.fire_id, l.gid, sqrt((f.lon - (l.lon - 360)) ** 2 + (f.lat - l.lat) ** 2) AS d FROM {fires} f
-  JOIN {lattice} l ON l.lon - 360 BETWEEN f.lon - 0.4 AND f.lon + 0.4 AND l.lat BETWEEN f.lat - 0.4 AND f.lat + 0.4))
+  SELECT f.fire_id, l.gid, sqrt((f.lon - (l.lon - 360)) ** 2 + (f.lat - l.lat) ** 2) AS d
+  FROM (SELECT fire_id, lon, lat FROM {fires} UNION ALL SELECT -1, -60.5::DOUBLE, 12.25::DOUBLE) f CROSS JOIN {lattice} l))
 WHERE rank <= 9""",
 )
 def nearest_wind_points(t):
+    fires = t.fires.select("fire_id", "lon", "lat")
+    far = t.spark.createDataFrame([(-1, -60.5, 12.25)], "fire_id long, lon double, lat double")
     out = spatial_join.nearest_grid_points(
-        t.fires.select("fire_id", "lon", "lat"), t.lattice, k=9, bucket_deg=0.1, point_id="fire_id"
+        fires.union(far.select([far[f.name].cast(f.dataType) for f in fires.schema])), t.lattice, k=9, bucket_deg=0.1, point_id="fire_id"
     )
     return out.select("fire_id", "gid", "rank", F.round("distance_deg", 9).alias("distance_deg"))
 
