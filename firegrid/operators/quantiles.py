@@ -1,10 +1,9 @@
 """Exact grouped quantiles that never gather a whole group in one task.
 
-The values of a group are counted first; the shuffle key includes the value, so a group with a
-third of all rows is spread over the cluster. The counts are stored once. Spark's ``percentile``
-keeps every distinct value of a group in one buffer, so it is used only when the largest group is
-measured to be small. Otherwise the counts are cut into slices at approximate splitters, and only
-the slices that hold a wanted rank are sorted, each slice in its own task.
+Approximate quantiles, merged from partial summaries, give each wanted rank a bracket of values that
+certainly holds it. A second pass counts what lies below the bracket on the map side and shuffles
+only the values inside: a few thousandths of the rows, spread over one bracket per rank. Nothing is
+stored but the brackets, and one way serves groups of every size.
 """
 
 from __future__ import annotations
@@ -14,11 +13,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint
+from ..session import broadcast_if_small
 
-SLICES = 64
-# Distinct values per group up to which one buffer (some 10 MB) may hold them all.
-BUFFERED_VALUES = 200_000
+# Equal steps of probability at which approximate quantiles are kept; brackets are about three wide.
+STEPS = 1000
 
 
 def exact_quantiles(
@@ -26,104 +24,77 @@ def exact_quantiles(
     keys: Sequence[str],
     measures: Mapping[str, Column | str],
     probs: Sequence[float] = (0.5,),
-    slices: int = SLICES,
-    buffered: int = BUFFERED_VALUES,
+    steps: int = STEPS,
 ) -> DataFrame:
     """Linearly interpolated quantiles of each measure per group, NULLs ignored.
 
     Returns ``keys``, ``measure``, ``n`` (non-NULL rows) and ``q`` (one value per probability).
-    Groups without any value are absent.
+    Groups without any value are absent. ``df`` is read twice.
     """
     keys = list(keys)
     group = [*keys, "measure"]
     values = F.explode(
         F.array(
             *[
-                F.struct(F.lit(name).alias("measure"), F.col(c).cast("double").alias("v"))
-                if isinstance(c, str)
-                else F.struct(F.lit(name).alias("measure"), c.cast("double").alias("v"))
+                F.struct(
+                    F.lit(name).alias("measure"),
+                    (F.col(c) if isinstance(c, str) else c).cast("double").alias("v"),
+                )
                 for name, c in measures.items()
             ]
         )
     )
-    counted = (
+    rows = (
         df.select(*keys, values.alias("_m"))
         .select(*keys, "_m.measure", "_m.v")
         .where(F.col("v").isNotNull() & ~F.isnan("v"))
-        .groupBy(*group, "v")
-        .agg(F.count("*").alias("n"))
     )
-    counted = checkpoint(counted)
-    largest = counted.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
-    if largest <= buffered:
-        q = F.percentile("v", F.array(*[F.lit(float(p)) for p in probs]), F.col("n"))
-        return counted.groupBy(*group).agg(F.sum("n").alias("n"), q.alias("q"))
-    return _sliced_quantiles(counted, group, probs, slices)
+    grid = [i / steps for i in range(steps + 1)]
+    summary = rows.groupBy(*group).agg(
+        F.count("*").alias("n"), F.percentile_approx("v", grid, 4 * steps).alias("_cuts")
+    )
 
+    def cut(index: Column) -> Column:
+        return F.get("_cuts", F.least(F.greatest(index.cast("int"), F.lit(0)), F.lit(steps)))
 
-def _sliced_quantiles(
-    counted: DataFrame, group: Sequence[str], probs: Sequence[float], slices: int
-) -> DataFrame:
-    cuts = [i / slices for i in range(1, slices)]
-    splitters = counted.groupBy(*group).agg(
-        F.percentile_approx("v", cuts, 4 * slices).alias("cuts"), F.sum("n").alias("total")
-    )
-    sliced = counted.join(splitters, group).withColumn(
-        "slice", F.size(F.filter("cuts", lambda s: s < F.col("v")))
-    )
-    sizes = sliced.groupBy(*group, "slice").agg(
-        F.sum("n").alias("slice_n"), F.first("total").alias("total")
-    )
-    ranks = F.array_distinct(
-        F.flatten(
-            F.array(
-                *[
-                    F.array(
-                        F.floor((F.col("total") - 1) * p).cast("bigint"),
-                        F.ceil((F.col("total") - 1) * p).cast("bigint"),
-                    )
-                    for p in probs
-                ]
+    # A summary errs by less than a step; the ranks around p lie within 1/n of it.
+    brackets = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("i"),
+                cut(F.floor(steps * (F.lit(float(p)) - 1 / F.col("n"))) - 1).alias("lo"),
+                cut(F.ceil(steps * (F.lit(float(p)) + 1 / F.col("n"))) + 1).alias("hi"),
             )
-        )
+            for i, p in enumerate(probs)
+        ]
     )
-    in_order = Window.partitionBy(*group).orderBy("slice")
-    wanted = (
-        sizes.withColumn("before", F.sum("slice_n").over(in_order) - F.col("slice_n"))
-        .withColumn(
-            "ranks",
-            F.filter(
-                ranks,
-                lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("slice_n")),
-            ),
-        )
-        .where(F.size("ranks") > 0)
-        .select(*group, "slice", "before", "ranks")
+    brackets = broadcast_if_small(summary.select(*group, "n", brackets.alias("_b")))
+    side = brackets.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], "_b")
+    same = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(group)]
+    on = same[0]
+    for term in same[1:]:
+        on = on & term
+    inside = (
+        rows.join(side, on)
+        .select(*group, "v", F.explode(F.filter("_b", lambda b: F.col("v") <= b["hi"])).alias("_b"))
+        .groupBy(*group, F.col("_b.i").alias("i"), F.when(F.col("v") >= F.col("_b.lo"), F.col("v")).alias("v"))
+        .agg(F.count("*").alias("m"))
     )
-    within = Window.partitionBy(*group, "slice").orderBy("v")
-    picked = (
-        sliced.join(wanted, [*group, "slice"])
-        .withColumn("_end", F.col("before") + F.sum("n").over(within))
-        .withColumn(
-            "hit",
-            F.filter(
-                "ranks", lambda r: (r >= F.col("_end") - F.col("n")) & (r < F.col("_end"))
-            ),
-        )
-        .where(F.size("hit") > 0)
-        .select(*group, "total", "v", F.explode("hit").alias("rank"))
+    # Rows below a bracket have no value and come first.
+    within = Window.partitionBy(*group, "i").orderBy(F.asc_nulls_first("v"))
+    sizes = brackets.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], "n")
+    placed = inside.withColumn("_end", F.sum("m").over(within)).where(F.col("v").isNotNull())
+    position = (F.col("n") - 1) * F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("i") + 1)
+    ranked = placed.join(sizes, on).withColumn("_pos", position)
+    holds = lambda rank: (rank >= F.col("_end") - F.col("m")) & (rank < F.col("_end"))
+    ends = ranked.groupBy(*group, "n", "i", "_pos").agg(
+        F.max(F.when(holds(F.floor("_pos")), F.col("v"))).alias("_low"),
+        F.max(F.when(holds(F.ceil("_pos")), F.col("v"))).alias("_high"),
     )
-    # At most two ranks per probability: a bounded list.
-    at_rank = F.map_from_entries(F.collect_list(F.struct("rank", "v")))
-    per_group = picked.groupBy(*group).agg(F.first("total").alias("n"), at_rank.alias("at"))
-
-    def value(p: float) -> Column:
-        pos = (F.col("n") - 1) * F.lit(float(p))
-        low = F.element_at("at", F.floor(pos).cast("bigint"))
-        high = F.element_at("at", F.ceil(pos).cast("bigint"))
-        return low + (high - low) * (pos - F.floor(pos))
-
-    return per_group.select(*group, "n", F.array(*[value(p) for p in probs]).alias("q"))
+    value = F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_pos") - F.floor("_pos"))
+    # One value per probability: a bounded list.
+    ordered = F.array_sort(F.collect_list(F.struct("i", value.alias("q"))))
+    return ends.groupBy(*group, "n").agg(F.transform(ordered, lambda s: s["q"]).alias("q"))
 
 
 def medians(
