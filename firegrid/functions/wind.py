@@ -42,3 +42,8 @@ def direction_bin(wd_deg: Column | str, breaks: Sequence[float] = DIR_BREAKS_DEG
 
 def circular_mean_deg(mean_sin: Column, mean_cos: Column) -> Column:
     return F.pmod(F.degrees(F.atan2(mean_sin, mean_cos)) + 360.0, F.lit(360.0))
+
+
+def known_direction_bin(direction: Column | str, dir_breaks: Sequence[float]) -> Column:
+    """Direction bin; a missing direction falls into the last one."""
+    return F.coalesce(direction_bin(direction, dir_breaks), F.lit(len(dir_breaks) - 1))

@@ -13,6 +13,7 @@ from ..functions.bins import (
 )
 from ..functions.names import safe_name
 from ..schema import require_columns
+from ..session import checkpoint
 from .rasterize import disjoint_spans, join_pixels
 from .zonal import zonal_categorical, zonal_continuous
 
@@ -37,6 +38,7 @@ def class_change(
     prefix: str,
     nodata_in_denominator: bool = False,
     rasters: DataFrame | None = None,
+    zones: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """Class shares before and after treatment, per (treatment, percentile, class).
 
@@ -44,11 +46,10 @@ def class_change(
     The baseline is read over the zone grid of all treatments, each treated raster over the zone
     grid of its own type. Unmatched sides count as 0; delta = treated − baseline. ``rasters`` is
     the catalog ``(type, percentile)`` of the treated rasters; without one it is found by
-    aggregating those two columns.
+    aggregating those two columns. ``zones`` are the grids of ``zone_grids``, made here if absent.
     """
     require_columns(attrs, ATTRS, "treatments")
-    all_zones = disjoint_spans(spans, attrs)
-    own_zones = disjoint_spans(spans, attrs, keys=["type"])
+    all_zones, own_zones = zones or zone_grids(spans, attrs)
     keys = ["feature_id", "percentile"]
     kw = {"name": "_class", "nodata_in_denominator": nodata_in_denominator}
     bl = zonal_categorical(join_pixels(baseline, all_zones), value, keys, **kw)
@@ -73,6 +74,14 @@ def class_change(
     )
 
 
+def zone_grids(spans: DataFrame, attrs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Zone grid of all treatments and zone grids of each type, stored, so that several tables
+    (``zones``) share them."""
+    return checkpoint(disjoint_spans(spans, attrs)), checkpoint(
+        disjoint_spans(spans, attrs, keys=["type"])
+    )
+
+
 def flame_length_change(baseline, treated, spans, attrs, flame: str = "flamelength",
                         unit: str = "m", **kw) -> DataFrame:
     """Flame-length classes before and after treatment (unit of the raster: ``m`` or ``ft``)."""
@@ -87,7 +96,8 @@ def crown_state_change(baseline, treated, spans, attrs, crown: str = "crownstate
 
 
 def sdi_change(
-    baseline: DataFrame | None, treated: DataFrame | None, spans: DataFrame, attrs: DataFrame
+    baseline: DataFrame | None, treated: DataFrame | None, spans: DataFrame, attrs: DataFrame,
+    zones: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """Mean suppression difficulty per treatment; delta = baseline − treated. Without rasters the
     same rows come back with NULL metrics."""
@@ -100,8 +110,7 @@ def sdi_change(
         return info.withColumns(
             {"sdi_bl_mean": nothing, "sdi_tr_mean": nothing, "sdi_delta_mean": nothing}
         )
-    all_zones = disjoint_spans(spans, attrs)
-    own_zones = disjoint_spans(spans, attrs, keys=["type"])
+    all_zones, own_zones = zones or zone_grids(spans, attrs)
     mean = lambda df, z, name, **kw: zonal_continuous(
         join_pixels(df, z, **kw), "sdi", ["mean"], scale_factor=100.0
     ).withColumnRenamed("mean", name)

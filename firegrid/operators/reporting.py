@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bins import FL_LABELS, FL_MIDPOINTS_FT
@@ -193,74 +193,83 @@ def first_difference(curve: DataFrame, keys: Sequence[str] = ("treatment",)) ->
     return curve.withColumn("diff", F.col("mean_value") - F.lag("mean_value").over(w))
 
 
-def _curve_solver(key: str, penalty: float, min_size: int = 2, jump: int = 5):
-    """Grouped function for :func:`levelling_off`. Self-contained, so that executors need nothing
-    but pandas."""
-
-    def segment_cost(x: list[float]):
-        import math as m
-        from itertools import combinations
-        from statistics import median
-
-        squares = [(a - b) ** 2 for a, b in combinations(x, 2)]
-        middle = median(squares) if squares else 0.0
-        gamma = 1.0 / middle if middle else 1.0
-
-        def similarity(i: int, j: int) -> float:
-            return 1.0 if i == j else m.exp(-min(max(gamma * (x[i] - x[j]) ** 2, 1e-2), 1e2))
-
-        return lambda s, e: (e - s) - sum(
-            similarity(i, j) for i in range(s, e) for j in range(s, e)
-        ) / (e - s)
-
-    def first_break(x: list[float]) -> int:
-        """First end of the segmentation with the least total cost (dynamic programme over the
-        admissible ends: multiples of ``jump`` and the series' end)."""
-        n, cost = len(x), segment_cost(x)
-        best = {0: (0.0, None)}
-        for end in [e for e in range(jump, n, jump)] + [n]:
-            starts = [s for s in best if end - s >= min_size]
-            if starts:
-                s = min(starts, key=lambda s: best[s][0] + cost(s, end))
-                best[end] = (best[s][0] + cost(s, end) + penalty, s)
-        at = n
-        while at in best and best[at][1]:
-            at = best[at][1]
-        return at
-
-    def solve(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("buffer_ft")
-        diffs = pdf["mean_value"].diff().iloc[1:].tolist()
-        at = first_break(diffs) if diffs else None
-        stable = None if at is None else int(pdf["buffer_ft"].iloc[at])
-        return pd.DataFrame(
-            {
-                key: [pdf[key].iloc[0]],
-                "stable_ft": pd.array([stable], dtype="Int32"),
-                "found": [at is not None and at < len(diffs)],
-            }
-        )
-
-    return solve
-
-
 def levelling_off(
-    curve: DataFrame, key: str = "treatment", penalty: float = 1.0
+    curve: DataFrame, key: str = "treatment", penalty: float = 1.0, min_size: int = 2, jump: int = 5
 ) -> DataFrame:
     """Distance at which the buffer curve levels off: the first changepoint of its first
-    differences (radial-basis segment cost). ``found`` is false when that is just the end of the
-    series.
+    differences. ``found`` is false when that is just the end of the series.
 
-    The grouped function sees one curve of a treatment, i.e. one row per buffer distance (30).
+    Segments end at multiples of ``jump`` or at the series' end. A segment costs its length less its
+    mean similarity (radial basis, width from the median squared difference) and the penalty; the
+    segmentation of least cost is found over the few ends, each of which remembers its cost and its
+    first break. A curve is one array of a value per buffer distance (30).
     """
-    kind = curve.schema[key].dataType.simpleString()
-    return (
-        curve.select(key, "buffer_ft", "mean_value")
-        .groupBy(key)
-        .applyInPandas(_curve_solver(key, penalty), f"{key} {kind}, stable_ft int, found boolean")
+    rows = curve.groupBy(key).agg(
+        F.array_sort(F.collect_list(F.struct("buffer_ft", "mean_value"))).alias("_c")
+    )
+    at = lambda c, i: F.get(c, i)
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    x, n = F.col("_x"), F.col("_n")
+    steps = F.transform(
+        upto(F.size("_c") - 1),
+        lambda i: at(F.col("_c"), i + 1)["mean_value"] - at(F.col("_c"), i)["mean_value"],
+    )
+    rows = rows.withColumn("_x", steps).withColumn("_n", F.size("_x"))
+    square = lambda a, b: (a - b) * (a - b)
+    squares = F.array_sort(
+        F.flatten(
+            F.transform(
+                upto(n),
+                lambda i: F.transform(
+                    F.slice(x, i + 2, F.greatest(n - i - 1, F.lit(0))), lambda y: square(at(x, i), y)
+                ),
+            )
+        )
+    )
+    rows = rows.withColumn("_q", squares).withColumn(
+        "_median",
+        (at(F.col("_q"), F.floor((F.size("_q") - 1) / 2).cast("int"))
+         + at(F.col("_q"), F.ceil((F.size("_q") - 1) / 2).cast("int"))) / 2,
     )
+    gamma = F.when(F.col("_median") != 0, 1 / F.col("_median")).otherwise(F.lit(1.0))
+    rows = rows.withColumn("_g", F.coalesce(gamma, F.lit(1.0)))
+    near = lambda a, b: F.exp(-F.least(F.greatest(F.col("_g") * square(a, b), F.lit(1e-2)), F.lit(1e2)))
+
+    def cost(start: Column, end: Column) -> Column:
+        part = F.slice(x, start + 1, end - start)
+        # Every value is fully similar to itself, and the bound below makes it slightly less.
+        own = (end - start) * (1 - F.exp(F.lit(-1e-2)))
+        total = F.aggregate(
+            part, F.lit(0.0),
+            lambda acc, a: acc + F.aggregate(part, F.lit(0.0), lambda inner, b: inner + near(a, b)),
+        )
+        return (end - start) - (total + own) / (end - start)
+
+    ends = F.array_append(F.filter(upto(n), lambda i: (i > 0) & (i % jump == 0)), n)
+    state = "array<struct<at:int,cost:double,first:int>>"
+
+    def step(done: Column, end: Column) -> Column:
+        open_ = F.filter(done, lambda d: end - d["at"] >= min_size)
+        best = F.array_min(
+            F.transform(
+                open_,
+                lambda d: F.struct((d["cost"] + cost(d["at"], end)).alias("total"), d["at"].alias("at"), d["first"].alias("first")),
+            )
+        )
+        new = F.struct(
+            end.alias("at"), (best["total"] + penalty).alias("cost"),
+            F.when(best["at"] == 0, end).otherwise(best["first"]).alias("first"),
+        )
+        return F.when(F.size(open_) > 0, F.concat(done, F.array(new).cast(state))).otherwise(done)
+
+    start = F.array(F.struct(F.lit(0).alias("at"), F.lit(0.0).alias("cost"), F.lit(0).alias("first"))).cast(state)
+    last = F.filter(F.aggregate(ends, start, step), lambda d: d["at"] == n)
+    first = F.when(n > 0, F.coalesce(at(last, F.lit(0))["first"], n))
+    return rows.withColumn("_at", first).select(
+        key, at(F.col("_c"), F.col("_at"))["buffer_ft"].alias("stable_ft"),
+        F.coalesce(F.col("_at") < n, F.lit(False)).alias("found"),
+    )
+
 
 
 def fire_size_by_class(fires: DataFrame, drop: Sequence[str] = ("A", "B")) -> DataFrame:

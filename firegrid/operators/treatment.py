@@ -116,14 +116,19 @@ def apply_treatment(
 
 
 def crosswalk_effects(records: DataFrame, crosswalk: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(agency, treatment) → canopy and surface effect, translated to the effects tables' names."""
+    """(agency, treatment) → canopy and surface effect, translated to the effects tables' names.
+    ``aliases`` holds the labels of each table under its ``kind`` (CanEff, SurfEff)."""
     require_columns(records, ["agency", "treatment"], "records")
     walk = crosswalk.select(
         F.col("Agency").alias("agency"), F.col("Treatment").alias("treatment"), "CanEff", "SurfEff"
     )
-    names = broadcast_if_small(aliases.select("label", "effect"))
-    can = names.select(F.col("label").alias("CanEff"), F.col("effect").alias("_can"))
-    surf = names.select(F.col("label").alias("SurfEff"), F.col("effect").alias("_surf"))
+    names = broadcast_if_small(aliases.select("kind", "label", "effect"))
+    can = names.where("kind = 'CanEff'").select(
+        F.col("label").alias("CanEff"), F.col("effect").alias("_can")
+    )
+    surf = names.where("kind = 'SurfEff'").select(
+        F.col("label").alias("SurfEff"), F.col("effect").alias("_surf")
+    )
     return (
         records.join(broadcast_if_small(walk), ["agency", "treatment"], "left")
         .join(can, "CanEff", "left")

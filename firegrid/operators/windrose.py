@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.common import half_even
 from ..functions.wind import (
-    CALM_THRESHOLD_MPH, DIR_BREAKS_DEG, SPEED_BREAKS_MPH, direction_bin, speed_bin,
-    wind_direction_deg, wind_speed_mph,
+    CALM_THRESHOLD_MPH, DIR_BREAKS_DEG, SPEED_BREAKS_MPH, known_direction_bin,
+    speed_bin, wind_direction_deg, wind_speed_mph,
 )
 from ..schema import require_columns
 from .spatial_join import nearest_grid_points
@@ -91,15 +91,17 @@ def wind_cells(
     """Wind rose per region: share of non-calm observations per speed and direction bin.
 
     All bins are present. ``calm_pct`` refers to all observations. A region without any non-calm
-    observation is an error (``strict``) or absent. Only the bin counts are shuffled.
+    observation is an error (``strict``) or absent. A windy observation without a direction counts
+    in the last direction bin; observations without a region are left out. Only the bin counts are
+    shuffled.
     """
     region = list(region)
     require_columns(obs, [*region, "ws_mph", "wd_deg"], "observations")
     active = F.col("ws_mph") >= calm
-    binned = obs.select(
+    binned = obs.dropna(subset=region).select(
         *region,
         F.when(active, speed_bin("ws_mph", speed_breaks)).alias("speed_bin"),
-        F.when(active, direction_bin("wd_deg", dir_breaks)).alias("dir_bin"),
+        F.when(active, known_direction_bin("wd_deg", dir_breaks)).alias("dir_bin"),
     )
     counts = binned.groupBy(*region, "speed_bin", "dir_bin").agg(F.count("*").alias("n"))
     totals = counts.groupBy(*region).agg(

@@ -8,22 +8,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.change import (
-    check_types, crown_state_change, flame_length_change, sdi_change,
+    check_types, crown_state_change, flame_length_change, sdi_change, zone_grids,
 )
 from ..operators.treatment import apply_treatment
 from ..schema import Grid, require_columns
 from .suppression import calculate_sdi
 
 
+MAX_TYPES = 1000
+
+
 def treated_landscapes(
     landscape: DataFrame, parameters: DataFrame, canopy: DataFrame, surface: DataFrame
 ) -> DataFrame:
     """The landscape under every treatment type, all in one job (``type`` is added).
 
-    ``parameters`` is ``(type, canopy, surface)``: one row per treatment type, a short list.
+    ``parameters`` is ``(type, canopy, surface)``: one row per treatment type, at most ``MAX_TYPES``,
+    because every pixel is repeated for each of them.
     """
     require_columns(parameters, ["type", "canopy", "surface"], "treatment parameters")
-    kinds = parameters.select("type", "canopy", "surface").distinct().collect()
+    kinds = parameters.select("type", "canopy", "surface").distinct().limit(MAX_TYPES + 1).collect()
+    if len(kinds) > MAX_TYPES:
+        raise ValueError(f"more than {MAX_TYPES} treatment types")
     options = F.array(
         *[
             F.struct(
@@ -66,11 +72,11 @@ def run_treatment_pipeline(
     for the baseline and all treated landscapes at ``sdi_percentile``.
     """
     check_types(attrs, parameters)
-    out = {}
+    out, zones = {}, zone_grids(spans, attrs)
     if "fl" in tables:
-        out["fl"] = flame_length_change(behaviour, treated_behaviour, spans, attrs)
+        out["fl"] = flame_length_change(behaviour, treated_behaviour, spans, attrs, zones=zones)
     if "cs" in tables:
-        out["cs"] = crown_state_change(behaviour, treated_behaviour, spans, attrs)
+        out["cs"] = crown_state_change(behaviour, treated_behaviour, spans, attrs, zones=zones)
     if "sdi" not in tables:
         return out
     if not compute_sdi:
@@ -87,6 +93,6 @@ def run_treatment_pipeline(
         **out,
         "sdi": sdi_change(
             sdi.where(F.col("type").isNull()).drop("type"),
-            sdi.where(F.col("type").isNotNull()), spans, attrs,
+            sdi.where(F.col("type").isNotNull()), spans, attrs, zones=zones,
         ),
     }

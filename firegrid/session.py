@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 # is about 50 MB, far below Spark's 8 GB broadcast limit.
 BROADCAST_ROWS = 500_000
 
+# Settings of the context. Checkpoint files go when no table refers to them any more.
+_CONTEXT_CONF = {"spark.cleaner.referenceTracking.cleanCheckpoints": "true"}
+
 _RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -35,23 +39,29 @@ def build_session(app: str = "firegrid", master: str | None = None, **conf: str)
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**_RUNTIME_CONF, **conf}.items():
+    for key, value in {**_CONTEXT_CONF, **_RUNTIME_CONF, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh path below the checkpoint folder, which all executors see."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        shared = context.getConf().get("spark.checkpoint.dir")
+        if shared is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` through the shared checkpoint folder of the cluster.
 
     The folder is the one named in ``spark.checkpoint.dir``. Only a local session without that
     setting gets a private folder; a cluster must name a shared one.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir")
-        if shared is None and not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.common import half_even
 from ..functions.wind import DIR_BREAKS_DEG, SPEED_BREAKS_MPH
 from ..operators.scenarios import MTT_DEFAULTS
 from ..schema import require_columns
+from ..session import checkpoint
 
 # Default keys of the probability-run document.
 FSPRO_DEFAULTS = {
@@ -183,50 +184,61 @@ def conditioning_lines(
 ) -> DataFrame:
     """``(key, line_no, line)`` of the conditioning-period document per region.
 
-    ``weather`` are daily weather rows and ``wind`` hourly wind rows of the same ``key``; both
-    cover one conditioning period (some weeks), so a document stays small.
+    ``weather`` are daily weather rows and ``wind`` hourly wind rows of the same ``key``. Their lines
+    are numbered behind each other; no document is gathered in one row. A region without weather or
+    without wind ends the job.
     """
     space = lambda *cols: F.concat_ws(" ", *[F.col(x).cast("string") for x in cols])
-    daily = weather.groupBy(key).agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct(
-                    "date",
-                    space("month", "day", "pcp", "min_t_hour", "max_t_hour", "min_t", "max_t",
-                          "max_rh", "min_rh", "elev_ft", "precip_start", "precip_end").alias("line"),
-                )
-            )
-        ).alias("_wx")
+    daily = weather.select(
+        key, F.col("date").alias("_at"),
+        space("month", "day", "pcp", "min_t_hour", "max_t_hour", "min_t", "max_t", "max_rh", "min_rh",
+              "elev_ft", "precip_start", "precip_end").alias("line"),
     )
-    hourly = wind.groupBy(key).agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct(
-                    "time",
-                    space("month", "day", "hhmm", "speed", "direction", "cloud_cover").alias("line"),
-                )
-            )
-        ).alias("_wind")
+    hourly = wind.select(
+        key, F.col("time").alias("_at"),
+        space("month", "day", "hhmm", "speed", "direction", "cloud_cover").alias("line"),
+    )
+    need = lambda n, what: F.coalesce(
+        F.col(n),
+        F.raise_error(F.concat(F.lit(f"no {what} for region "), F.col(key).cast("string"))).cast("bigint"),
+    )
+    base = checkpoint(
+        scenarios.join(daily.groupBy(key).agg(F.count("*").alias("_wx")), key, "left")
+        .join(hourly.groupBy(key).agg(F.count("*").alias("_wind")), key, "left")
+        .withColumns({"_wx": need("_wx", "weather"), "_wind": need("_wind", "wind")})
     )
     stamp = F.date_format(F.lit(conditioning_end).cast("timestamp"), "MM dd HHmm")
-    count = lambda label, c: F.concat(F.lit(f"{label}: "), F.size(c).cast("string"))
-    joined = scenarios.join(daily, key).join(hourly, key)
-    blocks = [
-        F.array(
-            F.lit("FlamMap-Inputs-File-Version-1"),
-            F.concat(F.lit("CONDITIONING_PERIOD_END: "), stamp), F.lit(""),
-            F.lit("FUEL_MOISTURES_DATA: 1"), _moisture_line(), F.lit(""),
-            count("WEATHER_DATA", "_wx"),
-            F.lit("# Mth Day Pcp mTH xTH mT xT mH xH Elv PST PET"),
-        ),
-        F.transform("_wx", lambda s: s["line"]),
-        F.array(
-            F.lit(""), count("WIND_DATA", "_wind"),
-            F.lit("# Mth Day Hour Speed Direction CloudCover"),
-        ),
-        F.transform("_wind", lambda s: s["line"]),
-        F.array(F.lit("")),
-        *_behaviour_block(scenarios, n_process),
-        _output_lines(":"),
-    ]
-    return joined.select(key, F.posexplode(F.concat(*blocks)).alias("line_no", "line"))
+    count = lambda label, c: F.concat(F.lit(f"{label}: "), F.col(c).cast("string"))
+    head = F.array(
+        F.lit("FlamMap-Inputs-File-Version-1"),
+        F.concat(F.lit("CONDITIONING_PERIOD_END: "), stamp), F.lit(""),
+        F.lit("FUEL_MOISTURES_DATA: 1"), _moisture_line(), F.lit(""),
+        count("WEATHER_DATA", "_wx"),
+        F.lit("# Mth Day Pcp mTH xTH mT xT mH xH Elv PST PET"),
+    )
+    between = F.array(
+        F.lit(""), count("WIND_DATA", "_wind"), F.lit("# Mth Day Hour Speed Direction CloudCover")
+    )
+    tail = F.concat(F.array(F.lit("")), *_behaviour_block(scenarios, n_process), _output_lines(":"))
+    n_head, n_between = 8, 3  # lines of the two arrays
+
+    def block(lines: Column, first: Column) -> DataFrame:
+        rows = base.select(key, first.alias("_first"), F.posexplode(lines).alias("_i", "line"))
+        return rows.select(key, (F.col("_first") + F.col("_i")).alias("line_no"), "line")
+
+    def numbered(rows: DataFrame, first: Column) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(key).orderBy("_at", "line")) - 1
+        sizes = base.select(key, first.alias("_first"))
+        return rows.withColumn("_i", place).join(sizes, key).select(
+            key, (F.col("_first") + F.col("_i")).alias("line_no"), "line"
+        )
+
+    zero = F.lit(0).cast("bigint")
+    at_wind = zero + n_head + F.col("_wx") + n_between
+    return (
+        block(head, zero)
+        .unionByName(numbered(daily, zero + n_head))
+        .unionByName(block(between, zero + n_head + F.col("_wx")))
+        .unionByName(numbered(hourly, at_wind))
+        .unionByName(block(tail, at_wind + F.col("_wind")))
+    )

@@ -2,31 +2,48 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def write_documents(docs: DataFrame, path: str, key: str = "pyrome") -> None:
-    """One JSON document per region in a folder of its own."""
-    docs.write.mode("overwrite").partitionBy(key).json(path)
+    """One JSON document per region, one file in a folder of its own."""
+    docs.repartition(key).write.mode("overwrite").partitionBy(key).json(path)
+
+
+def _folder(ident: str) -> str:
+    """A partition value as folder names have it."""
+    escaped = re.sub(
+        r"""[\x00-\x1f"#%'*/:=?\\\x7f{\[\]^]""", lambda m: f"%{ord(m[0]):02X}", ident
+    )
+    return escaped or "__HIVE_DEFAULT_PARTITION__"
 
 
 def read_document(
-    spark: SparkSession, path: str, ident: str | int, key: str = "pyrome", values: str | None = None
+    spark: SparkSession, path: str, ident: str | int, key: str = "pyrome",
+    values: str | None = None, schema: StructType | str | None = None,
 ) -> DataFrame:
-    """Document of one region; only its folder is read. ``values`` returns that field alone.
-    An unknown region raises ``FileNotFoundError``."""
-    docs = spark.read.json(path)
-    found = docs.where(F.col(key).cast("string") == str(ident))
-    if found.isEmpty():
-        raise FileNotFoundError(f"no document for {ident!r} in {path}")
-    return found.select(values) if values else found
+    """Document of one region; only its folder is read, and its schema unless one is given. Ids
+    are strings, as written. ``values`` returns that field alone. An unknown region raises
+    ``FileNotFoundError``."""
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    try:
+        found = reader.json(f"{path}/{key}={_folder(str(ident))}")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raise FileNotFoundError(f"no document for {ident!r} in {path}") from error
+    return found.select(values) if values else found.withColumn(key, F.lit(str(ident)))
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True)
+    """Quotes inside a value are doubled, as spreadsheets and readers of CSV expect."""
+    df.write.mode("overwrite").csv(path, header=True, escape='"')
 
 
 def write_results(results: Mapping[str, DataFrame], out_dir: str) -> None:

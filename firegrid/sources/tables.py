@@ -63,11 +63,14 @@ CROSSWALK = (
     ("USFS", "Jackpot Burn", "Rx fire", "Rx fire"),
     ("USFS", "N/A", "None", "None"),
 )
-# Crosswalk labels as the effects tables spell them.
+# Crosswalk labels as the effects tables spell them; the two tables differ.
 EFFECT_ALIASES = {
-    "Rx fire": "RxFire",
-    "Lop and scatter": "Rearrange",
-    "Masticate": "Mastication",
+    "CanEff": {"Rx fire": "RxFire"},
+    "SurfEff": {
+        "Rx fire": "RxFire",
+        "Lop and scatter": "Rearrange",
+        "Masticate": "Mastication",
+    },
 }
 
 
@@ -89,7 +92,8 @@ def crosswalk_table(spark: SparkSession) -> DataFrame:
 
 
 def effect_aliases(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(EFFECT_ALIASES.items()), "label string, effect string")
+    rows = [(kind, *pair) for kind, names in EFFECT_ALIASES.items() for pair in names.items()]
+    return spark.createDataFrame(rows, "kind string, label string, effect string")
 
 
 def normalise_climatology(raw: DataFrame) -> DataFrame:

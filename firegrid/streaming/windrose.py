@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.wind import (
-    CALM_THRESHOLD_MPH, DIR_BREAKS_DEG, SPEED_BREAKS_MPH, direction_bin, speed_bin,
+    CALM_THRESHOLD_MPH, DIR_BREAKS_DEG, SPEED_BREAKS_MPH, known_direction_bin, speed_bin,
 )
 from ..schema import require_columns
 
@@ -31,11 +31,12 @@ def stream_bin_counts(
     require_columns(obs, [region, time, "ws_mph", "wd_deg"], "observations")
     active = F.col("ws_mph") >= calm
     return (
-        obs.withWatermark(time, delay)
+        obs.where(F.col(region).isNotNull())
+        .withWatermark(time, delay)
         .withColumns(
             {
                 "speed_bin": F.when(active, speed_bin("ws_mph", speed_breaks)),
-                "dir_bin": F.when(active, direction_bin("wd_deg", dir_breaks)),
+                "dir_bin": F.when(active, known_direction_bin("wd_deg", dir_breaks)),
             }
         )
         .groupBy(F.window(time, "1 day").alias("day"), region, "speed_bin", "dir_bin")

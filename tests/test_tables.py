@@ -18,14 +18,14 @@ from firegrid.sources import tables as src
 from firegrid.streaming.windrose import rose_from_counts, stream_bin_counts
 
 
-@pytest.mark.parametrize("buffered", [0, 10**9])
-def test_exact_quantiles_with_a_hot_group(spark, buffered):
+@pytest.mark.parametrize("steps", [4, 1000])
+def test_exact_quantiles_with_a_hot_group(spark, steps):
     rnd = random.Random(1)
     rows = [("hot", float(rnd.randrange(4000))) for _ in range(6000)]
     rows += [("flat", 3.0)] * 500 + [("one", 5.0), ("two", 1.0), ("two", 2.0), ("none", None)]
     df = spark.createDataFrame(rows, "k string, v double")
     probs = [0.0, 0.1, 0.5, 0.9, 1.0]
-    out = quantiles.exact_quantiles(df, ["k"], {"v": "v", "w": -F.col("v")}, probs, slices=16, buffered=buffered)
+    out = quantiles.exact_quantiles(df, ["k"], {"v": "v", "w": -F.col("v")}, probs, steps=steps)
     got = {(r["k"], r["measure"]): (r["n"], r["q"]) for r in out.collect()}
     for k in ("hot", "flat", "one", "two"):
         values = [v for a, v in rows if a == k]
@@ -107,8 +107,21 @@ def test_wind_rose_bins_and_calm(spark):
     assert windrose.wind_cells(calm, strict=False).count() == 0
 
 
+def test_wind_rose_missing_directions_and_regions(spark):
+    rows = [("a", 5.0, 90.0), ("a", 5.0, None), (None, 9.0, 90.0), ("a", None, 10.0)]
+    obs = spark.createDataFrame(rows, "pyrome_id string, ws_mph double, wd_deg double")
+    out = windrose.wind_cells(obs)
+    assert out.count() == 48 and out.agg(F.sum("pct")).first()[0] == pytest.approx(100)
+    full = {(r["speed_bin"], r["dir_bin"]): r["pct"] for r in out.where("pct > 0").collect()}
+    assert full == {(0, 1): pytest.approx(50), (0, 7): pytest.approx(50)}
+
+
 def test_streamed_rose_equals_batch(spark, tmp_path):
-    rows = [(i, "a" if i % 3 else "b", dt.datetime(2024, 1, 1 + i % 20, i % 24), float(i % 37), float(i * 7 % 361)) for i in range(500)]
+    rows = [
+        (i, None if i % 41 == 0 else "a" if i % 3 else "b", dt.datetime(2024, 1, 1 + i % 20, i % 24), float(i % 37),
+         None if i % 13 == 0 else float(i * 7 % 361))
+        for i in range(500)
+    ]
     obs = spark.createDataFrame(rows, "id long, pyrome_id string, ts timestamp, ws_mph double, wd_deg double")
     obs.write.parquet(str(tmp_path / "in"))
     counts = stream_bin_counts(spark.readStream.schema(obs.schema).parquet(str(tmp_path / "in")))
@@ -267,6 +280,11 @@ def test_document_store(spark, tmp_path):
     store.write_documents(docs, str(tmp_path / "d"))
     assert store.read_document(spark, str(tmp_path / "d"), 22).first()["n"] == 6
     assert store.read_document(spark, str(tmp_path / "d"), "1", values="values").first()[0] == [1.0, 2.0]
+    assert store.read_document(spark, str(tmp_path / "d"), "1").first()["pyrome"] == "1"
+    padded = spark.createDataFrame([("01", 7), ("1", 8), ("a=b c", 9)], "pyrome string, n int")
+    store.write_documents(padded, str(tmp_path / "p"))
+    got = {i: store.read_document(spark, str(tmp_path / "p"), i, schema="n int").first()["n"] for i in ("01", "1", "a=b c")}
+    assert got == {"01": 7, "1": 8, "a=b c": 9}
     with pytest.raises(FileNotFoundError, match="'3'"):
         store.read_document(spark, str(tmp_path / "d"), "3")
     store.write_results({"fl_change": docs.select("pyrome", "n")}, str(tmp_path / "r"))
@@ -338,7 +356,7 @@ def test_levelling_off(spark):
     rows = [("step", d, v) for d, v in curve] + [("none", d, 1.0 + d) for d, _ in curve]
     df = spark.createDataFrame(rows, "treatment string, buffer_ft int, mean_value double")
     got = {r["treatment"]: r for r in reporting.levelling_off(df).collect()}
-    assert got["step"]["found"] and got["step"]["stable_ft"] in (550, 800)
+    assert got["step"]["found"] and got["step"]["stable_ft"] == 550
     assert not got["none"]["found"] and got["none"]["stable_ft"] == 1500
     diffs = reporting.first_difference(df).where("treatment = 'none'")
     assert diffs.where("diff is null").count() == 1
@@ -358,3 +376,34 @@ def test_bundle_joins_only_complete_regions(spark):
     rows = weather_bundle(wx, obs).collect()
     assert [r["pyrome"] for r in rows] == ["1"]
     assert len(rows[0]["erc_historic"][0]) == 214 and len(rows[0]["current_erc"]) == 79 and len(rows[0]["erc_classes"]) == 5
+
+
+def test_line_numbers_survive_other_splits(spark, tmp_path):
+    text = "\n".join(f"line {i} " + "x" * (i % 50) for i in range(20_000))
+    (tmp_path / "a.txt").write_text(text)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.minPartitionNum") if spark.conf.get(k, None)}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "100000")
+        lines = ascii_grid.numbered_lines(spark, str(tmp_path / "a.txt"))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "37000")
+        rows = lines.collect()
+    finally:
+        for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.minPartitionNum"):
+            spark.conf.set(k, old[k]) if k in old else spark.conf.unset(k)
+    assert len(rows) == 20_000 and all(r["value"].startswith(f"line {r['line_no']} ") for r in rows)
+
+
+def test_grid_rows_that_start_with_a_word(spark):
+    text = ["NCOLS 2", "nrows 3", "xllcorner 0", "yllcorner 0", "cellsize 30", "NODATA_value -1", "1 2", "nan 4", "-1 6"]
+    lines = spark.createDataFrame([("g", i, v) for i, v in enumerate(text)], "path string, line_no long, value string")
+    pixels, headers = ascii_grid.parse_ascii_grids(lines)
+    got = {(r["row"], r["col"]): r["value"] for r in pixels.collect()}
+    assert got == {(0, 0): 1.0, (0, 1): 2.0, (1, 0): None, (1, 1): 4.0, (2, 0): None, (2, 1): 6.0}
+    assert headers.first()["nrows"] == 3.0
+
+
+def test_aliases_belong_to_their_table(spark):
+    walk = spark.createDataFrame([("DOI", "M", "Masticate", "Masticate")], "Agency string, Treatment string, CanEff string, SurfEff string")
+    records = spark.createDataFrame([("DOI", "M")], "agency string, treatment string")
+    row = treatment.crosswalk_effects(records, walk, src.effect_aliases(spark)).first()
+    assert (row["CanEff"], row["SurfEff"]) == ("Masticate", "Mastication")

@@ -223,13 +223,13 @@ def line_segment_metrics(t):
 CURVE = """
 SELECT scenario AS treatment, CAST(feet AS INT) AS buffer_ft, avg(m) AS mean_value FROM (
  SELECT scenario, feature_id, feet, avg(delta) AS m FROM {dist} JOIN {deltas} USING (row, col),
-  (SELECT i * 50 AS feet FROM range(1, 13) r(i)) WHERE distance_m <= feet * 0.3048::DOUBLE GROUP BY ALL) GROUP BY ALL"""
+  (SELECT i * 50 AS feet FROM range(1, 31) r(i)) WHERE distance_m <= feet * 0.3048::DOUBLE GROUP BY ALL) GROUP BY ALL"""
 
 
 def zone_means_wide(t):
     """Mean delta SDI per line and treatment, one column per buffer distance."""
-    feet = [50.0 * i for i in range(1, 13)]
-    cells = distance.line_cell_distance(t.pod_lines, t.grid, 600 * 0.3048)
+    feet = [50.0 * i for i in range(1, 31)]
+    cells = distance.line_cell_distance(t.pod_lines, t.grid, 1500 * 0.3048)
     zones = distance.buffer_zones(cells, [f * 0.3048 for f in feet])
     label = F.concat(F.lit("mean_"), F.rint(F.col("buffer_m") / 0.3048).cast("int").cast("string"), F.lit("Feet"))
     return (
@@ -244,7 +244,7 @@ def zone_means_wide(t):
 @query(
     "A20",
     "SELECT treatment, buffer_ft, round(mean_value, 6) AS mean_value FROM {curve}",
-    dist=line_dist("pod_lines", 182.88), deltas=DELTAS, curve=CURVE,
+    dist=line_dist("pod_lines", 457.2), deltas=DELTAS, curve=CURVE,
 )
 def buffer_distance_curve(t):
     return r6(reporting.buffer_curve(zone_means_wide(t)))
@@ -254,13 +254,33 @@ def buffer_distance_curve(t):
     "A21 W",
     """SELECT treatment, buffer_ft, round(mean_value, 6) AS mean_value,
  round(mean_value - lag(mean_value) OVER (PARTITION BY treatment ORDER BY buffer_ft), 6) AS diff FROM {curve}""",
-    dist=line_dist("pod_lines", 182.88), deltas=DELTAS, curve=CURVE,
+    dist=line_dist("pod_lines", 457.2), deltas=DELTAS, curve=CURVE,
 )
 def buffer_curve_differences(t):
     return r6(reporting.first_difference(reporting.buffer_curve(zone_means_wide(t))))
 
 
-@query("A21")
+# All 32 segmentations at multiples of five instead of a search.
+DIFFS = """SELECT treatment, row_number() OVER (PARTITION BY treatment ORDER BY buffer_ft) - 2 AS i, buffer_ft,
+ mean_value - lag(mean_value) OVER (PARTITION BY treatment ORDER BY buffer_ft) AS x FROM {curve}"""
+WIDTHS = """SELECT treatment, CASE WHEN m = 0 THEN 1 ELSE 1 / m END AS g, n FROM (
+ SELECT a.treatment, median((a.x - b.x) ** 2) AS m FROM {diffs} a JOIN {diffs} b ON a.treatment = b.treatment AND a.i >= 0 AND b.i > a.i GROUP BY 1)
+ JOIN (SELECT treatment, max(i) + 1 AS n FROM {diffs} GROUP BY 1) USING (treatment)"""
+PATHS = """SELECT treatment, g, n, mask, list_concat(list_concat([0], list_filter([5, 10, 15, 20, 25], lambda b: (mask >> CAST(b / 5 - 1 AS INT)) & 1 = 1)), [n]) AS p
+FROM {widths}, range(32) r(mask)"""
+SEGMENTS = """SELECT treatment, g, n, mask, p[2] AS first_break, p[k] AS s, p[k + 1] AS e FROM (SELECT *, unnest(range(1, len(p))) AS k FROM {paths})"""
+COSTS = """SELECT treatment, n, mask, first_break, s, e, (e - s) - sum(CASE WHEN a.i = b.i THEN 1 ELSE exp(-least(greatest(g * (a.x - b.x) ** 2, 0.01), 100)) END) / (e - s) + 1 AS cost
+FROM {segments} JOIN {diffs} a USING (treatment) JOIN {diffs} b USING (treatment)
+WHERE a.i BETWEEN s AND e - 1 AND b.i BETWEEN s AND e - 1 GROUP BY treatment, n, mask, first_break, s, e"""
+
+
+@query(
+    "A21",
+    """SELECT treatment, buffer_ft AS stable_ft, first_break < n AS found FROM (
+ SELECT treatment, n, first_break, row_number() OVER (PARTITION BY treatment ORDER BY sum(cost)) AS rank FROM {costs} GROUP BY treatment, n, mask, first_break
+) JOIN {diffs} USING (treatment) WHERE rank = 1 AND i = first_break - 1""",
+    dist=line_dist("pod_lines", 457.2), deltas=DELTAS, curve=CURVE, diffs=DIFFS, widths=WIDTHS, paths=PATHS, segments=SEGMENTS, costs=COSTS,
+)
 def levelling_off_distance(t):
     return reporting.levelling_off(reporting.buffer_curve(zone_means_wide(t)))
 

@@ -155,10 +155,10 @@ def suppression_classes(t):
   round((cc % 10 + ch % 11 + cbh % 11 + 2 * ({steps_sql('tl', range(10, 91, 10), UP, 10)})) / 5.0, 6) AS penetr,
   round((ch % 11) * (0.75::DOUBLE + 0.5), 6) AS fireline,
   round(sdi / ((ch % 11) + 1.0::DOUBLE + cbh), 6) AS sdi_value
-FROM (SELECT *, CAST(pix % 130 AS DOUBLE) AS tl, CAST(pix % 1100 AS DOUBLE) AS dist FROM {{px}} WHERE cc IS NOT NULL)""",
+FROM (SELECT *, CAST(pix % 130 AS DOUBLE) AS tl, CAST(pix % 1100 AS DOUBLE) AS dist FROM {{px}})""",
 )
 def suppression_formulas(t):
-    px = t.px.where(F.col("cc").isNotNull()).withColumns(
+    px = t.px.withColumns(
         {
             "tl": (F.col("pix") % 130).cast("double"),
             "dist": (F.col("pix") % 1100).cast("double"),

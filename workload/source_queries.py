@@ -9,6 +9,7 @@ from firegrid.operators.climatology import daily_weather_rows
 from firegrid.operators.windrose import hourly_wind_rows
 from firegrid.plans import container, treatment_pipeline
 from firegrid.plans.weather_bundle import weather_bundle
+from firegrid.session import shared_folder
 from firegrid.sources import ascii_grid, catalog, documents, store
 from firegrid.sources import tables as src
 
@@ -116,13 +117,27 @@ def grid_lines(t):
     return rows.unionByName(head)
 
 
+def grid_files(t) -> str:
+    """The grids written as files, one per grid; the folder they are in."""
+    folder = shared_folder(t.spark)
+    lines = grid_lines(t).select(
+        F.regexp_extract("path", "([0-9]+)", 1).alias("grid"), "line_no", F.col("value").alias("line")
+    )
+    store.write_text_documents(lines, folder, key="grid")
+    return folder
+
+
+def grid_name(df):
+    return df.withColumn("path", F.concat(F.lit("/g/"), F.regexp_extract("path", "grid=([0-9]+)", 1), F.lit(".asc")))
+
+
 @query(
     "S5 P4",
     "SELECT concat('/g/', row // 15, '.asc') AS path, CAST(row % 15 AS INT) AS row, col, flamelength AS value FROM {px}",
 )
 def ascii_grid_pixels(t):
-    pixels, _ = ascii_grid.parse_ascii_grids(grid_lines(t))
-    return pixels
+    pixels, _ = ascii_grid.read_ascii_grids(t.spark, grid_files(t))
+    return grid_name(pixels)
 
 
 @query(
@@ -131,20 +146,22 @@ def ascii_grid_pixels(t):
  3210.5::DOUBLE AS yllcorner, 30.0::DOUBLE AS cellsize, -9999.0::DOUBLE AS nodata_value FROM {px}""",
 )
 def ascii_grid_headers(t):
-    _, headers = ascii_grid.parse_ascii_grids(grid_lines(t))
-    return headers
+    _, headers = ascii_grid.read_ascii_grids(t.spark, grid_files(t))
+    return grid_name(headers)
 
 
 @query(
     "S6 G17",
     """SELECT row + 6 AS line_no, string_agg(CASE WHEN z.row IS NULL THEN '0' ELSE '1' END, ' ' ORDER BY p.col) AS line
 FROM {px} p LEFT JOIN (SELECT DISTINCT row, col FROM {zone_cells}) z ON z.row = p.row AND z.col = p.col GROUP BY p.row""".replace(
-        "SELECT row + 6", "SELECT p.row + 6"),
+        "SELECT row + 6", "SELECT p.row + 6")
+    + """ UNION ALL SELECT i, line FROM (SELECT unnest(range(6)) AS i, unnest(['ncols 100', concat('nrows ', n), 'xllcorner 0.0',
+ concat('yllcorner ', CAST(n * -30.0 AS DOUBLE)), 'cellsize 30.0', 'NODATA_value 0']) AS line FROM (SELECT max(row) + 1 AS n FROM {px}))""",
 )
 def ignition_grid_lines(t):
     spans = rasterize.polygon_spans(t.zone_edges, t.grid).withColumn("_all", F.lit(1))
     merged = rasterize.dissolve_spans(spans, ["_all"])
-    return ascii_grid.burned_grid_lines(merged, t.grid).where(F.col("line_no") >= 6)
+    return ascii_grid.burned_grid_lines(merged, t.grid)
 
 
 @query(
@@ -156,7 +173,9 @@ def rtc_lines(t):
     line = F.concat(F.lit(" "), F.col("fbfm40").cast("string"), F.lit(": "), (F.col("fbfm40") % 10).cast("string"))
     lines = codes.select(F.col("fbfm40").cast("bigint").alias("line_no"), line.alias("value"))
     extra = codes.select((F.col("fbfm40") + 1000).cast("bigint"), F.lit("# note"))
-    return src.parse_rtc(lines.union(extra))
+    folder = shared_folder(t.spark)
+    ascii_grid.write_lines(lines.union(extra).select("line_no", F.col("value").alias("line")), folder)
+    return src.read_rtc(t.spark, folder)
 
 
 @query(
@@ -254,16 +273,20 @@ def job_status(t):
 
 
 WALK = ", ".join(f"('{a}', '{b}', '{c}', '{d}')" for a, b, c, d in src.CROSSWALK)
-ALIAS = "CASE {0} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in src.EFFECT_ALIASES.items()) + " ELSE {0} END"
+# Spelled out here, so that the check does not share the library's constants.
+CANOPY_ALIAS = "CASE CanEff WHEN 'Rx fire' THEN 'RxFire' ELSE CanEff END"
+SURFACE_ALIAS = """CASE SurfEff WHEN 'Rx fire' THEN 'RxFire' WHEN 'Lop and scatter' THEN 'Rearrange'
+    WHEN 'Masticate' THEN 'Mastication' ELSE SurfEff END"""
 
 
 @query(
     "T6",
-    f"""SELECT r.id, r.agency, r.treatment, {ALIAS.format('CanEff')} AS CanEff, {ALIAS.format('SurfEff')} AS SurfEff
+    # The added row has a canopy effect that only the surface table knows by another name.
+    f"""SELECT r.id, r.agency, r.treatment, {CANOPY_ALIAS} AS CanEff, {SURFACE_ALIAS} AS SurfEff
 FROM (SELECT p_partkey AS id, CASE p_partkey % 2 WHEN 0 THEN 'DOI' ELSE 'USFS' END AS agency,
  CASE p_size % 6 WHEN 0 THEN 'Broadcast Burn' WHEN 1 THEN 'Thinning' WHEN 2 THEN 'Lop and Scatter' WHEN 3 THEN 'Chipping'
  WHEN 4 THEN 'Mowing' ELSE 'Unknown' END AS treatment FROM {{part}}) r
-LEFT JOIN (VALUES {WALK}) w(Agency, Treatment, CanEff, SurfEff) ON w.Agency = r.agency AND w.Treatment = r.treatment""",
+LEFT JOIN (VALUES {WALK}, ('DOI', 'Unknown', 'Masticate', 'Masticate')) w(Agency, Treatment, CanEff, SurfEff) ON w.Agency = r.agency AND w.Treatment = r.treatment""",
 )
 def treatment_crosswalk(t):
     kinds = ["Broadcast Burn", "Thinning", "Lop and Scatter", "Chipping", "Mowing", "Unknown"]
@@ -272,7 +295,39 @@ def treatment_crosswalk(t):
         F.when(F.col("p_partkey") % 2 == 0, "DOI").otherwise("USFS").alias("agency"),
         F.get(F.array(*[F.lit(k) for k in kinds]), F.col("p_size") % 6).alias("treatment"),
     )
-    return treatment.crosswalk_effects(records, src.crosswalk_table(t.spark), src.effect_aliases(t.spark))
+    walk = src.crosswalk_table(t.spark)
+    walk = walk.union(t.spark.createDataFrame([("DOI", "Unknown", "Masticate", "Masticate")], walk.schema))
+    return treatment.crosswalk_effects(records, walk, src.effect_aliases(t.spark))
+
+
+@query(
+    "S12",
+    """SELECT lpad(CAST(n_regionkey AS VARCHAR), 2, '0') AS region, count(*) AS n, string_agg(n_name, ',' ORDER BY n_name) AS names
+FROM {nation} GROUP BY n_regionkey""",
+)
+def document_lookup(t):
+    docs = t.nation.groupBy(F.lpad(F.col("n_regionkey").cast("string"), 2, "0").alias("region")).agg(
+        F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("n_name")), ",").alias("names")
+    )
+    folder = shared_folder(t.spark)
+    store.write_documents(docs, folder, key="region")
+    found = None
+    for region in range(5):
+        one = store.read_document(t.spark, folder, f"{region:02d}", key="region", schema="n long, names string")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+@query(
+    "S13",
+    "SELECT fbfm40, count(*) AS n, round(avg(sdi), 4) AS mean_sdi, any_value('a, \"b\"') AS note FROM {px} GROUP BY fbfm40",
+)
+def result_sinks(t):
+    folder = shared_folder(t.spark)
+    table = t.px.groupBy("fbfm40").agg(F.count("*").alias("n"), F.round(F.avg("sdi"), 4).alias("mean_sdi"))
+    store.write_results({"sdi_summary": table.withColumn("note", F.lit('a, "b"'))}, folder)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in table.schema)
+    return t.spark.read.csv(f"{folder}/sdi_summary", header=True, schema=f"{kinds}, note string", escape='"')
 
 
 SHORTTERM = """

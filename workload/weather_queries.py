@@ -294,6 +294,25 @@ def wind_rose(t):
     return r6(windrose.wind_cells(t.obs))
 
 
+# Observations with missing directions and regions.
+OBS_GAPS = """SELECT CASE WHEN utc_hour % 5 = 0 THEN NULL ELSE pyrome_id END AS pyrome_id, ws_mph,
+ CASE WHEN event_id % 4 = 0 THEN NULL ELSE wd_deg END AS wd_deg FROM {obs}"""
+
+
+@query(
+    "C11",
+    """SELECT pyrome_id, speed_bin, dir_bin, round(pct, 6) AS pct, n_obs, n_noncalm FROM {rose_gaps}""",
+    obs_gaps=OBS_GAPS,
+    rose_gaps=ROSE.replace("{obs} GROUP", "{obs_gaps} WHERE pyrome_id IS NOT NULL GROUP")
+    .replace("{obs} WHERE", "{obs_gaps} WHERE").replace("WHEN wd_deg = 0 THEN", "WHEN wd_deg IS NULL OR wd_deg = 0 THEN"),
+)
+def wind_rose_gaps(t):
+    region = F.when(F.col("utc_hour") % 5 != 0, F.col("pyrome_id"))
+    direction = F.when(F.col("event_id") % 4 != 0, F.col("wd_deg"))
+    obs = t.obs.withColumns({"pyrome_id": region, "wd_deg": direction})
+    return r6(windrose.wind_cells(obs).select("pyrome_id", "speed_bin", "dir_bin", "pct", "n_obs", "n_noncalm"))
+
+
 @query(
     "C12",
     """SELECT pyrome_id, speed_bin, dir_bin, round(pct, 6) AS pct, n_noncalm, first_year, last_year, n_noncalm < 100 AS sparse
