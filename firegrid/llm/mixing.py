@@ -3,7 +3,7 @@
 Sources get equal-token blocks by the highest quotients ``votes / (2k + 1)``. The parties are shards
 of a source (a source with much text has many), their votes the shard's part of the source's target.
 All quotients of at least half a block are served, which is the Sainte-Lague apportionment of their
-number: a shard gets ``floor(votes / block + 1/2)`` blocks. Inside a shard the documents lie on a ring
+number: a shard gets ``floor(votes / block + 1/2)`` blocks, at most what twice its words hold. Inside a shard the documents lie on a ring
 in seeded order; the quota is taken as whole rounds plus a run of blocks from a seeded start.
 
 Nulls: a null text has size 0 and is never taken; a null source is a source of its own, the last; a

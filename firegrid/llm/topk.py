@@ -56,7 +56,7 @@ def exact_cell(k: int, few: int = 64, depths=(0.25, 0.5, 0.75)):
         if limit < 2**53:
             return (rows @ q).astype(np.int64)
         whole = [sum(int(a) * int(b) for a, b in zip(row, q)) for row in rows]
-        return np.array([min(max(x, -(2**63)), 2**63 - 1) for x in whole], np.int64)
+        return np.array([min(max(x, 1 - 2**63), 2**63 - 1) for x in whole], np.int64)
 
     def cell(query_ids, queries, ids, rows):
         queries, rows = np.floor(SCALE * queries), np.floor(SCALE * rows)
