@@ -1,7 +1,7 @@
 """WARC archives of page captures, and one capture index merged from sorted runs.
 
 Writing: records are text lines ended by the blank lines that WARC puts after a record, so Spark's
-writer makes standard uncompressed archives on any file system. Equal payloads of some length are
+writer makes standard archives on any file system, compressed as a whole by its codec. Equal payloads of some length are
 stored once; the others are revisit records that name it.
 
 Reading: archives are opened whole, which is why they are written with a bounded size, and split by
@@ -17,6 +17,7 @@ gives an empty result. Other columns of the input are ignored.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator, Sequence
 
@@ -81,13 +82,16 @@ def record_lines(rows: DataFrame) -> DataFrame:
     return rows.select(F.concat(header.cast("binary"), block).cast("string").alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = REVISIT_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """Write one record per page. Pages are dealt to as many archives as keep their mean size at
-    ``archive_bytes``."""
-    rows = deduplicated(pages, min_bytes)
-    total = pages.select(F.coalesce(F.sum(F.octet_length("html").cast("long") + 600), F.lit(0)).alias("b")).first()["b"]
-    archives = max(1, -(-int(total) // archive_bytes))
-    record_lines(rows.repartition(archives, "page_id", "url", "digest")).write.option("lineSep", _END).text(path)
+def write_archives(
+    pages: DataFrame, path: str, min_bytes: int = REVISIT_BYTES, archive_bytes: int = ARCHIVE_BYTES, compression: str = "gzip"
+) -> None:
+    """Write one record per page. Archives are the partitions of the join that finds copies, cut after as many
+    records as take ``archive_bytes`` on average; pages are not shuffled again."""
+    size = F.octet_length("html").cast("long") + 600
+    mean = pages.select(F.avg(F.coalesce(size, F.lit(600))).alias("b")).first()["b"] or 600
+    lines = record_lines(deduplicated(pages, min_bytes))
+    most = max(1, int(archive_bytes / mean))
+    lines.write.option("lineSep", _END).option("maxRecordsPerFile", most).option("compression", compression).text(path)
 
 
 def parse_archive(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -116,13 +120,15 @@ def _page(name: str | None) -> int | None:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all archives. Digest and size of a response are taken from its payload, and a
+    """The records of all archives; a ``position`` counts bytes before compression. Digest and size of a response are taken from its payload, and a
     payload that differs from its header ends the job; a revisit has them in its headers."""
 
     def records(batches: Iterator) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for file, data in zip(batch["path"], batch["content"]):
                 rows = []
+                if data[:2] == b"\x1f\x8b":
+                    data = gzip.decompress(data)
                 for at, head, block in parse_archive(data):
                     http, _, payload = block.partition(b"\r\n\r\n")
                     digest, size = head["warc-payload-digest"].removeprefix("sha1:"), len(payload)
