@@ -124,8 +124,11 @@ def _repeated_edges(blobs: DataFrame) -> DataFrame:
     return blobs.groupBy("bucket").applyInArrow(kept, schema)
 
 
-def _linked(edges: DataFrame) -> DataFrame:
-    """(t, chain): a text's repeated edges in order, each with whether it forms a link with the next."""
+def _linked(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(t, chain): a text's repeated edges in order, each with whether its neighbours are always the same.
+
+    The flags are stored before they are joined, so that adaptive execution can split a hot edge.
+    """
     order = Window.partitionBy("t").orderBy("o")
     beside = lambda f, step: F.when(
         f("o").over(order) == F.col("o") + step, F.struct(f("e").over(order).alias("e"), (f("p").over(order) - F.col("p")).alias("d"))
@@ -135,7 +138,7 @@ def _linked(edges: DataFrame) -> DataFrame:
         ((F.min("after") == F.max("after")) & (F.min("after.d") != 0)).alias("one_after"),
         ((F.min("before") == F.max("before")) & (F.min("before.d") != 0)).alias("one_before"),
     )
-    flags = rows.select("t", "o", "p", "e").join(single, "e")
+    flags = rows.select("t", "o", "p", "e").join(scratch.store(single, "single"), "e")
     return flags.groupBy("t").agg(F.sort_array(F.collect_list(F.struct("o", "p", "one_after", "one_before"))).alias("chain"))
 
 
@@ -241,7 +244,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, scratch: Scratch | Non
     # Some six bytes a word, and an edge every ten words.
     buckets = max(64, int(chars) // 57 // BUCKET_ENTRIES)
     edges = scratch.store(_repeated_edges(_edge_blobs(texts, window, buckets)), "edges")
-    chains = broadcast_checked(scratch.store(_linked(edges), "chains"))
+    chains = broadcast_checked(scratch.store(_linked(edges, scratch), "chains"))
     blobs = _verified(_window_blobs(texts.join(chains, "t"), window, buckets), buckets)
     spans = _removed_spans(blobs, window)
     copied = texts.groupBy("t").count().where("count > 1").select("t", F.lit(True).alias("copied"))
