@@ -9,7 +9,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, StringType, StructType
+from pyspark.sql.types import BinaryType, BooleanType, DoubleType, IntegerType, LongType, StringType, StructType
 
 # Java pattern of a word: white space is the six ASCII characters only.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -68,7 +68,7 @@ def broadcast_checked(stored: DataFrame, max_bytes: int = BROADCAST_BYTES) -> Da
     return F.broadcast(stored) if size <= max_bytes else stored
 
 
-_KINDS = {"int": IntegerType(), "long": LongType(), "double": DoubleType(), "string": StringType(), "binary": BinaryType()}
+_KINDS = {"int": IntegerType(), "long": LongType(), "double": DoubleType(), "string": StringType(), "binary": BinaryType(), "boolean": BooleanType()}
 
 
 def fields(*pairs: tuple[str, object]) -> StructType:

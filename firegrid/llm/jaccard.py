@@ -10,8 +10,8 @@ some of it:
 The size that parts them has the least cost, estimated from the sizes of all sets and from how often
 shingles recur; light sets can link to somewhat larger ones, which therefore do both.
 
-Lists are never turned into all their pairs. First, neighbours at a few distances in each list, which is
-sorted by size, are verified; this joins most copies. Then a set is compared with the list members of other
+Lists are never turned into all their pairs. First, neighbours in the lists, which are all in one random
+order, are verified where they share enough keys; this joins most copies. Then a set is compared with the list members of other
 components only: shared prefix elements are counted over its lists, and the few pairs that could still
 reach the similarity are verified. A pair within one component needs no verdict.
 
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, broadcast_checked, fields, gram_hashes, mix, text_bytes, word_hashes
@@ -40,10 +40,13 @@ SHINGLE = 5
 PERCENT = 75
 HINT_SIZE = 200_000
 BUCKET_ENTRIES = 1_000_000
-_STEPS = (1, 2, 4, 8, 16, 32)
+# Places that neighbours in a list are apart. All lists are in one order, so sets that are neighbours in it meet in
+# nearly all lists they share. It is the order of the ids, which are hashes: neighbours are random, and a group
+# of copies that link with a part of each other becomes one component.
+_STEPS = tuple(range(1, 17))
 _BORDERS = (0, 4, 8, 16, 32)
 _COUNTED = 2_000_000
-_ENTRY = np.dtype([("k", "<u8"), ("s", "<i8"), ("n", "<u4")])
+_ENTRY = np.dtype([("k", "<u8"), ("s", "<i8"), ("w", "<u8"), ("n", "<u4")])
 
 
 def shingle_set(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
@@ -155,20 +158,32 @@ class Order:
                 return np.concatenate([shingles[~frequent], self.sorted[late]])[:length]
         return shingles[:length]
 
+    def place(self, shingle: np.uint64) -> int:
+        """A number that grows with the order."""
+        at = int(np.searchsorted(self.sorted, shingle))
+        if at < len(self.sorted) and self.sorted[at] == shingle:
+            return (1 << 63) + int(self.rank[at])
+        return int(shingle) >> 1
 
-def signature_keys(shingles: np.ndarray, order: Order, border: int, percent: int) -> np.ndarray:
-    """Keys of one set: even for subsets of two prefix elements, odd for single elements."""
+
+def signature_keys(shingles: np.ndarray, order: Order, border: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of one set, even for subsets of two prefix elements, odd for single elements, and for each
+    the place of the prefix' end in the order."""
     n, one = len(shingles), np.uint64(1)
     prefix = order.prefix(shingles, n - _least_overlap(n, percent) + 2)
-    keys = []
+    keys, ends = [], []
     if n > border:
-        keys.append(prefix[:-1] if len(prefix) == n - _least_overlap(n, percent) + 2 else prefix)
-        keys[0] = mix(keys[0]) | one
+        single = prefix[: n - _least_overlap(n, percent) + 1]
+        keys.append(mix(single) | one)
+        ends.append(np.full(len(single), order.place(single[-1]), np.uint64))
     if n <= border * 100 // percent and len(prefix) > 1:
         i, j = np.triu_indices(len(prefix), 1)
         pairs = np.sort(np.stack([prefix[i], prefix[j]]), axis=0)
         keys.append(mix(pairs[0] * np.uint64(0x9E3779B97F4A7C15) + mix(pairs[1])) & ~one)
-    return np.concatenate(keys) if keys else np.empty(0, np.uint64)
+        ends.append(np.full(len(i), order.place(prefix[-1]), np.uint64))
+    if not keys:
+        return np.empty(0, np.uint64), np.empty(0, np.uint64)
+    return np.concatenate(keys), np.concatenate(ends)
 
 
 def _signatures(docs: DataFrame, frequent, border: int, buckets: int, shingle: int, percent: int) -> DataFrame:
@@ -185,7 +200,7 @@ def _signatures(docs: DataFrame, frequent, border: int, buckets: int, shingle: i
             by = np.argsort(bucket, kind="stable")  # rows of one set stay together and compress well
             bucket, rows = bucket[by], rows[by]
             first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(rows) else np.empty(0, np.int64)
-            bodies = [b"".join(rows[c][a:b].tobytes() for c in "ksn") for a, b in zip(first, np.r_[first[1:], len(rows)])]
+            bodies = [b"".join(rows[c][a:b].tobytes() for c in "kswn") for a, b in zip(first, np.r_[first[1:], len(rows)])]
             return pa.RecordBatch.from_arrays([pa.array(bucket[first], pa.int32()), pa.array(bodies, pa.binary())], names=schema.names)
 
         for batch in batches:
@@ -196,9 +211,9 @@ def _signatures(docs: DataFrame, frequent, border: int, buckets: int, shingle: i
                 if not len(shingles) or own in seen:
                     continue
                 seen.add(own)
-                keys = signature_keys(shingles, order, border, percent)
+                keys, ends = signature_keys(shingles, order, border, percent)
                 rows = np.empty(len(keys), _ENTRY)
-                rows["k"], rows["s"], rows["n"] = keys, own, len(shingles)
+                rows["k"], rows["s"], rows["w"], rows["n"] = keys, own, ends, len(shingles)
                 parts.append(rows)
                 size += len(rows)
                 if size > _COUNTED:
@@ -209,11 +224,11 @@ def _signatures(docs: DataFrame, frequent, border: int, buckets: int, shingle: i
     return docs.select("text").mapInArrow(made, schema)
 
 
-_LIST = fields(("key", "long"), ("members", "binary"), ("sizes", "binary"))
+_LIST = fields(("key", "long"), ("members", "binary"), ("sizes", "binary"), ("ends", "binary"))
 
 
 def _lists(signatures: DataFrame) -> DataFrame:
-    """(key, members, sizes): lists of two or more sets that share a key, sorted by size."""
+    """(key, members, sizes, ends): lists of two or more sets that share a key, in the order of the ids."""
 
     def gathered(table):
         import pyarrow as pa
@@ -225,9 +240,10 @@ def _lists(signatures: DataFrame) -> DataFrame:
             m = len(body) // _ENTRY.itemsize
             rows["k"][at : at + m] = np.frombuffer(body, "<u8", m)
             rows["s"][at : at + m] = np.frombuffer(body, "<i8", m, 8 * m)
-            rows["n"][at : at + m] = np.frombuffer(body, "<u4", m, 16 * m)
+            rows["w"][at : at + m] = np.frombuffer(body, "<u8", m, 16 * m)
+            rows["n"][at : at + m] = np.frombuffer(body, "<u4", m, 24 * m)
             at += m
-        rows = rows[np.lexsort((rows["s"], rows["n"], rows["k"]))]
+        rows = rows[np.lexsort((rows["s"], rows["k"]))]
         if len(rows):
             new = np.r_[True, (rows["k"][1:] != rows["k"][:-1]) | (rows["s"][1:] != rows["s"][:-1])]
             rows = rows[new]
@@ -235,12 +251,9 @@ def _lists(signatures: DataFrame) -> DataFrame:
         end = np.r_[first[1:], len(rows)]
         keep = end - first > 1
         first, end = first[keep], end[keep]
-        members, sizes = np.ascontiguousarray(rows["s"]), np.ascontiguousarray(rows["n"])
-        return pa.Table.from_arrays(
-            [pa.array(np.ascontiguousarray(rows["k"][first]).view("<i8")), pa.array([members[a:b].tobytes() for a, b in zip(first, end)], pa.binary()),
-             pa.array([sizes[a:b].tobytes() for a, b in zip(first, end)], pa.binary())],
-            names=_LIST.names,
-        )
+        bodies = [[column[x:y].tobytes() for x, y in zip(first, end)] for column in (np.ascontiguousarray(rows[c]) for c in "snw")]
+        keys = pa.array(np.ascontiguousarray(rows["k"][first]).view("<i8"))
+        return pa.Table.from_arrays([keys, *(pa.array(x, pa.binary()) for x in bodies)], names=_LIST.names)
 
     return signatures.groupBy("bucket").applyInArrow(gathered, _LIST)
 
@@ -248,26 +261,66 @@ def _lists(signatures: DataFrame) -> DataFrame:
 _PAIR = fields(("a", "long"), ("b", "long"))
 
 
-def _neighbours(lists: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) of list members a few places apart whose sizes allow a link."""
+def _flat(batch) -> tuple[np.ndarray, ...]:
+    """Members, sizes, prefix ends, keys and places in their list of all lists of a batch, list after list."""
+    bodies = batch.column("members").to_pylist()
+    length = np.array([len(b) // 8 for b in bodies], np.int64)
+    s = np.frombuffer(b"".join(bodies), "<i8")
+    n = np.frombuffer(b"".join(batch.column("sizes").to_pylist()), "<u4").astype(np.int64)
+    w = np.frombuffer(b"".join(batch.column("ends").to_pylist()), "<u8")
+    start = np.repeat(np.cumsum(length) - length, length)
+    return s, n, w, np.repeat(batch.column("key").to_numpy(), length), np.arange(len(s)) - start
+
+
+def _rest(n: np.ndarray, m: np.ndarray, v: np.ndarray, w: np.ndarray, odd: np.ndarray, percent: int) -> np.ndarray:
+    """What sets of ``n`` and ``m`` shingles with prefix ends ``v`` and ``w`` can share besides the elements that both
+    have in their prefixes: the rest of the set whose prefix ends first."""
+    return np.maximum(_least_overlap(np.where(v <= w, n, m), percent) - np.where(odd, 1, 2), 0)
+
+
+_COUNT = fields(("a", "long"), ("b", "long"), ("n", "long"), ("m", "long"), ("rest", "long"), ("odd", "boolean"), ("times", "long"))
+
+
+def _can_link(percent: int, border: int) -> Column:
+    """Whether sets of ``n`` and ``m`` shingles that share ``times`` keys of one kind could link. Keys of the kind
+    that does not decide for these sizes are left out."""
+    times, n, m, odd = (F.col(c) for c in ("times", "n", "m", "odd"))
+    shared = F.when(odd, times).otherwise(F.floor((1 + F.sqrt(1 + 8 * times)) / 2))  # c (c - 1) / 2 subsets of two
+    need = F.ceil((n + m) * percent / (100 + percent))
+    return (shared + F.col("rest") >= need) & (odd != (F.least(n, m) <= border))
+
+
+def _neighbours(lists: DataFrame, percent: int, border: int) -> DataFrame:
+    """Pairs (a, b) of list members a few places apart that share enough keys there to be able to link.
+
+    Pairs may share more keys in lists where they stand farther apart; such pairs are left to the
+    full counts of the second step.
+    """
 
     def near(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
+            s, n, w, key, _ = _flat(batch)
             parts = []
-            for members, sizes in zip(batch.column("members").to_pylist(), batch.column("sizes").to_pylist()):
-                s, n = np.frombuffer(members, "<i8"), np.frombuffer(sizes, "<u4").astype(np.int64)
-                for step in _STEPS:
-                    if step >= len(s):
-                        break
-                    fit = 100 * n[:-step] >= percent * n[step:]
-                    parts.append(np.stack([s[:-step][fit], s[step:][fit]], axis=1))
-            pairs = np.concatenate(parts) if parts else np.empty((0, 2), np.int64)
-            pairs = np.unique(np.sort(pairs, axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, i])) for i in (0, 1)], names=_PAIR.names)
+            for step in _STEPS:
+                i = np.flatnonzero((key[:-step] == key[step:]) & (100 * np.minimum(n[:-step], n[step:]) >= percent * np.maximum(n[:-step], n[step:])))
+                j, odd = i + step, key[i] & 1
+                rows = np.stack([s[i], s[j], n[i], n[j], _rest(n[i], n[j], w[i], w[j], odd == 1, percent), odd], axis=1)
+                swap = rows[:, 0] > rows[:, 1]
+                rows[swap] = rows[swap][:, [1, 0, 3, 2, 4, 5]]
+                parts.append(rows)
+            rows = np.concatenate(parts)
+            rows = rows[np.lexsort((rows[:, 5], rows[:, 1], rows[:, 0]))]
+            first = np.flatnonzero(np.r_[True, (rows[1:, [0, 1, 5]] != rows[:-1, [0, 1, 5]]).any(axis=1)]) if len(rows) else np.empty(0, np.int64)
+            times, rows = np.diff(np.r_[first, len(rows)]), rows[first]
+            columns = [np.ascontiguousarray(rows[:, i]) for i in range(5)]
+            yield pa.RecordBatch.from_arrays(
+                [*map(pa.array, columns), pa.array(rows[:, 5] == 1), pa.array(times, pa.int64())], names=_COUNT.names
+            )
 
-    return lists.select("members", "sizes").mapInArrow(near, _PAIR).distinct()
+    counts = lists.mapInArrow(near, _COUNT).groupBy("a", "b", "n", "m", "rest", "odd").agg(F.sum("times").alias("times"))
+    return counts.where(_can_link(percent, border)).select("a", "b")
 
 
 def _homes(lists: DataFrame) -> DataFrame:
@@ -279,14 +332,9 @@ def _homes(lists: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            s, key, part = [], [], []
-            for k, members in zip(batch.column("key").to_pylist(), batch.column("members").to_pylist()):
-                own = np.frombuffer(members, "<i8")
-                s.append(own)
-                key.append(np.full(len(own), k))
-                part.append(np.arange(len(own)) // 512)
-            if s:
-                s, key, part = (np.concatenate(x) for x in (s, key, part))
+            s, _, _, key, part = _flat(batch)
+            part = part // 512
+            if len(s):
                 by = np.lexsort((part, key, s))
                 s, key, part = s[by], key[by], part[by]
                 first = np.r_[True, s[1:] != s[:-1]]
@@ -294,7 +342,7 @@ def _homes(lists: DataFrame) -> DataFrame:
                     [pa.array(s[first]), pa.array(key[first]), pa.array(part[first].astype(np.int32))], names=schema.names
                 )
 
-    rows = lists.select("key", "members").mapInArrow(least, schema)
+    rows = lists.mapInArrow(least, schema)
     home = rows.groupBy("s").agg(F.min(F.struct("key", "part")).alias("h"))
     return home.select("s", F.xxhash64("h.key", "h.part").alias("home"))
 
@@ -335,51 +383,46 @@ def _open_pairs(lists: DataFrame, labels: DataFrame, percent: int, border: int,
     In each list a set is paired with the members of larger components; the pairs of a set are gathered by
     set, as blobs, and counted over its lists.
     """
-    schema = fields(("key", "long"), ("s", "long"), ("n", "long"))
+    schema = fields(("key", "long"), ("s", "long"), ("n", "long"), ("w", "long"))
 
     def flat(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            key, s, n = [], [], []
-            for k, m, z in zip(*(batch.column(c).to_pylist() for c in _LIST.names)):
-                own = np.frombuffer(m, "<i8")
-                key.append(np.full(len(own), k))
-                s.append(own)
-                n.append(np.frombuffer(z, "<u4").astype(np.int64))
-            if key:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (key, s, n)], names=schema.names)
+            s, n, w, key, _ = _flat(batch)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, s, n, w.view("<i8"))], names=schema.names)
 
     rows = lists.mapInArrow(flat, schema)
     labelled = rows.join(labels.select(F.col("node").alias("s"), "label", "weight"), "s", "left").select(
-        F.pmod("key", F.lit(buckets)).alias("bucket"), "key", "s", "n",
+        F.pmod("key", F.lit(buckets)).alias("bucket"), "key", "s", "n", "w",
         F.coalesce("label", "s").alias("label"), F.coalesce("weight", F.lit(1)).alias("weight"),
     )
     probe = fields(("bucket", "long"), ("body", "binary"))
-    entry = np.dtype([("s", "<i8"), ("n", "<u4"), ("t", "<i8"), ("m", "<u4"), ("odd", "u1")])
+    entry = np.dtype([("s", "<i8"), ("t", "<i8"), ("n", "<u4"), ("m", "<u4"), ("rest", "<u4"), ("odd", "u1")])
 
     def probes(table):
         import pyarrow as pa
 
-        key, s, n, label, weight = (table.column(c).to_numpy() for c in ("key", "s", "n", "label", "weight"))
+        key, s, n, w, label, weight = (table.column(c).to_numpy() for c in ("key", "s", "n", "w", "label", "weight"))
         by = np.lexsort((s, label, weight, key))
-        key, s, n, label = key[by], s[by], n[by], label[by]
+        key, s, n, w, label = key[by], s[by], n[by], w[by].view("<u8"), label[by]
+        # Lists of one component need no pairs.
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
-        out = []
-        for a, b in zip(first, np.r_[first[1:], len(key)]):
-            if label[a] == label[b - 1]:
-                continue
-            next_label = np.r_[np.flatnonzero(label[a + 1 : b] != label[a : b - 1]) + 1, b - a]
-            ends = next_label[np.searchsorted(next_label, np.arange(b - a), side="right")]
-            for i in range(b - a):
-                lo = a + ends[i]
-                if lo >= b:
-                    break
-                x, y = n[a + i], n[lo:b]
-                fit = (100 * np.minimum(x, y) >= percent * np.maximum(x, y)).nonzero()[0]
-                part = np.empty(len(fit), entry)
-                part["s"], part["n"], part["t"], part["m"], part["odd"] = s[a + i], x, s[lo:b][fit], y[fit], key[a] & 1
-                out.append(part)
+        length = np.diff(np.r_[first, len(key)])
+        mixed = np.repeat(label[first] != label[first + length - 1], length) if len(key) else np.empty(0, bool)
+        key, s, n, w, label = key[mixed], s[mixed], n[mixed], w[mixed], label[mixed]
+        out, left, step = [], np.arange(len(key)), 0
+        while len(left):
+            step += 1
+            left = left[left + step < len(key)]
+            left = left[key[left] == key[left + step]]  # those with a member so many places on
+            x, y = n[left], n[left + step]
+            pair = left[(label[left] != label[left + step]) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y))]
+            part = np.empty(len(pair), entry)
+            other, odd = pair + step, key[pair] & 1
+            part["s"], part["t"], part["n"], part["m"], part["odd"] = s[pair], s[other], n[pair], n[other], odd
+            part["rest"] = _rest(n[pair], n[other], w[pair], w[other], odd == 1, percent)
+            out.append(part)
         rows = np.concatenate(out) if out else np.empty(0, entry)
         where = (mix(rows["s"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(where, kind="stable")
@@ -397,25 +440,24 @@ def _open_pairs(lists: DataFrame, labels: DataFrame, percent: int, border: int,
         first = np.flatnonzero(new)
         times = np.diff(np.r_[first, len(rows)]).astype(np.int64)
         rows = rows[first]
-        n, m, odd = rows["n"].astype(np.int64), rows["m"].astype(np.int64), rows["odd"] == 1
-        # c elements have c (c - 1) / 2 subsets of two.
-        shared = np.where(odd, times, (1 + np.sqrt(1 + 8 * times)) // 2).astype(np.int64)
-        # What both share beyond the prefixes stands behind the end of one of them.
-        rest = np.maximum(_least_overlap(n, percent), _least_overlap(m, percent)) - np.where(odd, 1, 2)
-        need = -(-percent * (n + m) // (100 + percent))
-        light = np.minimum(n, m) <= border
-        good = (shared + np.maximum(rest, 0) >= need) & (odd != light)
-        return pa.Table.from_arrays([pa.array(np.ascontiguousarray(rows[c][good])) for c in ("s", "t")], names=_PAIR.names)
+        swap = rows["s"] > rows["t"]
+        columns = [np.where(swap, rows[y], rows[x]).astype(np.int64) for x, y in (("s", "t"), ("t", "s"), ("n", "m"), ("m", "n"))]
+        n, m, rest, odd = columns[2], columns[3], rows["rest"].astype(np.int64), rows["odd"] == 1
+        shared = np.where(odd, times, (1 + np.sqrt(1 + 8 * times)) // 2)
+        some = shared + rest >= -(-percent * (n + m) // (100 + percent))
+        arrays = [pa.array(np.ascontiguousarray(c[some])) for c in (*columns, rest, odd, times)]
+        return pa.Table.from_arrays(arrays, names=_COUNT.names)
 
     gathered = labelled.groupBy("bucket").applyInArrow(probes, probe)
-    pairs = gathered.groupBy("bucket").applyInArrow(counted, _PAIR)
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    counts = gathered.groupBy("bucket").applyInArrow(counted, _COUNT)
+    return counts.where(_can_link(percent, border)).select("a", "b").distinct()
 
 
-def _sets(docs: DataFrame, members: DataFrame, homes: DataFrame, scratch: Scratch, shingle: int) -> DataFrame:
-    """(s, shingles) of the sets in lists, made again from the text of one document each."""
-    wanted = members.where("n > 0").groupBy("s").agg(F.min(F.struct("doc_id", "text_hash")).alias("d")).join(homes.select("s"), "s", "left_semi")
-    wanted = scratch.store(wanted.select(F.col("s").alias("_s"), F.col("d.doc_id").alias("_d"), F.col("d.text_hash").alias("_h")), "wanted")
+def _sets(docs: DataFrame, members: DataFrame, pairs: DataFrame, scratch: Scratch, shingle: int, name: str) -> DataFrame:
+    """(s, shingles) of the sets in ``pairs``, made again from the text of one document each."""
+    named = pairs.select(F.explode(F.array("a", "b")).alias("s")).distinct()
+    wanted = members.where("n > 0").join(named, "s", "left_semi").groupBy("s").agg(F.min(F.struct("doc_id", "text_hash")).alias("d"))
+    wanted = scratch.store(wanted.select(F.col("s").alias("_s"), F.col("d.doc_id").alias("_d"), F.col("d.text_hash").alias("_h")), f"wanted_{name}")
     texts = docs.select("doc_id", F.xxhash64("text").alias("_t"), "text").join(
         broadcast_checked(wanted), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_h"))
     )
@@ -428,7 +470,7 @@ def _sets(docs: DataFrame, members: DataFrame, homes: DataFrame, scratch: Scratc
             bodies = [shingle_set(text, shingle).tobytes() for text in text_bytes(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("_s"), pa.array(bodies, pa.binary())], names=schema.names)
 
-    return texts.select("_s", "text").mapInArrow(made, schema)
+    return scratch.store(texts.select("_s", "text").mapInArrow(made, schema), f"sets_{name}")
 
 
 def _frequent(surveyed: DataFrame, hint_size: int) -> np.ndarray:
@@ -437,7 +479,7 @@ def _frequent(surveyed: DataFrame, hint_size: int) -> np.ndarray:
 
     counts = surveyed.where("kind = 1").groupBy("h").agg(F.sum("n").alias("n"))
     powers = counts.groupBy(F.floor(F.log2("n")).cast("int").alias("p")).count().collect()
-    total, least = 0, 63
+    total, least = 0, 40
     for row in sorted(powers, key=lambda r: -r["p"]):
         total += row["count"]
         if total > hint_size:
@@ -465,15 +507,19 @@ def set_components(
     tasks = max(64, entries // 200_000)
     lists = scratch.store(_lists(_signatures(docs, frequent, border, buckets, shingle, percent)), "lists")
     homes = scratch.store(_homes(lists), "homes")
-    sets = scratch.store(_sets(docs, members, homes, scratch, shingle), "sets")
-    near = scratch.store(_neighbours(lists, percent), "near")
+    near = scratch.store(_neighbours(lists, percent, border), "near")
+    sets = _sets(docs, members, near, scratch, shingle, "near")
     links = scratch.store(_verify(near, homes, sets, percent, tasks), "links")
+    scratch.drop("sets_near")
     first = connected_components(links, scratch, "first")
     weight = first.groupBy("label").agg(F.count("*").alias("weight"))
     labels = broadcast_checked(scratch.store(first.join(weight, "label"), "labels"))
     open_pairs = _open_pairs(lists, labels, percent, border, buckets).join(near, ["a", "b"], "left_anti")
-    late = scratch.store(_verify(scratch.store(open_pairs, "open"), homes, sets, percent, tasks), "late")
-    scratch.drop("sets")
+    open_pairs = scratch.store(open_pairs, "open")
+    sets = _sets(docs, members, open_pairs, scratch, shingle, "open")
+    late = scratch.store(_verify(open_pairs, homes, sets, percent, tasks), "late")
+    scratch.drop("sets_open")
+    scratch.drop("lists")
     edges = first.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(late)
     joined = connected_components(edges, scratch, "all")
     least = members.where("n > 0").groupBy("s").agg(F.min("doc_id").alias("least"))
