@@ -12,8 +12,10 @@ input are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -24,34 +26,84 @@ from .common import Scratch, fields, text_bytes
 
 CAPACITY = 4096
 GROUP_PIECES = 50_000
-_CHUNKS = 300_000
+_WORDS = 600_000
+_LEARNED_BYTES = 24_000_000
+# A word of Latin letters (none of which changes its length in lower case) and marks that the tokenizer takes as
+# one run behind it.
+_WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,;:!?*&%$#|\"]*)").fullmatch
 
 
-class ChunkIds(dict):
-    """Ids of a chunk between ASCII white space as little-endian bytes, remembered.
+class ChunkIds:
+    """Ids of chunks between ASCII white space as little-endian bytes, remembered.
 
-    The tokenizer drops white space and none of its rules looks across it, so a text's ids are those
-    of its chunks in order. The memory is emptied when it outgrows its bound.
+    The tokenizer drops white space, looks at letters in lower case and never across white space or from
+    letters to marks. So a text's ids are those of its chunks in order, and those of a word with
+    marks behind it are the word's and the marks'. New words are encoded together, each ends with the only
+    token that closes a word; any other chunk is encoded by itself. Words are remembered by the worker; the
+    memory is emptied when it outgrows its bound.
     """
 
     def __init__(self, tokenizer_path: str):
-        super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-
-    def __missing__(self, chunk: bytes) -> bytes:
-        ids = self.tokenizer.encode(chunk.decode("utf-8", "replace"), add_special_tokens=False).ids
-        if len(self) >= _CHUNKS:
-            self.clear()
-        value = np.array(ids, "<u4").tobytes()
-        if len(chunk) < 64:
-            self[chunk] = value
-        return value
-
-
-def text_ids(chunks: ChunkIds, text: bytes, closing_id: int = 1) -> bytes:
-    return b"".join(map(chunks.__getitem__, text.split())) + np.uint32(closing_id).astype("<u4").tobytes()
+        size = self.tokenizer.get_vocab_size()
+        self.closes = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self.words: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+
+    def _encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of words of letters."""
+        if len(self.words) + len(words) > _WORDS:
+            self.words.clear()
+        for at in range(0, len(words), 20_000):
+            part = words[at : at + 20_000]
+            ids = self._encode(" ".join(part))
+            ends = 4 * (np.flatnonzero(self.closes[ids]) + 1)
+            if len(ends) != len(part):
+                raise ValueError("a word of letters is not one word to this tokenizer")
+            data, ends = ids.tobytes(), ends.tolist()
+            self.words.update(zip(part, (data[x:y] for x, y in zip([0, *ends], ends))))
+
+    def chunk_ids(self, chunks: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of distinct chunks."""
+        found, split = {}, []
+        for chunk in chunks:
+            text = chunk.decode("utf-8", "replace")
+            if match := _WORD(text):
+                word, marks = match.groups()
+                split.append((chunk, word.lower(), marks))
+            else:
+                found[chunk] = self._encode(text).tobytes()
+        wanted = {w for _, w, _ in split}
+        new = wanted - self.words.keys()
+        self._learn(list(new if len(self.words) + len(new) <= _WORDS else wanted))
+        words, marks = self.words, self.marks
+        for m in {m for _, _, m in split} - marks.keys():
+            marks[m] = self._encode(m).tobytes()
+        found.update((chunk, words[w] + marks[m] if m else words[w]) for chunk, w, m in split)
+        return found
+
+
+@lru_cache(maxsize=1)
+def _chunk_ids(tokenizer_path: str) -> ChunkIds:
+    return ChunkIds(tokenizer_path)
+
+
+def _ids(chunks: ChunkIds, texts: list[bytes | None], closing_id: int) -> Iterator[bytes]:
+    """Ids of each text, learned for some megabytes of text at a time."""
+    held: list[list[bytes]] = []
+    size, closing = 0, np.array([closing_id], "<u4").tobytes()
+    for i, text in enumerate(texts):
+        held.append((text or b"").split())
+        size += len(text or b"")
+        if size > _LEARNED_BYTES or i == len(texts) - 1:
+            known = chunks.chunk_ids(set().union(*held))
+            yield from (b"".join(map(known.__getitem__, c)) + closing for c in held)
+            held, size = [], 0
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, closing_id: int = 1) -> DataFrame:
@@ -62,12 +114,11 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     def pieces(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        chunks = ChunkIds(tokenizer_path)
+        chunks = _chunk_ids(tokenizer_path)
         width = 4 * capacity
         for batch in batches:
             source, rows = [], []
-            for i, text in enumerate(text_bytes(batch.column("text"))):
-                ids = text_ids(chunks, text or b"", closing_id)
+            for i, ids in enumerate(_ids(chunks, text_bytes(batch.column("text")), closing_id)):
                 for p, at in enumerate(range(0, len(ids), width)):
                     part = ids[at : at + width]
                     source.append(i)
