@@ -17,7 +17,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 # Bytes up to which a stored side is replicated to every executor.
 BROADCAST_BYTES = 24 * 1024 * 1024
 
-_VOCABULARY = 400_000
+_VOCABULARY = 150_000
 
 
 class Scratch:

@@ -45,7 +45,7 @@ BUCKET_ENTRIES = 1_000_000
 # of copies that link with a part of each other becomes one component.
 _STEPS = tuple(range(1, 17))
 _BORDERS = (0, 4, 8, 16, 32)
-_COUNTED = 2_000_000
+_COUNTED = 800_000
 _ENTRY = np.dtype([("k", "<u8"), ("s", "<i8"), ("w", "<u8"), ("n", "<u4")])
 
 

@@ -26,8 +26,8 @@ from .common import Scratch, fields, text_bytes
 
 CAPACITY = 4096
 GROUP_PIECES = 50_000
-_WORDS = 600_000
-_LEARNED_BYTES = 24_000_000
+_WORDS = 300_000
+_LEARNED_BYTES = 12_000_000
 # A word of Latin letters (none of which changes its length in lower case) and marks that the tokenizer takes as
 # one run behind it.
 _WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,;:!?*&%$#|\"]*)").fullmatch
@@ -58,7 +58,7 @@ class ChunkIds:
     def _learn(self, words: list[str]) -> None:
         """Ids of words of letters."""
         if len(self.words) + len(words) > _WORDS:
-            self.words.clear()
+            self.words = {}
         for at in range(0, len(words), 20_000):
             part = words[at : at + 20_000]
             ids = self._encode(" ".join(part))

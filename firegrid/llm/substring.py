@@ -34,6 +34,7 @@ from .common import Scratch, broadcast_checked, fields, gram_hashes, text_bytes,
 
 WINDOW = 35
 BUCKET_ENTRIES = 400_000
+_HELD = 500_000
 _EDGE = np.dtype([("e", "<u8"), ("t", "<i8"), ("p", "<u4"), ("o", "<u4")])
 _PLACE = np.dtype([("e", "<u8"), ("t", "<i8"), ("p", "<u4")])
 _SPAN = np.dtype([("t", "<i8"), ("lo", "<u4"), ("hi", "<u4")])
@@ -100,7 +101,7 @@ def _edge_blobs(texts: DataFrame, window: int, buckets: int) -> DataFrame:
                 rows = np.empty(len(at), _EDGE)
                 rows["e"], rows["t"], rows["p"], rows["o"] = runs[at], t, at, np.arange(len(at))
                 parts.append(rows)
-                if sum(map(len, parts)) > 2_000_000:
+                if sum(map(len, parts)) > _HELD:
                     rows = np.concatenate(parts)
                     parts = []
                     yield _blobs((rows["e"] % np.uint64(buckets)).astype(np.int64), 0, rows)
@@ -185,6 +186,10 @@ def _window_blobs(rows: DataFrame, window: int, buckets: int) -> DataFrame:
                 span = np.empty(len(lo), _SPAN)
                 span["t"], span["lo"], span["hi"] = t, lo, hi
                 spans.append(span)
+                if sum(map(len, places)) > _HELD:
+                    rows = np.concatenate(places)
+                    places = []
+                    yield _blobs((rows["e"] % np.uint64(buckets)).astype(np.int64), 0, rows)
             rows = np.concatenate(places) if places else np.empty(0, _PLACE)
             yield _blobs((rows["e"] % np.uint64(buckets)).astype(np.int64), 0, rows)
             rows = np.concatenate(spans) if spans else np.empty(0, _SPAN)
