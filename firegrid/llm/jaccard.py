@@ -493,8 +493,9 @@ def _frequent(surveyed: DataFrame, hint_size: int) -> np.ndarray:
 def set_components(
     docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, hint_size: int = HINT_SIZE, border: int | None = None
 ) -> DataFrame:
-    """(doc_id, text_hash, n, s, component_id) of every document; ``s`` names its set. ``border`` sets the largest
-    light size by hand."""
+    """(doc_id, text_hash, n, s, component_id, label) of every document; ``s`` names its set and ``label`` its component,
+    also where ids are null or repeated; null for documents without words. ``border`` sets the largest light size by
+    hand."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     surveyed = scratch.store(survey(docs, shingle), "survey")
@@ -525,14 +526,14 @@ def set_components(
     least = members.where("n > 0").groupBy("s").agg(F.min("doc_id").alias("least"))
     labelled = least.join(joined.withColumnRenamed("node", "s"), "s")
     ids = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    linked = labelled.join(ids, "label").select("s", "component_id")
+    linked = labelled.join(ids, "label").select("s", "component_id", "label")
     ids = least.join(linked.withColumnRenamed("component_id", "_linked"), "s", "left").select(
-        F.col("s").alias("_s"), F.coalesce("_linked", "least").alias("_component")
+        F.col("s").alias("_s"), F.coalesce("_linked", "least").alias("_component"), F.coalesce("label", "s").alias("_label")
     )
     ids = broadcast_checked(scratch.store(ids, "ids"))
     rows = members.join(ids, (F.col("s") == F.col("_s")) & (F.col("n") > 0), "left")
     component = F.when(F.col("n") > 0, F.col("_component")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", "text_hash", "n", "s", component.alias("component_id"))
+    return rows.select("doc_id", "text_hash", "n", "s", component.alias("component_id"), F.col("_label").alias("label"))
 
 
 def jaccard_components(docs: DataFrame, **options) -> DataFrame:
@@ -543,14 +544,15 @@ def jaccard_components(docs: DataFrame, **options) -> DataFrame:
 def one_per_component(docs: DataFrame, **options) -> DataFrame:
     """One row of ``docs`` per component, that of the smallest id; documents without words all stay.
 
-    Only the rows to drop are joined, by (doc_id, text hash). Of repeated rows one stays.
+    Components are told apart by their labels, as ids can be null or repeated. Only the rows to drop are joined, by
+    (doc_id, text hash). Of repeated rows one stays.
     """
     scratch = Scratch(docs.sparkSession)
     rows = scratch.store(set_components(docs, **options), "members")
     own = ["doc_id", "text_hash"]
-    worded = rows.where("n > 0").groupBy("component_id", *own).agg(F.count("*").alias("copies"))
-    kept = worded.groupBy("component_id").agg(F.min(F.struct(*own)).alias("kept"))
-    judged = worded.join(kept, worded["component_id"].eqNullSafe(kept["component_id"])).select(
+    worded = rows.where("n > 0").groupBy("label", *own).agg(F.count("*").alias("copies"))
+    kept = worded.groupBy("label").agg(F.min(F.struct(*own)).alias("kept"))
+    judged = worded.join(kept, "label").select(
         F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), "copies",
         (F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("text_hash") == F.col("kept.text_hash"))).alias("_keep"),
     )

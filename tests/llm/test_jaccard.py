@@ -91,6 +91,18 @@ def test_one_row_per_component(spark):
     assert set(got) == expected and len(got) == len(expected)
 
 
+def test_null_and_repeated_ids_do_not_merge_components(spark):
+    """Different texts without an id, and different texts of one id, each keep a row; their near copies go."""
+    text = [words(300 + i, 60) for i in range(5)]
+    near = [" ".join([*t[:-1], "zz"]) for t in text]
+    full = [" ".join(t) for t in text]
+    rows = [doc(None, full[0]), doc(None, full[1]), doc(None, near[1]), doc(None, full[1]), doc(7, full[2]), doc(7, full[3]), doc(9, near[3]), doc(8, full[4])]
+    kept = sorted(((r["doc_id"], r["text"]) for r in jaccard.one_per_component(docs_frame(spark, rows)).collect()), key=str)
+    groups = [{full[0]}, {full[1], near[1]}, {full[2]}, {full[3], near[3]}, {full[4]}]
+    assert [sum(t in g for _, t in kept) for g in groups] == [1] * 5 and len(kept) == 5
+    assert {(7, full[2]), (7, full[3]), (8, full[4])} <= set(kept)
+
+
 def test_empty(spark):
     assert jaccard.jaccard_components(docs_frame(spark, [])).count() == 0
     assert jaccard.one_per_component(docs_frame(spark, [])).count() == 0
