@@ -2,10 +2,12 @@
 
 First pass: a page is cut into blocks at block-level tags; each block is good, bad or ambiguous from its
 length, its share of stop words and its share of linked characters. Blocks in parts that are by their
-name no article (navigation, footers, forms, advertisements, comments) are bad, whatever their text.
+name no article (navigation, footers, forms, advertisements, comments) are bad, whatever their text. Names are
+whole class tokens, and a wrapper around the page's only articles is not bad for its class.
 Second pass: ambiguous blocks, mostly short ones, take the label of the nearest decided block of the
 same container; where the nearest ones differ, the good one counts, and where none is decided, blocks
-of an article are good and others bad.
+of an article are good and others bad. On a page with hardly any of the stop words (another language, code)
+the long blocks are good, as their words say nothing.
 
 Nulls: a null html is an empty page; null ids and urls are kept. An empty page has empty text. Markup
 that is cut off or never closed ends with the page. Repeated rows are worked on each. An empty table
@@ -42,12 +44,16 @@ _DROPPED = frozenset(
     "menu dialog audio video label option".split()
 )
 _RAW = re.compile(r"<(script|style|textarea|title|noscript|template|iframe)\b", re.I)
-_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu|sidebar|side|widget|footer|header|masthead|comments?"
-    r"|reply|replies|cookies?|consent|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|social"
-    r"|related|recommend\w*|breadcrumbs?|pagination|pager|disclaimer|copyright|toolbar|skip)(?:$|[\s_-])",
-    re.I,
+_LISTS = r"comments?|reply|replies|related|recommend\w*"
+_NAME = (
+    r"(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav(?:s|bar|igation)?|menu|sidebar|side|widget|footer|header|masthead"
+    r"|cookies?|consent|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|social"
+    rf"|breadcrumbs?|pagination|pager|disclaimer|copyright|toolbar|skip|{_LISTS})"
 )
+# What may stand beside names in a class; others (has-sidebar, no-ads, side-by-side) say something else.
+_BESIDE = r"(?:site|page|main|top|bottom|left|right|list|box|block|bar|slot|unit|wrapper|container|inner|\d+)"
+_NAMES = re.compile(rf"(?<!\S)(?:{_BESIDE}[_-]+)*{_NAME}(?:[_-]+(?:{_NAME}|{_BESIDE}))*(?!\S)", re.I)
+_OTHERS = re.compile(rf"(?:^|[\s_-])(?:{_LISTS})(?:$|[\s_-])", re.I)
 _MARK = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']|"[^"<]*"|'[^'<]*')*|[^<>]*)/?>?""", re.S
 )
@@ -63,22 +69,25 @@ class Block:
     dropped: bool
     container: int
     article: bool
+    wrappers: tuple[int, ...] = ()
     label: str = ""
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks in order, with linked characters and the container they stand in."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, bool, int]] = [("", False, False, 0)]  # tag, dropped, in an article, container
+    # tag, dropped, in an article, container, open elements that are no article by their class
+    stack: list[tuple[str, bool, bool, int, tuple[int, ...]]] = [("", False, False, 0, ())]
+    around: dict[int, tuple[int, ...]] = {}  # those of them around a container
     parts: list[str] = []
-    linked, in_link, containers = 0, False, 0
+    linked, in_link, containers, elements = 0, False, 0, 0
 
     def flush() -> None:
         nonlocal linked
         text = _SPACE.sub(" ", references.unescape("".join(parts))).strip()
         if text:
-            _, dropped, article, container = stack[-1]
-            found.append(Block(text, min(linked, len(text)), dropped, container, article))
+            _, dropped, article, container, wrappers = stack[-1]
+            found.append(Block(text, min(linked, len(text)), dropped, container, article, wrappers))
         parts.clear()
         linked = 0
 
@@ -137,17 +146,45 @@ def blocks(page: str) -> list[Block]:
         if tag in _VOID or rest.endswith("/"):
             continue
         if breaks:
-            _, dropped, article, container = stack[-1]
+            _, dropped, article, container, wrappers = stack[-1]
             names = " ".join("".join(x) for x in _ATTRIBUTE.findall(rest)) if rest else ""
-            dropped = dropped or tag in _DROPPED or tag not in ("body", "html", "article", "main") and bool(names and _NAMES.search(names))
+            dropped = dropped or tag in _DROPPED
+            if tag not in ("body", "html", "article", "main") and names and _NAMES.search(names):
+                # What is inside an article, or lists other articles, cannot be a wrapper of the page's own.
+                if article or _OTHERS.search(names):
+                    dropped = True
+                else:
+                    elements += 1
+                    wrappers = (*wrappers, elements)
             if tag in ("article", "main"):
                 containers += 1
                 article, container = True, containers
-            stack.append((tag, dropped, article, container))
+                around[container] = wrappers
+            stack.append((tag, dropped, article, container, wrappers))
     flush()
+    _judge_wrappers(found, around)
     return found
 
 
+def _judge_wrappers(found: list[Block], around: dict[int, tuple[int, ...]]) -> None:
+    """Drop what stands in wrappers, but for those around the main article: the longest of the wrapped articles, if no
+    article stands outside and it is longer than all text outside."""
+    outside, held, free_article = 0, {}, False
+    for block in found:
+        if block.dropped:
+            continue
+        if not block.wrappers:
+            outside += len(block.text)
+            free_article = free_article or block.article
+        elif block.article:
+            own = around[block.container]
+            held[own] = held.get(own, 0) + len(block.text)
+    main = max(held, key=held.get, default=())
+    kept = set(main) if main and not free_article and held[main] > outside else set()
+    for block in found:
+        block.dropped = block.dropped or not kept.issuperset(block.wrappers)
+
+
 def first_pass(block: Block, stop_words=STOP_WORDS, short=70, long=200, low=0.1, high=0.25, links=0.3) -> str:
     """good, bad or ambiguous, from the block alone."""
     if block.dropped:
@@ -157,13 +194,29 @@ def first_pass(block: Block, stop_words=STOP_WORDS, short=70, long=200, low=0.1,
         return "bad"
     if length < short:
         return "ambiguous"
-    words = block.text.lower().split()
-    density = sum(w.strip(".,;:!?()\"'") in stop_words for w in words) / len(words)
+    stops, words = _stops(block, stop_words)
+    density = stops / words
     if density >= high:
         return "good"
     if density >= low:
         return "good" if length >= long or block.article else "ambiguous"
-    return "ambiguous" if block.article else "bad"
+    return "ambiguous"
+
+
+def _stops(block: Block, stop_words) -> tuple[int, int]:
+    """Stop words and words of a block."""
+    words = block.text.lower().split()
+    return sum(w.strip(".,;:!?()\"'") in stop_words for w in words), len(words)
+
+
+def without_stop_words(found: list[Block], stop_words=STOP_WORDS, short=70, low=0.1, **_) -> None:
+    """Make the long ambiguous blocks good where none is and, over all of them, stop words are rare."""
+    own = [b for b in found if b.label == "ambiguous" and len(b.text) >= short]
+    if own and not any(b.label == "good" for b in found):
+        stops, words = map(sum, zip(*(_stops(b, stop_words) for b in own)))
+        if stops < low * words:
+            for block in own:
+                block.label = "good"
 
 
 def second_pass(found: list[Block]) -> None:
@@ -196,6 +249,7 @@ def extract(page: str, **rules) -> str:
     found = blocks(page)
     for block in found:
         block.label = first_pass(block, **rules)
+    without_stop_words(found, **rules)
     second_pass(found)
     return "\n\n".join(b.text for b in found if b.label == "good")
 
