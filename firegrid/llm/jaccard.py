@@ -10,10 +10,11 @@ some of it:
 The size that parts them has the least cost, estimated from the sizes of all sets and from how often
 shingles recur; light sets can link to somewhat larger ones, which therefore do both.
 
-Lists are never turned into all their pairs. First, neighbours in the lists, which are all in one random
-order, are verified where they share enough keys; this joins most copies. Then a set is compared with the list members of other
-components only: shared prefix elements are counted over its lists, and the few pairs that could still
-reach the similarity are verified. A pair within one component needs no verdict.
+First, neighbours in the lists, which are all in one random order, are verified where they share enough keys; this
+joins most copies. Then a set is compared with the list members of other components only: shared prefix elements
+are counted over its lists, and the few pairs that could still reach the similarity are verified. A list of many such
+pairs is dealt out in blocks, and only members are paired whose places in the prefix leave enough overlap.
+A pair within one component needs no verdict.
 
 The order of frequent shingles is a hint: it holds the ``hint_size`` most frequent ones and decides
 the cost only, never the result. Sets and shingles are compared by 64-bit hashes.
@@ -46,7 +47,10 @@ BUCKET_ENTRIES = 1_000_000
 _STEPS = tuple(range(1, 17))
 _BORDERS = (0, 4, 8, 16, 32)
 _COUNTED = 800_000
-_ENTRY = np.dtype([("k", "<u8"), ("s", "<i8"), ("w", "<u8"), ("n", "<u4")])
+# A list of which more pairs than this times its length are in different components is paired by places and in blocks.
+_DENSE = 32
+_BLOCK_MEMBERS = 1024
+_ENTRY = np.dtype([("k", "<u8"), ("s", "<i8"), ("w", "<u8"), ("n", "<u4"), ("p", "<u4")])
 
 
 def shingle_set(text: bytes | None, size: int = SHINGLE) -> np.ndarray:
@@ -166,24 +170,26 @@ class Order:
         return int(shingle) >> 1
 
 
-def signature_keys(shingles: np.ndarray, order: Order, border: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def signature_keys(shingles: np.ndarray, order: Order, border: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys of one set, even for subsets of two prefix elements, odd for single elements, and for each
-    the place of the prefix' end in the order."""
+    the place of the prefix' end in the order and the place of its (last) element in the prefix."""
     n, one = len(shingles), np.uint64(1)
     prefix = order.prefix(shingles, n - _least_overlap(n, percent) + 2)
-    keys, ends = [], []
+    keys, ends, places = [], [], []
     if n > border:
         single = prefix[: n - _least_overlap(n, percent) + 1]
         keys.append(mix(single) | one)
         ends.append(np.full(len(single), order.place(single[-1]), np.uint64))
+        places.append(np.arange(len(single)))
     if n <= border * 100 // percent and len(prefix) > 1:
         i, j = np.triu_indices(len(prefix), 1)
         pairs = np.sort(np.stack([prefix[i], prefix[j]]), axis=0)
         keys.append(mix(pairs[0] * np.uint64(0x9E3779B97F4A7C15) + mix(pairs[1])) & ~one)
         ends.append(np.full(len(i), order.place(prefix[-1]), np.uint64))
+        places.append(j)
     if not keys:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    return np.concatenate(keys), np.concatenate(ends)
+        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
+    return np.concatenate(keys), np.concatenate(ends), np.concatenate(places)
 
 
 def _signatures(docs: DataFrame, frequent, border: int, buckets: int, shingle: int, percent: int) -> DataFrame:
@@ -200,7 +206,7 @@ def _signatures(docs: DataFrame, frequent, border: int, buckets: int, shingle: i
             by = np.argsort(bucket, kind="stable")  # rows of one set stay together and compress well
             bucket, rows = bucket[by], rows[by]
             first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(rows) else np.empty(0, np.int64)
-            bodies = [b"".join(rows[c][a:b].tobytes() for c in "kswn") for a, b in zip(first, np.r_[first[1:], len(rows)])]
+            bodies = [b"".join(rows[c][a:b].tobytes() for c in "kswnp") for a, b in zip(first, np.r_[first[1:], len(rows)])]
             return pa.RecordBatch.from_arrays([pa.array(bucket[first], pa.int32()), pa.array(bodies, pa.binary())], names=schema.names)
 
         for batch in batches:
@@ -211,9 +217,9 @@ def _signatures(docs: DataFrame, frequent, border: int, buckets: int, shingle: i
                 if not len(shingles) or own in seen:
                     continue
                 seen.add(own)
-                keys, ends = signature_keys(shingles, order, border, percent)
+                keys, ends, places = signature_keys(shingles, order, border, percent)
                 rows = np.empty(len(keys), _ENTRY)
-                rows["k"], rows["s"], rows["w"], rows["n"] = keys, own, ends, len(shingles)
+                rows["k"], rows["s"], rows["w"], rows["n"], rows["p"] = keys, own, ends, len(shingles), places
                 parts.append(rows)
                 size += len(rows)
                 if size > _COUNTED:
@@ -224,11 +230,11 @@ def _signatures(docs: DataFrame, frequent, border: int, buckets: int, shingle: i
     return docs.select("text").mapInArrow(made, schema)
 
 
-_LIST = fields(("key", "long"), ("members", "binary"), ("sizes", "binary"), ("ends", "binary"))
+_LIST = fields(("key", "long"), ("members", "binary"), ("sizes", "binary"), ("ends", "binary"), ("places", "binary"))
 
 
 def _lists(signatures: DataFrame) -> DataFrame:
-    """(key, members, sizes, ends): lists of two or more sets that share a key, in the order of the ids."""
+    """(key, members, sizes, ends, places): lists of two or more sets that share a key, in the order of the ids."""
 
     def gathered(table):
         import pyarrow as pa
@@ -242,8 +248,9 @@ def _lists(signatures: DataFrame) -> DataFrame:
             rows["s"][at : at + m] = np.frombuffer(body, "<i8", m, 8 * m)
             rows["w"][at : at + m] = np.frombuffer(body, "<u8", m, 16 * m)
             rows["n"][at : at + m] = np.frombuffer(body, "<u4", m, 24 * m)
+            rows["p"][at : at + m] = np.frombuffer(body, "<u4", m, 28 * m)
             at += m
-        rows = rows[np.lexsort((rows["s"], rows["k"]))]
+        rows = rows[np.lexsort((rows["p"], rows["s"], rows["k"]))]
         if len(rows):
             new = np.r_[True, (rows["k"][1:] != rows["k"][:-1]) | (rows["s"][1:] != rows["s"][:-1])]
             rows = rows[new]
@@ -251,7 +258,7 @@ def _lists(signatures: DataFrame) -> DataFrame:
         end = np.r_[first[1:], len(rows)]
         keep = end - first > 1
         first, end = first[keep], end[keep]
-        bodies = [[column[x:y].tobytes() for x, y in zip(first, end)] for column in (np.ascontiguousarray(rows[c]) for c in "snw")]
+        bodies = [[column[x:y].tobytes() for x, y in zip(first, end)] for column in (np.ascontiguousarray(rows[c]) for c in "snwp")]
         keys = pa.array(np.ascontiguousarray(rows["k"][first]).view("<i8"))
         return pa.Table.from_arrays([keys, *(pa.array(x, pa.binary()) for x in bodies)], names=_LIST.names)
 
@@ -262,14 +269,15 @@ _PAIR = fields(("a", "long"), ("b", "long"))
 
 
 def _flat(batch) -> tuple[np.ndarray, ...]:
-    """Members, sizes, prefix ends, keys and places in their list of all lists of a batch, list after list."""
+    """Members, sizes, prefix ends, keys, places in their list and in the prefix of all lists of a batch, list after list."""
     bodies = batch.column("members").to_pylist()
     length = np.array([len(b) // 8 for b in bodies], np.int64)
     s = np.frombuffer(b"".join(bodies), "<i8")
     n = np.frombuffer(b"".join(batch.column("sizes").to_pylist()), "<u4").astype(np.int64)
     w = np.frombuffer(b"".join(batch.column("ends").to_pylist()), "<u8")
     start = np.repeat(np.cumsum(length) - length, length)
-    return s, n, w, np.repeat(batch.column("key").to_numpy(), length), np.arange(len(s)) - start
+    p = np.frombuffer(b"".join(batch.column("places").to_pylist()), "<u4").astype(np.int64)
+    return s, n, w, np.repeat(batch.column("key").to_numpy(), length), np.arange(len(s)) - start, p
 
 
 def _rest(n: np.ndarray, m: np.ndarray, v: np.ndarray, w: np.ndarray, odd: np.ndarray, percent: int) -> np.ndarray:
@@ -301,7 +309,7 @@ def _neighbours(lists: DataFrame, percent: int, border: int) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            s, n, w, key, _ = _flat(batch)
+            s, n, w, key, _, _ = _flat(batch)
             parts = []
             for step in _STEPS:
                 i = np.flatnonzero((key[:-step] == key[step:]) & (100 * np.minimum(n[:-step], n[step:]) >= percent * np.maximum(n[:-step], n[step:])))
@@ -332,7 +340,7 @@ def _homes(lists: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            s, _, _, key, part = _flat(batch)
+            s, _, _, key, part, _ = _flat(batch)
             part = part // 512
             if len(s):
                 by = np.lexsort((part, key, s))
@@ -377,40 +385,108 @@ def _verify(pairs: DataFrame, homes: DataFrame, sets: DataFrame, percent: int, t
     return placed.groupBy("place").cogroup(shipped.groupBy("at")).applyInArrow(judged, _PAIR)
 
 
-def _open_pairs(lists: DataFrame, labels: DataFrame, percent: int, border: int, buckets: int) -> DataFrame:
+def _largest_partner(n, p, odd, percent: int):
+    """The size of the largest set that one of ``n`` shingles can link to if the first key they share ends at place ``p``:
+    ``percent * (n + m) / (100 + percent)`` shingles must be shared, and from there on are ``n - p``."""
+    return (n - p + np.where(odd, 0, 1)) * (100 + percent) // percent - n
+
+
+def _open_pairs(lists: DataFrame, labels: DataFrame, percent: int, border: int, buckets: int, scratch: Scratch, dense: int = _DENSE) -> DataFrame:
     """Pairs of different components that share enough prefix elements to be able to link.
 
     In each list a set is paired with the members of larger components; the pairs of a set are gathered by
-    set, as blobs, and counted over its lists.
+    set, as blobs, and counted over its lists. Dense lists, with many members of different components, are cut into
+    blocks, and two members are paired only where the list could be the first that they share. Pairs that meet in
+    other lists may share more keys in dense ones: at most as many as either set has there (``u``).
     """
-    schema = fields(("key", "long"), ("s", "long"), ("n", "long"), ("w", "long"))
+    schema = fields(("key", "long"), ("s", "long"), ("n", "long"), ("w", "long"), ("p", "long"))
 
     def flat(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            s, n, w, key, _ = _flat(batch)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, s, n, w.view("<i8"))], names=schema.names)
-
-    rows = lists.mapInArrow(flat, schema)
-    labelled = rows.join(labels.select(F.col("node").alias("s"), "label", "weight"), "s", "left").select(
-        F.pmod("key", F.lit(buckets)).alias("bucket"), "key", "s", "n", "w",
-        F.coalesce("label", "s").alias("label"), F.coalesce("weight", F.lit(1)).alias("weight"),
+            s, n, w, key, _, p = _flat(batch)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, s, n, w.view("<i8"), p)], names=schema.names)
+
+    def labelled_rows(some: DataFrame) -> DataFrame:
+        rows = some.select(*lists.columns).mapInArrow(flat, schema)
+        return rows.join(labels.select(F.col("node").alias("s"), "label", "weight"), "s", "left").select(
+            F.pmod("key", F.lit(buckets)).alias("bucket"), "key", "s", "n", "w", "p",
+            F.coalesce("label", "s").alias("label"), F.coalesce("weight", F.lit(1)).alias("weight"),
+        )
+
+    # Only lists of over 2 * dense members can have so many pairs.
+    by_label = labelled_rows(lists.where(F.octet_length("members") > 16 * dense)).groupBy("key", "label").agg(
+        F.count("*").alias("c"), F.min("n").alias("least")
     )
+    by_key = by_label.groupBy("key").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("same"), F.min("least").alias("least"))
+    hot = scratch.store(by_key.where(F.col("c") * F.col("c") - F.col("same") > 2 * dense * F.col("c")).select("key", "c", "least"), "hot")
+    hot = broadcast_checked(hot)
+    hot_rows = labelled_rows(lists.join(hot, "key", "left_semi"))
+    odd = F.pmod("key", F.lit(2)) == 1
+    uncounted = scratch.store(hot_rows.groupBy("s", odd.alias("odd")).agg(F.count("*").alias("u")), "uncounted")
+    uncounted = broadcast_checked(uncounted.select(F.col("s").alias("_s"), F.col("odd").alias("_odd"), "u"))
+    with_u = lambda rows: rows.join(uncounted, (F.col("s") == F.col("_s")) & (odd == F.col("_odd")), "left").drop("_s", "_odd").withColumn(
+        "u", F.coalesce("u", F.lit(0))
+    )
+    labelled = with_u(labelled_rows(lists.join(hot, "key", "left_anti")))
+    # A member that is too far back for even the least partner it could have in the list is left out.
+    extra = F.when(odd, 0).otherwise(1)
+    reach = F.floor((F.col("n") - F.col("p") + extra) * (100 + percent) / percent) - F.col("n")
+    blocks = F.ceil(F.col("c") / _BLOCK_MEMBERS).cast("int")
+    own = F.pmod(F.xxhash64("s"), blocks).cast("int")
+    other = F.explode(F.sequence(F.lit(0), blocks - 1))
+    hot_rows = with_u(hot_rows.join(hot, "key").where(reach >= F.greatest("least", F.ceil(F.col("n") * percent / 100))))
+    cells = hot_rows.withColumn("own", own).withColumn("other", other).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
     probe = fields(("bucket", "long"), ("body", "binary"))
-    entry = np.dtype([("s", "<i8"), ("t", "<i8"), ("n", "<u4"), ("m", "<u4"), ("rest", "<u4"), ("odd", "u1")])
+    entry = np.dtype([("s", "<i8"), ("t", "<i8"), ("n", "<u4"), ("m", "<u4"), ("rest", "<u4"), ("u", "<u4"), ("odd", "u1")])
 
-    def probes(table):
+    def made(x, y, s, n, w, u, odd):
+        part = np.empty(len(x), entry)
+        part["s"], part["t"], part["n"], part["m"], part["odd"] = s[x], s[y], n[x], n[y], odd
+        part["rest"] = _rest(n[x], n[y], w[x], w[y], odd == 1, percent)
+        part["u"] = np.minimum(u[x], u[y])
+        return part
+
+    def gathered_by_set(out):
         import pyarrow as pa
 
-        key, s, n, w, label, weight = (table.column(c).to_numpy() for c in ("key", "s", "n", "w", "label", "weight"))
+        rows = np.concatenate(out) if out else np.empty(0, entry)
+        where = (mix(rows["s"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(where, kind="stable")
+        where, rows = where[order], rows[order]
+        start = np.flatnonzero(np.r_[True, where[1:] != where[:-1]]) if len(rows) else np.empty(0, np.int64)
+        bodies = [rows[x:y].tobytes() for x, y in zip(start, np.r_[start[1:], len(rows)])]
+        return pa.Table.from_arrays([pa.array(where[start]), pa.array(bodies, pa.binary())], names=probe.names)
+
+    def cell_probes(table):
+        key, s, n, w, p, label, weight, u, own, i, j = (
+            table.column(c).to_numpy() for c in ("key", "s", "n", "w", "p", "label", "weight", "u", "own", "i", "j")
+        )
+        w, out = w.view("<u8"), []
+        odd = key[0] & 1
+        reach = _largest_partner(n, p, odd == 1, percent)
+        left, right = np.flatnonzero(own == i[0]), np.flatnonzero(own == j[0])
+        for x in left:
+            y = right[s[right] > s[x]] if i[0] == j[0] else right
+            fits = (label[y] != label[x]) & (n[y] <= reach[x]) & (reach[y] >= n[x])
+            y = y[fits & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
+            if len(y):
+                a, b = np.full(len(y), x), y
+                # A pair is named from the set of the smaller component, as by ``probes``: its counts meet in one place.
+                swap = (weight[a] > weight[b]) | (weight[a] == weight[b]) & (label[a] > label[b])
+                out.append(made(np.where(swap, b, a), np.where(swap, a, b), s, n, w, u, odd))
+        return gathered_by_set(out)
+
+    def probes(table):
+        key, s, n, w, label, weight, u = (table.column(c).to_numpy() for c in ("key", "s", "n", "w", "label", "weight", "u"))
         by = np.lexsort((s, label, weight, key))
-        key, s, n, w, label = key[by], s[by], n[by], w[by].view("<u8"), label[by]
+        key, s, n, w, label, u = key[by], s[by], n[by], w[by].view("<u8"), label[by], u[by]
         # Lists of one component need no pairs.
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
         length = np.diff(np.r_[first, len(key)])
         mixed = np.repeat(label[first] != label[first + length - 1], length) if len(key) else np.empty(0, bool)
-        key, s, n, w, label = key[mixed], s[mixed], n[mixed], w[mixed], label[mixed]
+        key, s, n, w, label, u = key[mixed], s[mixed], n[mixed], w[mixed], label[mixed], u[mixed]
         out, left, step = [], np.arange(len(key)), 0
         while len(left):
             step += 1
@@ -418,18 +494,8 @@ def _open_pairs(lists: DataFrame, labels: DataFrame, percent: int, border: int,
             left = left[key[left] == key[left + step]]  # those with a member so many places on
             x, y = n[left], n[left + step]
             pair = left[(label[left] != label[left + step]) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y))]
-            part = np.empty(len(pair), entry)
-            other, odd = pair + step, key[pair] & 1
-            part["s"], part["t"], part["n"], part["m"], part["odd"] = s[pair], s[other], n[pair], n[other], odd
-            part["rest"] = _rest(n[pair], n[other], w[pair], w[other], odd == 1, percent)
-            out.append(part)
-        rows = np.concatenate(out) if out else np.empty(0, entry)
-        where = (mix(rows["s"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(where, kind="stable")
-        where, rows = where[order], rows[order]
-        start = np.flatnonzero(np.r_[True, where[1:] != where[:-1]]) if len(rows) else np.empty(0, np.int64)
-        bodies = [rows[x:y].tobytes() for x, y in zip(start, np.r_[start[1:], len(rows)])]
-        return pa.Table.from_arrays([pa.array(where[start]), pa.array(bodies, pa.binary())], names=probe.names)
+            out.append(made(pair, pair + step, s, n, w, u, key[pair] & 1))
+        return gathered_by_set(out)
 
     def counted(table):
         import pyarrow as pa
@@ -440,6 +506,7 @@ def _open_pairs(lists: DataFrame, labels: DataFrame, percent: int, border: int,
         first = np.flatnonzero(new)
         times = np.diff(np.r_[first, len(rows)]).astype(np.int64)
         rows = rows[first]
+        times += rows["u"]
         swap = rows["s"] > rows["t"]
         columns = [np.where(swap, rows[y], rows[x]).astype(np.int64) for x, y in (("s", "t"), ("t", "s"), ("n", "m"), ("m", "n"))]
         n, m, rest, odd = columns[2], columns[3], rows["rest"].astype(np.int64), rows["odd"] == 1
@@ -449,6 +516,7 @@ def _open_pairs(lists: DataFrame, labels: DataFrame, percent: int, border: int,
         return pa.Table.from_arrays(arrays, names=_COUNT.names)
 
     gathered = labelled.groupBy("bucket").applyInArrow(probes, probe)
+    gathered = gathered.unionByName(cells.groupBy("key", "i", "j").applyInArrow(cell_probes, probe))
     counts = gathered.groupBy("bucket").applyInArrow(counted, _COUNT)
     return counts.where(_can_link(percent, border)).select("a", "b").distinct()
 
@@ -491,7 +559,8 @@ def _frequent(surveyed: DataFrame, hint_size: int) -> np.ndarray:
 
 
 def set_components(
-    docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, hint_size: int = HINT_SIZE, border: int | None = None
+    docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, hint_size: int = HINT_SIZE, border: int | None = None,
+    dense: int = _DENSE,
 ) -> DataFrame:
     """(doc_id, text_hash, n, s, component_id, label) of every document; ``s`` names its set and ``label`` its component,
     also where ids are null or repeated; null for documents without words. ``border`` sets the largest light size by
@@ -515,7 +584,7 @@ def set_components(
     first = connected_components(links, scratch, "first")
     weight = first.groupBy("label").agg(F.count("*").alias("weight"))
     labels = broadcast_checked(scratch.store(first.join(weight, "label"), "labels"))
-    open_pairs = _open_pairs(lists, labels, percent, border, buckets).join(near, ["a", "b"], "left_anti")
+    open_pairs = _open_pairs(lists, labels, percent, border, buckets, scratch, dense).join(near, ["a", "b"], "left_anti")
     open_pairs = scratch.store(open_pairs, "open")
     sets = _sets(docs, members, open_pairs, scratch, shingle, "open")
     late = scratch.store(_verify(open_pairs, homes, sets, percent, tasks), "late")

@@ -91,6 +91,26 @@ def test_one_row_per_component(spark):
     assert set(got) == expected and len(got) == len(expected)
 
 
+@pytest.mark.parametrize("border", [0, 32])
+def test_dense_lists_equal_all_pairs(spark, monkeypatch, border):
+    """Lists that are paired by places and in blocks, beside others, lose no link."""
+    monkeypatch.setattr(jaccard, "_BLOCK_MEMBERS", 4)
+    rows, template = copies(2, 48), words(77, 60)
+    for i in range(40):  # some link by the template, most do not; lengths differ
+        rows.append(doc(5000 + i, " ".join(template[: 60 - i % 7] + words(900 + i % 30, 5 + i % 25))))
+    got = jaccard.jaccard_components(docs_frame(spark, rows), border=border, dense=1).collect()
+    assert sorted(tuple(r) for r in got) == sorted(plain(rows))
+
+
+def test_many_unlinked_pages_of_one_template(spark):
+    """All pairs of the template's lists would be hundreds of millions."""
+    template = words(5, 200)
+    rows = [doc(i, " ".join(template + [f"w{i}x{k}" for k in range(60)])) for i in range(12_000)]
+    rows.append(doc(20_000, rows[7][1] + " more"))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(docs_frame(spark, rows)).collect()}
+    assert got == {r[0]: r[0] for r in rows} | {20_000: 7}
+
+
 def test_null_and_repeated_ids_do_not_merge_components(spark):
     """Different texts without an id, and different texts of one id, each keep a row; their near copies go."""
     text = [words(300 + i, 60) for i in range(5)]
