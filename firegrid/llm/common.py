@@ -14,6 +14,9 @@ from pyspark.sql.types import BinaryType, BooleanType, DoubleType, IntegerType,
 # Java pattern of a word: white space is the six ASCII characters only.
 WORD = r"[^\x20\x09-\x0D]+"
 
+# Bytes of one Arrow batch given to a Python worker, so that long texts don't come ten thousand at a time.
+BATCH_BYTES = 16 * 1024 * 1024
+
 # Bytes up to which a stored side is replicated to every executor.
 BROADCAST_BYTES = 24 * 1024 * 1024
 
@@ -51,6 +54,13 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def limit_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of the session by bytes, unless it has a lower bound already."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def broadcast_checked(stored: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast of a stored side only if its measured size is within the bound.
 
