@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, html, jaccard, mixing, packing, quality, sharding, substring, topk, warc
+from . import ann, bpe, html, jaccard, mixing, packing, quality, sharding, substring, topk, warc, whitening
 
 TOKENIZER = "word_bpe_49k.json"
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -81,12 +81,17 @@ def op11_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_polarisation_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("deviation", F.least("deviation", F.lit(2**63 - 1).cast("decimal(38,0)")).cast("long"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_sainte_lague_mix, op2_warc_index_merge, op3_virtual_slots, op4_two_pass_blocks, op5_bradley_terry, op6_no_random_access,
         op7_heavy_light_join, op8_collision_counting, op9_de_bruijn_spans, op10_swap_packing,
-        op11_backtracking_bpe,
+        op11_backtracking_bpe, op13_polarisation_whitening,
     )
 }
 
