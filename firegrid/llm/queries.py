@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, html, jaccard, mixing, packing, quality, sharding, substring, topk, warc, whitening
+from . import ann, bpe, html, jaccard, mixing, negatives, packing, quality, sharding, substring, topk, warc, whitening
 
 TOKENIZER = "word_bpe_49k.json"
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -81,6 +81,12 @@ def op11_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_zone_map_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = table(spark, sf_dir, "embeddings")
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(embeddings.withColumn("label", noisy))
+
+
 def op13_polarisation_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = whitening.whiten(table(spark, sf_dir, "embeddings"))
     return rows.withColumn("deviation", F.least("deviation", F.lit(2**63 - 1).cast("decimal(38,0)")).cast("long"))
@@ -91,7 +97,7 @@ QUERIES = {
     for f in (
         op1_sainte_lague_mix, op2_warc_index_merge, op3_virtual_slots, op4_two_pass_blocks, op5_bradley_terry, op6_no_random_access,
         op7_heavy_light_join, op8_collision_counting, op9_de_bruijn_spans, op10_swap_packing,
-        op11_backtracking_bpe, op13_polarisation_whitening,
+        op11_backtracking_bpe, op12_zone_map_negatives, op13_polarisation_whitening,
     )
 }
 
@@ -110,4 +116,24 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
 ) WHERE rank <= 5
 """
 
-SQL = {"op6_no_random_access": OP6_SQL}
+# Positives and negatives by brute force; rows that share an id count each.
+OP12_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS c
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS same_label, CAST(list_dot_product(a.c, v.c) AS BIGINT) AS score
+  FROM v a JOIN v ON a.vec_id % 100 = 0 AND v.vec_id <> a.vec_id
+), p AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place FROM s WHERE same_label) WHERE place <= 5
+), n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.place ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same_label AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+SQL = {"op6_no_random_access": OP6_SQL, "op12_zone_map_negatives": OP12_SQL}
