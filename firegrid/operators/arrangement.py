@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..schema import require_columns
 from ..session import checkpoint
-from .planar import COORDINATES, directed_areas, oriented, pieces_in_tiles, weighted_edges
+from .planar import COORDINATES, covered_borders, directed_areas, oriented, pieces_in_tiles, strips, weighted_edges
 
 PRECISION = 1e-6
 _ENDS = ("ax", "ay", "bx", "by")
@@ -135,11 +135,10 @@ def side_windings(s: DataFrame, keys: Sequence[str], tile: float) -> DataFrame:
     """
     keys, tile = list(keys), float(tile)
     name = F.xxhash64(*_ENDS)
-    pieces = weighted_edges(_as_edges(s).withColumn("_name", name), tile, [*keys, "_name"])
-    # Borders belong to whole groups: their stretches are sums over all segments.
-    borders = weighted_edges(_as_edges(s), tile, keys).where((F.col("y1") == tile) & (F.col("y2") == tile))
-    own = pieces.where((F.col("y1") != tile) | (F.col("y2") != tile))
-    above = own.unionByName(borders.withColumn("_name", F.lit(0).cast("long")))
+    edges = _as_edges(s)
+    own = strips(edges.withColumn("_name", name), tile, [*keys, "_name"])
+    borders = covered_borders(edges, tile, keys).withColumn("_name", F.lit(0).cast("long"))
+    above = own.unionByName(borders)
     above = above.withColumnsRenamed({c: f"_{c}" for c in (*COORDINATES, "w")})
     mx, my = (F.col("ax") + F.col("bx")) / 2.0, (F.col("ay") + F.col("by")) / 2.0
     middle = s.withColumns({"row": F.floor(my / tile), "col": F.floor(mx / tile), "_of": name})
@@ -159,7 +158,8 @@ def bounded_region(edges: DataFrame, keys: Sequence[str], rule: str, tile: float
 
     ``edges`` are directed. The result's edges meet in end points only.
     """
-    cut = checkpoint(cut_segments(segments(edges, keys, precision), keys, tile, precision))
+    whole = checkpoint(segments(edges, keys, precision))
+    cut = checkpoint(cut_segments(whole, keys, tile, precision))
     sides = side_windings(cut, keys, tile).withColumns({"_in": _inside(F.col("left"), rule), "_out": _inside(F.col("right"), rule)})
     sides = sides.where(F.col("_in") != F.col("_out"))
     pick = lambda a, b: F.when(F.col("_in"), F.col(a)).otherwise(F.col(b))

@@ -99,6 +99,18 @@ def covered_borders(edges: DataFrame, tile: float, keys: Sequence[str]) -> DataF
     )
 
 
+def strips(edges: DataFrame, tile: float, keep: Sequence[str]) -> DataFrame:
+    """(keep, row, col, x1, y1, x2, y2, w): pieces of directed edges in tiles from left to right, with the weight of the
+    strip below. Upright pieces and pieces along a tile's lower border have no strip."""
+    pieces = pieces_in_tiles(edges, tile, [*keep, "w"]).where((F.col("x1") != F.col("x2")) & ((F.col("y1") > 0) | (F.col("y2") > 0)))
+    right = F.col("x1") < F.col("x2")
+    pick = lambda a, b: F.when(right, F.col(a)).otherwise(F.col(b))
+    return pieces.select(
+        *keep, "row", "col", pick("x1", "x2").alias("x1"), pick("y1", "y2").alias("y1"), pick("x2", "x1").alias("x2"), pick("y2", "y1").alias("y2"),
+        F.when(right, -F.col("w")).otherwise(F.col("w")).alias("w"),
+    )
+
+
 def weighted_edges(edges: DataFrame, tile: float, keys: Sequence[str] = ("feature_id",)) -> DataFrame:
     """(keys, row, col, x1, y1, x2, y2, w): the edges whose strips add up to the polygons on every tile.
 
@@ -108,14 +120,7 @@ def weighted_edges(edges: DataFrame, tile: float, keys: Sequence[str] = ("featur
     if "w" not in edges.columns:
         edges = edges.withColumn("w", F.lit(1).cast("long"))
     edges = edges.select(*keys, *COORDINATES, "w")
-    pieces = pieces_in_tiles(edges, tile, [*keys, "w"]).where((F.col("x1") != F.col("x2")) & ((F.col("y1") > 0) | (F.col("y2") > 0)))
-    right = F.col("x1") < F.col("x2")
-    pick = lambda a, b: F.when(right, F.col(a)).otherwise(F.col(b))
-    pieces = pieces.select(
-        *keys, "row", "col", pick("x1", "x2").alias("x1"), pick("y1", "y2").alias("y1"), pick("x2", "x1").alias("x2"), pick("y2", "y1").alias("y2"),
-        F.when(right, -F.col("w")).otherwise(F.col("w")).alias("w"),
-    )
-    return pieces.unionByName(covered_borders(edges, tile, keys))
+    return strips(edges, tile, keys).unionByName(covered_borders(edges, tile, keys))
 
 
 def _height(prefix: str, x: Column) -> Column:
