@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import xxhash
@@ -38,6 +39,7 @@ class Scratch:
             if shared is None and not context.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        limit_batches(spark)
         self.base = f"{context.getCheckpointDir()}/llm-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
@@ -54,6 +56,22 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def set_apart(docs: DataFrame, used: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with the columns an operator works on and all others in one struct, whatever their names are, and what
+    gives a result the columns of ``docs`` back."""
+    names = docs.columns
+    own = [c for c in names if c in used]
+    field = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    others = [c for c in names if c not in used]
+    kept = F.struct(*map(field, others)) if others else F.lit(None).cast("string")
+    packed = docs.select(*own, kept.alias("others"))
+
+    def restore(df: DataFrame) -> DataFrame:
+        return df.select(*[F.col(c) if c in own else F.col("others").getField(c).alias(c) for c in names])
+
+    return packed, restore
+
+
 def limit_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches of the session by bytes, unless it has a lower bound already."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"

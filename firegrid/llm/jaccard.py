@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, broadcast_checked, fields, gram_hashes, mix, text_bytes, word_hashes
+from .common import Scratch, broadcast_checked, fields, gram_hashes, mix, set_apart, text_bytes, word_hashes
 from .components import connected_components
 
 SHINGLE = 5
@@ -50,6 +50,7 @@ _COUNTED = 800_000
 # A list of which more pairs than this times its length are in different components is paired by places and in blocks.
 _DENSE = 32
 _BLOCK_MEMBERS = 1024
+_BITS = tuple(f"bits{i}" for i in range(4))
 _ENTRY = np.dtype([("k", "<u8"), ("s", "<i8"), ("w", "<u8"), ("n", "<u4"), ("p", "<u4")])
 
 
@@ -397,7 +398,9 @@ def _open_pairs(lists: DataFrame, labels: DataFrame, percent: int, border: int,
     In each list a set is paired with the members of larger components; the pairs of a set are gathered by
     set, as blobs, and counted over its lists. Dense lists, with many members of different components, are cut into
     blocks, and two members are paired only where the list could be the first that they share. Pairs that meet in
-    other lists may share more keys in dense ones: at most as many as either set has there (``u``).
+    other lists may share more keys in dense ones. Every set has the number of its dense keys (``u``) and a bitmap of their
+    hashes; a pair shares at most what either has less the bits that the other lacks. That bound stands for all dense
+    keys of a pair, so pairs made in dense lists count nothing by themselves.
     """
     schema = fields(("key", "long"), ("s", "long"), ("n", "long"), ("w", "long"), ("p", "long"))
 
@@ -424,10 +427,13 @@ def _open_pairs(lists: DataFrame, labels: DataFrame, percent: int, border: int,
     hot = broadcast_checked(hot)
     hot_rows = labelled_rows(lists.join(hot, "key", "left_semi"))
     odd = F.pmod("key", F.lit(2)) == 1
-    uncounted = scratch.store(hot_rows.groupBy("s", odd.alias("odd")).agg(F.count("*").alias("u")), "uncounted")
-    uncounted = broadcast_checked(uncounted.select(F.col("s").alias("_s"), F.col("odd").alias("_odd"), "u"))
-    with_u = lambda rows: rows.join(uncounted, (F.col("s") == F.col("_s")) & (odd == F.col("_odd")), "left").drop("_s", "_odd").withColumn(
-        "u", F.coalesce("u", F.lit(0))
+    place = F.pmod(F.xxhash64("key"), F.lit(64 * len(_BITS)))
+    bit = lambda i: F.when(F.floor(place / 64) == i, F.expr("shiftleft(1L, CAST(pmod(xxhash64(key), 64) AS INT))")).otherwise(0)
+    bitmaps = [F.bit_or(bit(i)).alias(name) for i, name in enumerate(_BITS)]
+    uncounted = scratch.store(hot_rows.groupBy("s", odd.alias("odd")).agg(F.count("*").alias("u"), *bitmaps), "uncounted")
+    uncounted = broadcast_checked(uncounted.withColumnsRenamed({"s": "_s", "odd": "_odd"}))
+    with_u = lambda rows: rows.join(uncounted, (F.col("s") == F.col("_s")) & (odd == F.col("_odd")), "left").drop("_s", "_odd").fillna(
+        0, ["u", *_BITS]
     )
     labelled = with_u(labelled_rows(lists.join(hot, "key", "left_anti")))
     # A member that is too far back for even the least partner it could have in the list is left out.
@@ -439,15 +445,19 @@ def _open_pairs(lists: DataFrame, labels: DataFrame, percent: int, border: int,
     hot_rows = with_u(hot_rows.join(hot, "key").where(reach >= F.greatest("least", F.ceil(F.col("n") * percent / 100))))
     cells = hot_rows.withColumn("own", own).withColumn("other", other).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
     probe = fields(("bucket", "long"), ("body", "binary"))
-    entry = np.dtype([("s", "<i8"), ("t", "<i8"), ("n", "<u4"), ("m", "<u4"), ("rest", "<u4"), ("u", "<u4"), ("odd", "u1")])
+    entry = np.dtype([("s", "<i8"), ("t", "<i8"), ("n", "<u4"), ("m", "<u4"), ("rest", "<u4"), ("u", "<u4"), ("odd", "u1"), ("c", "u1")])
 
-    def made(x, y, s, n, w, u, odd):
+    def made(x, y, s, n, w, u, bits, odd, counts):
         part = np.empty(len(x), entry)
-        part["s"], part["t"], part["n"], part["m"], part["odd"] = s[x], s[y], n[x], n[y], odd
+        part["s"], part["t"], part["n"], part["m"], part["odd"], part["c"] = s[x], s[y], n[x], n[y], odd, counts
         part["rest"] = _rest(n[x], n[y], w[x], w[y], odd == 1, percent)
-        part["u"] = np.minimum(u[x], u[y])
+        alone = lambda p, q: np.bitwise_count(bits[p] & ~bits[q]).sum(axis=1, dtype=np.int64)
+        part["u"] = np.minimum(u[x] - alone(x, y), u[y] - alone(y, x))
         return part
 
+    def bits_of(table, order=slice(None)):
+        return np.stack([table.column(c).to_numpy() for c in _BITS], axis=1)[order].view("<u8")
+
     def gathered_by_set(out):
         import pyarrow as pa
 
@@ -463,7 +473,7 @@ def _open_pairs(lists: DataFrame, labels: DataFrame, percent: int, border: int,
         key, s, n, w, p, label, weight, u, own, i, j = (
             table.column(c).to_numpy() for c in ("key", "s", "n", "w", "p", "label", "weight", "u", "own", "i", "j")
         )
-        w, out = w.view("<u8"), []
+        w, out, bits = w.view("<u8"), [], bits_of(table)
         odd = key[0] & 1
         reach = _largest_partner(n, p, odd == 1, percent)
         left, right = np.flatnonzero(own == i[0]), np.flatnonzero(own == j[0])
@@ -475,26 +485,31 @@ def _open_pairs(lists: DataFrame, labels: DataFrame, percent: int, border: int,
                 a, b = np.full(len(y), x), y
                 # A pair is named from the set of the smaller component, as by ``probes``: its counts meet in one place.
                 swap = (weight[a] > weight[b]) | (weight[a] == weight[b]) & (label[a] > label[b])
-                out.append(made(np.where(swap, b, a), np.where(swap, a, b), s, n, w, u, odd))
+                out.append(made(np.where(swap, b, a), np.where(swap, a, b), s, n, w, u, bits, odd, 0))
         return gathered_by_set(out)
 
     def probes(table):
         key, s, n, w, label, weight, u = (table.column(c).to_numpy() for c in ("key", "s", "n", "w", "label", "weight", "u"))
         by = np.lexsort((s, label, weight, key))
-        key, s, n, w, label, u = key[by], s[by], n[by], w[by].view("<u8"), label[by], u[by]
+        key, s, n, w, label, u, bits = key[by], s[by], n[by], w[by].view("<u8"), label[by], u[by], bits_of(table, by)
         # Lists of one component need no pairs.
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
         length = np.diff(np.r_[first, len(key)])
         mixed = np.repeat(label[first] != label[first + length - 1], length) if len(key) else np.empty(0, bool)
-        key, s, n, w, label, u = key[mixed], s[mixed], n[mixed], w[mixed], label[mixed], u[mixed]
-        out, left, step = [], np.arange(len(key)), 0
+        key, s, n, w, label, u, bits = key[mixed], s[mixed], n[mixed], w[mixed], label[mixed], u[mixed], bits[mixed]
+        # A member meets those behind the run of its own label, so a run is passed over and never paired.
+        new = np.r_[True, (key[1:] != key[:-1]) | (label[1:] != label[:-1])] if len(key) else np.empty(0, bool)
+        run, starts = np.cumsum(new) - 1, np.r_[np.flatnonzero(new), len(key)]
+        out, left, right = [], np.arange(len(key)), starts[run + 1] if len(key) else np.empty(0, np.int64)
         while len(left):
-            step += 1
-            left = left[left + step < len(key)]
-            left = left[key[left] == key[left + step]]  # those with a member so many places on
-            x, y = n[left], n[left + step]
-            pair = left[(label[left] != label[left + step]) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y))]
-            out.append(made(pair, pair + step, s, n, w, u, key[pair] & 1))
+            stay = right < len(key)
+            left, right = left[stay], right[stay]
+            stay = key[left] == key[right]  # those with a member so many places on
+            left, right = left[stay], right[stay]
+            x, y = n[left], n[right]
+            fits = 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
+            out.append(made(left[fits], right[fits], s, n, w, u, bits, key[left[fits]] & 1, 1))
+            right = right + 1
         return gathered_by_set(out)
 
     def counted(table):
@@ -504,7 +519,7 @@ def _open_pairs(lists: DataFrame, labels: DataFrame, percent: int, border: int,
         rows = rows[np.lexsort((rows["odd"], rows["t"], rows["s"]))]
         new = np.r_[True, (rows["s"][1:] != rows["s"][:-1]) | (rows["t"][1:] != rows["t"][:-1]) | (rows["odd"][1:] != rows["odd"][:-1])] if len(rows) else np.empty(0, bool)
         first = np.flatnonzero(new)
-        times = np.diff(np.r_[first, len(rows)]).astype(np.int64)
+        times = np.add.reduceat(rows["c"], first, dtype=np.int64) if len(rows) else np.empty(0, np.int64)
         rows = rows[first]
         times += rows["u"]
         swap = rows["s"] > rows["t"]
@@ -616,6 +631,7 @@ def one_per_component(docs: DataFrame, **options) -> DataFrame:
     Components are told apart by their labels, as ids can be null or repeated. Only the rows to drop are joined, by
     (doc_id, text hash). Of repeated rows one stays.
     """
+    docs, restore = set_apart(docs, ("doc_id", "text"))
     scratch = Scratch(docs.sparkSession)
     rows = scratch.store(set_components(docs, **options), "members")
     own = ["doc_id", "text_hash"]
@@ -632,4 +648,4 @@ def one_per_component(docs: DataFrame, **options) -> DataFrame:
     single = marked.where("_keep is null")
     same = Window.partitionBy("doc_id", "_text_hash").orderBy("_keep")
     repeated = marked.where("_keep").withColumn("_n", F.row_number().over(same)).where("_n = 1")
-    return single.select(*docs.columns).unionByName(repeated.select(*docs.columns))
+    return restore(single.select(*docs.columns).unionByName(repeated.select(*docs.columns)))

@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, broadcast_checked
+from .common import Scratch, WORD, broadcast_checked, set_apart
 
 WEIGHTS = (5, 2, 1)
 
@@ -131,6 +131,7 @@ def mixed_documents(
 ) -> DataFrame:
     """The mix as rows with the columns of ``docs``: a document once for every round, and once more
     with the words of the run if it holds some. Words of a cut document are joined by one space."""
+    docs, restore = set_apart(docs, ("doc_id", "text", "source", "n_chars"))
     own = docs.columns
     scratch = Scratch(docs.sparkSession)
     sized = docs.select(
@@ -150,7 +151,8 @@ def mixed_documents(
         .when(part == F.col("_size"), F.array("text"))
         .otherwise(F.array(F.array_join(cut, " "))),
     )
-    return rows.select("*", F.explode(texts).alias("_text")).select(
+    mixed = rows.select("*", F.explode(texts).alias("_text")).select(
         *[F.col("_text").alias("text") if c == "text" else
           F.char_length("_text").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in own]
     )
+    return restore(mixed)

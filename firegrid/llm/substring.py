@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import Scratch, broadcast_checked, fields, gram_hashes, text_bytes, word_hashes
+from .common import Scratch, broadcast_checked, fields, gram_hashes, set_apart, text_bytes, word_hashes
 
 WINDOW = 35
 BUCKET_ENTRIES = 400_000
@@ -305,6 +305,7 @@ def repeated_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` without the words of repeated passages. Texts that lose nothing stay as they are, others are
     their kept words joined by one space; rows that lose all their words are dropped."""
+    docs, restore = set_apart(docs, ("doc_id", "text", "n_chars"))
     names, schema = docs.columns, StructType(docs.schema.fields)
 
     def kept_rows(batches: Iterator) -> Iterator:
@@ -326,4 +327,4 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 columns.append(column)
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(stay, pa.bool_()))
 
-    return _marked(docs, window).mapInArrow(kept_rows, schema)
+    return restore(_marked(docs, window).mapInArrow(kept_rows, schema))
