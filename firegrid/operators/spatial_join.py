@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 
 from collections.abc import Sequence
 
@@ -264,55 +265,72 @@ def nearest_grid_points(
 ) -> DataFrame:
     """The ``k`` nearest lattice points of each point, distance in degrees, however far.
 
-    Points first search their bucket and the eight around it. A point is settled when its k-th
-    distance does not exceed the bucket's width, which that ring covers for certain; the others
-    search again in buckets of twice the width, until the ring spans the globe. Points at the same
-    place are searched once.
+    Occupancy pyramid: the lattice is counted in cells of ``bucket_deg`` and of its doublings. The least level at which the
+    nine cells around a point hold ``k`` lattice points bounds the distance of its k-th neighbour. Counts of cells four
+    levels finer inside that bound tighten it, and only lattice points of finer cells within it are compared, so a far
+    point meets few of them. No step is repeated. Points at the same place are searched once.
     """
     require_columns(points, [point_id, "lon", "lat"], "points")
     require_columns(lattice, ["gid", "lon", "lat"], "lattice")
+    width = float(bucket_deg)
+    cell = lambda c: F.floor(F.col(c) / width).cast("int")
+    up = lambda c, by: F.expr(f"shiftright({c}, {by})")
     located = points.withColumn("_lon", to_lon180("lon"))
-    grid = checkpoint(
-        lattice.select("gid", to_lon180("lon").alias("glon"), F.col("lat").alias("glat")).distinct()
-    )
+    grid = lattice.select("gid", to_lon180("lon").alias("glon"), F.col("lat").alias("glat")).distinct()
+    grid = checkpoint(grid.withColumns({"fx": cell("glon"), "fy": cell("glat")}))
     total = grid.select("gid").distinct().limit(k).count()
     if total < k:
         raise ValueError(f"lattice has only {total} points, {k} wanted")
-    found, width = None, float(bucket_deg)
-    open_spots = located.select(F.col("_lon").alias("lon"), "lat").where(
-        F.col("lon").isNotNull() & F.col("lat").isNotNull()
-    ).distinct()
-    nearest = Window.partitionBy("lon", "lat").orderBy("distance_deg", "gid")
+    # At the last level the nine cells hold the whole globe.
+    levels = F.explode(F.sequence(F.lit(0), F.lit(max(0, math.ceil(math.log2(720.0 / width))))))
+    finest = checkpoint(grid.groupBy("fx", "fy").agg(F.count("*").alias("c")))
+    occupied = finest.withColumn("level", levels).groupBy("level", up("fx", "level").alias("bx"), up("fy", "level").alias("by"))
     around = F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))
-    while True:
-        bucket = lambda c: F.floor(F.col(c) / width).cast("int")  # noqa: E731, B023
-        buckets = broadcast_if_small(grid.withColumns({"_bx": bucket("glon"), "_by": bucket("glat")}))
-        ranked = checkpoint(
-            open_spots.select("lon", "lat")
-            .withColumn("_dx", around)
-            .withColumn("_dy", around)
-            .withColumns({"_bx": bucket("lon") + F.col("_dx"), "_by": bucket("lat") + F.col("_dy")})
-            .drop("_dx", "_dy")
-            .join(buckets, ["_bx", "_by"])
-            .withColumn(
-                "distance_deg", F.hypot(F.col("lon") - F.col("glon"), F.col("lat") - F.col("glat"))
-            )
-            .withColumn("rank", F.row_number().over(nearest))
-            .where(F.col("rank") <= k)
-            .select("lon", "lat", "gid", "distance_deg", "rank")
-        )
-        whole = width >= 720.0  # no two places are farther apart
-        settled = ranked.where((F.col("rank") == k) & (F.lit(whole) | (F.col("distance_deg") <= width)))
-        settled = settled.select("lon", "lat")
-        done = ranked.join(settled, ["lon", "lat"], "left_semi")
-        found = done if found is None else found.unionByName(done)
-        open_spots = checkpoint(open_spots.join(settled, ["lon", "lat"], "left_anti"))
-        if whole or open_spots.isEmpty():
-            break
-        width *= 2.0
-    hits = found.withColumnsRenamed({"lon": "_lon", "lat": "_lat"})
-    return located.join(
-        hits, (located["_lon"] == hits["_lon"]) & (located["lat"] == hits["_lat"])
-    ).select(points["*"], "gid", "distance_deg", "rank")
-
-
+    blocks = occupied.agg(F.sum("c").alias("c")).withColumn("_dx", around).withColumn("_dy", around)
+    blocks = blocks.groupBy("level", (F.col("bx") + F.col("_dx")).alias("bx"), (F.col("by") + F.col("_dy")).alias("by"))
+    blocks = blocks.agg(F.sum("c").alias("c")).where(F.col("c") >= k).select("level", "bx", "by")
+    spots = located.select(F.col("_lon").alias("lon"), "lat").where(F.col("lon").isNotNull() & F.col("lat").isNotNull())
+    spots = checkpoint(spots.distinct().withColumns({"sx": cell("lon"), "sy": cell("lat")}))
+    homes = spots.select("sx", "sy").distinct().withColumn("level", levels)
+    homes = homes.withColumns({"bx": up("sx", "level"), "by": up("sy", "level")}).join(broadcast_if_small(blocks), ["level", "bx", "by"])
+    homes = homes.groupBy("sx", "sy").agg(F.min("level").alias("level"))
+    placed = checkpoint(spots.join(homes, ["sx", "sy"]).withColumn("w", F.pow(F.lit(2.0), "level") * width))
+    used = [r["level"] for r in placed.select("level").distinct().collect()] or [0]  # some of about fifteen levels
+
+    def gap(x: str, i: str, w: str) -> Column:
+        """Distance along an axis to a cell."""
+        return F.greatest(F.col(i) * F.col(w) - F.col(x), F.col(x) - (F.col(i) + 1) * F.col(w), F.lit(0.0))
+
+    def reach(x: str, i: str, w: str) -> Column:
+        """Distance along an axis to a cell's far side."""
+        return F.greatest((F.col(i) + 1) * F.col(w) - F.col(x), F.col(x) - F.col(i) * F.col(w))
+
+    slack = 1.0 + 1e-12
+    placed = placed.withColumns({"bx": up("sx", "level"), "by": up("sy", "level")})
+    bound = F.hypot(reach("lon", "bx", "w") + F.col("w"), reach("lat", "by", "w") + F.col("w")) * slack
+    placed = placed.withColumn("r", bound)
+    span = lambda c: F.explode(F.sequence(
+        F.floor((F.col(c) - F.col("r")) / F.col("w")).cast("int"), F.floor((F.col(c) + F.col("r")) / F.col("w")).cast("int")
+    ))
+    cells = placed.withColumn("px", span("lon")).withColumn("py", span("lat"))
+    cells = cells.where(F.hypot(gap("lon", "px", "w"), gap("lat", "py", "w")) <= F.col("r")).select("lon", "lat", "level", "px", "py", "r")
+    levelled = lambda df: df.withColumn("level", F.explode(F.array(*map(F.lit, used)))).withColumn(
+        "m", F.greatest(F.col("level") - 4, F.lit(0))
+    ).withColumns({"cx": up("fx", "m"), "cy": up("fy", "m")})
+    fine = levelled(finest).groupBy("level", "m", "cx", "cy").agg(F.sum("c").alias("c"))
+    fine = fine.withColumns({"px": up("cx", "level - m"), "py": up("cy", "level - m"), "wm": F.pow(F.lit(2.0), "m") * width})
+    met = cells.join(broadcast_if_small(fine), ["level", "px", "py"]).withColumns({
+        "_near": F.hypot(gap("lon", "cx", "wm"), gap("lat", "cy", "wm")), "_far": F.hypot(reach("lon", "cx", "wm"), reach("lat", "cy", "wm")),
+    })
+    spot = Window.partitionBy("lon", "lat")
+    met = met.withColumn("_cum", F.sum("c").over(spot.orderBy("_far").rowsBetween(Window.unboundedPreceding, 0)))
+    met = met.withColumn("_r", F.least("r", F.min(F.when(F.col("_cum") >= k, F.col("_far"))).over(spot)) * slack).where("_near <= _r")
+    dealt = levelled(grid).select("level", "cx", "cy", "gid", "glon", "glat")
+    distance = F.hypot(F.col("lon") - F.col("glon"), F.col("lat") - F.col("glat"))
+    pairs = met.select("lon", "lat", "level", "cx", "cy", "_r").join(broadcast_if_small(dealt), ["level", "cx", "cy"])
+    pairs = pairs.withColumn("distance_deg", distance).where(F.col("distance_deg") <= F.col("_r"))
+    ranked = pairs.withColumn("rank", F.row_number().over(spot.orderBy("distance_deg", "gid"))).where(F.col("rank") <= k)
+    hits = ranked.select(F.col("lon").alias("_hlon"), F.col("lat").alias("_hlat"), "gid", "distance_deg", "rank")
+    return located.join(hits, (F.col("_lon") == F.col("_hlon")) & (located["lat"] == F.col("_hlat"))).select(
+        points["*"], "gid", "distance_deg", "rank"
+    )
