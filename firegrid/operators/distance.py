@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -269,6 +269,26 @@ def buffer_zones(
     return cell_distances.select(*keys, "row", "col", F.explode(wanted).alias("buffer_m"))
 
 
+def nested_zone_means(
+    valued: DataFrame, distances: Mapping[str, float], value: str, keys: Sequence[str] = ("feature_id",)
+) -> DataFrame:
+    """Mean of ``value`` over the cells within each distance (column name → metres), one column per distance.
+
+    Zones are nested, so a cell is counted once, for the ring it lies in; a zone is the sum of the rings inside it.
+    """
+    limits = sorted(set(map(float, distances.values())))
+    inner = F.size(F.filter(F.array(*[F.lit(d) for d in limits]), lambda d: d < F.col("distance_m")))
+    rings = valued.withColumn("_ring", inner).where(F.col("_ring") < len(limits)).groupBy(*keys, "_ring").agg(
+        F.sum(value).alias("_sum"), F.count(value).alias("_n")
+    )
+
+    def mean(distance: float) -> Column:
+        held = F.col("_ring") <= limits.index(float(distance))
+        return F.try_divide(F.sum(F.when(held, F.col("_sum"))), F.sum(F.when(held, F.col("_n"))))
+
+    return rings.groupBy(*keys).agg(*[mean(d).alias(name) for name, d in distances.items()])
+
+
 def nearest_line_cells(cell_distances: DataFrame, key: str = "feature_id") -> DataFrame:
     """Overlapping buffers resolved: each cell belongs to its nearest line (smallest id on ties)."""
     return cell_distances.groupBy("row", "col").agg(

@@ -228,17 +228,10 @@ SELECT scenario AS treatment, CAST(feet AS INT) AS buffer_ft, avg(m) AS mean_val
 
 def zone_means_wide(t):
     """Mean delta SDI per line and treatment, one column per buffer distance."""
-    feet = [50.0 * i for i in range(1, 31)]
+    feet = [50 * i for i in range(1, 31)]
     cells = distance.line_cell_distance(t.pod_lines, t.grid, 1500 * 0.3048)
-    zones = distance.buffer_zones(cells, [f * 0.3048 for f in feet])
-    label = F.concat(F.lit("mean_"), F.rint(F.col("buffer_m") / 0.3048).cast("int").cast("string"), F.lit("Feet"))
-    return (
-        zones.join(sdi_deltas(t), ["row", "col"])
-        .withColumn("_label", label)
-        .groupBy(F.col("scenario").alias("treatment"), "feature_id")
-        .pivot("_label", [f"mean_{int(f)}Feet" for f in feet])
-        .agg(F.avg("delta"))
-    )
+    valued = cells.join(sdi_deltas(t), ["row", "col"]).withColumnRenamed("scenario", "treatment")
+    return distance.nested_zone_means(valued, {f"mean_{f}Feet": f * 0.3048 for f in feet}, "delta", ["treatment", "feature_id"])
 
 
 @query(
