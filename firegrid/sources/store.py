@@ -6,9 +6,12 @@ import re
 from collections.abc import Mapping
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+# Folders that documents are dealt to.
+BUCKETS = 256
 
 
 def write_documents(docs: DataFrame, path: str, key: str = "pyrome") -> None:
@@ -41,6 +44,37 @@ def read_document(
     return found.select(values) if values else found.withColumn(key, F.lit(str(ident)))
 
 
+def _bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def write_document_buckets(docs: DataFrame, path: str, key: str = "pyrome", buckets: int = BUCKETS) -> None:
+    """Documents dealt by the hash of their key to ``buckets`` folders of Parquet, sorted by key in each file, so
+    that a lookup opens few folders and skips most row groups of those."""
+    dealt = docs.select("*", _bucket(key, buckets))
+    # A folder's documents may be many, so they are spread over ranges of the key.
+    ranged = dealt.repartitionByRange("bucket", key).sortWithinPartitions("bucket", key)
+    ranged.write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def lookup_documents(
+    spark: SparkSession, path: str, wanted: DataFrame, key: str, schema: StructType, buckets: int = BUCKETS, values: str | None = None
+) -> DataFrame:
+    """Documents of all ids of ``wanted`` in one job, each id once; ``found`` is false, and all fields null, for ids without
+    a document. ``values`` returns the key, that field and ``found``.
+
+    Only the folders that an id can be in are listed and read; their numbers, at most ``buckets``, are the only thing that
+    reaches the driver. Null ids have no document. ``schema`` and ``buckets`` are those of the writer.
+    """
+    ids = wanted.select(key).distinct().select(key, _bucket(key, buckets))
+    used = sorted(r["bucket"] for r in ids.select("bucket").distinct().collect())
+    stored = StructType([*schema.fields, StructField("bucket", IntegerType())])
+    docs = spark.read.schema(stored).parquet(path).where(F.col("bucket").isin(used))
+    docs = docs.withColumn("found", F.lit(True))
+    joined = ids.join(docs, [key, "bucket"], "left").drop("bucket").withColumn("found", F.coalesce("found", F.lit(False)))
+    return joined.select(key, values, "found") if values else joined
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """Quotes inside a value are doubled, as spreadsheets and readers of CSV expect."""
     df.write.mode("overwrite").csv(path, header=True, escape='"')

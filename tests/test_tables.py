@@ -407,3 +407,21 @@ def test_aliases_belong_to_their_table(spark):
     records = spark.createDataFrame([("DOI", "M")], "agency string, treatment string")
     row = treatment.crosswalk_effects(records, walk, src.effect_aliases(spark)).first()
     assert (row["CanEff"], row["SurfEff"]) == ("Masticate", "Mastication")
+
+
+def test_lookup_opens_only_the_folders_of_wanted_ids(spark, tmp_path):
+    docs = spark.range(500).select(F.col("id").alias("pyrome"), (F.col("id") * 2).alias("n"))
+    path = str(tmp_path / "docs")
+    store.write_document_buckets(docs, path, buckets=16)
+    wanted = spark.createDataFrame([(7,), (7,), (11,), (9999,), (None,)], "pyrome long")
+    used = {r[0] for r in wanted.select(store._bucket("pyrome", 16)).collect()}
+    for folder in (tmp_path / "docs").glob("bucket=*"):
+        if int(folder.name.removeprefix("bucket=")) not in used:
+            for file in folder.glob("*.parquet"):
+                file.write_bytes(b"unreadable")
+    got = store.lookup_documents(spark, path, wanted, "pyrome", docs.schema, buckets=16)
+    rows = {r["pyrome"]: (r["n"], r["found"]) for r in got.collect()}
+    assert rows == {7: (14, True), 11: (22, True), 9999: (None, False), None: (None, False)}
+    only = store.lookup_documents(spark, path, wanted, "pyrome", docs.schema, buckets=16, values="n")
+    assert only.columns == ["pyrome", "n", "found"] and only.count() == 4
+    assert store.lookup_documents(spark, path, wanted.limit(0), "pyrome", docs.schema, buckets=16).count() == 0

@@ -264,12 +264,12 @@ def job_table(t):
 
 @query(
     "T5",
-    "SELECT CASE WHEN n_nationkey < 10 THEN 'success' ELSE concat('error: ', n_regionkey) END AS status, count(*) AS n_jobs FROM {nation} GROUP BY 1",
+    "SELECT CASE WHEN o_orderkey % 10 < 7 THEN 'success' ELSE concat('error: ', o_custkey % 4) END AS status, count(*) AS n_jobs FROM {orders} GROUP BY 1",
 )
 def job_status(t):
-    status = F.when(F.col("n_nationkey") < 10, "success").otherwise(
-        F.concat(F.lit("error: "), F.col("n_regionkey").cast("string")))
-    return scenarios.status_summary(t.nation.withColumn("status", status))
+    status = F.when(F.col("o_orderkey") % 10 < 7, "success").otherwise(
+        F.concat(F.lit("error: "), (F.col("o_custkey") % 4).cast("string")))
+    return scenarios.status_summary(t.orders.withColumn("status", status))
 
 
 WALK = ", ".join(f"('{a}', '{b}', '{c}', '{d}')" for a, b, c, d in src.CROSSWALK)
@@ -301,21 +301,21 @@ def treatment_crosswalk(t):
 
 
 @query(
-    "S12",
-    """SELECT lpad(CAST(n_regionkey AS VARCHAR), 2, '0') AS region, count(*) AS n, string_agg(n_name, ',' ORDER BY n_name) AS names
-FROM {nation} GROUP BY n_regionkey""",
+    "S11 S12",
+    """SELECT w.id AS customer, d.n, d.first_day, d.n IS NOT NULL AS found
+FROM (SELECT c_custkey AS id FROM {customer} WHERE c_custkey % 5 = 0 UNION ALL SELECT -c_custkey FROM {customer} WHERE c_custkey % 50 = 1) w
+LEFT JOIN (SELECT o_custkey, count(*) AS n, CAST(min(o_orderdate) AS DATE) AS first_day FROM {orders} GROUP BY o_custkey) d ON o_custkey = w.id""",
 )
 def document_lookup(t):
-    docs = t.nation.groupBy(F.lpad(F.col("n_regionkey").cast("string"), 2, "0").alias("region")).agg(
-        F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("n_name")), ",").alias("names")
+    docs = t.orders.groupBy(F.col("o_custkey").alias("customer")).agg(
+        F.count("*").alias("n"), F.min("o_orderdate").cast("date").alias("first_day")
     )
     folder = shared_folder(t.spark)
-    store.write_documents(docs, folder, key="region")
-    found = None
-    for region in range(5):
-        one = store.read_document(t.spark, folder, f"{region:02d}", key="region", schema="n long, names string")
-        found = one if found is None else found.unionByName(one)
-    return found
+    store.write_document_buckets(docs, folder, key="customer")
+    key = F.col("c_custkey")
+    wanted = t.customer.where(key % 5 == 0).select(key.alias("customer"))
+    unknown = t.customer.where(key % 50 == 1).select((-key).alias("customer"))
+    return store.lookup_documents(t.spark, folder, wanted.unionByName(unknown), "customer", docs.schema)
 
 
 @query(

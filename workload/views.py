@@ -266,12 +266,12 @@ FROM {events}"""
 
 # Weather scenarios and landscapes' value layers.
 VIEWS["conditions"] = """
-SELECT concat('pct', CAST(n_nationkey AS STRING)) AS Scenario, n_nationkey + 5 AS WIND_SPEED,
-  -1 AS WIND_DIRECTION, CAST(n_nationkey % 10 + 3 AS DOUBLE) AS FM_1hr,
-  CAST(n_nationkey % 10 + 4 AS DOUBLE) AS FM_10hr, CAST(n_nationkey % 10 + 5 AS DOUBLE) AS FM_100hr,
-  CAST(30 + n_nationkey AS DOUBLE) AS FM_herb, CAST(60 + n_nationkey AS DOUBLE) AS FM_woody,
-  CASE WHEN n_regionkey % 2 = 0 THEN 'Yes' ELSE 'No' END AS GRIDDED_WINDS_GENERATE
-FROM {nation}"""
+SELECT concat('pct', CAST(s_suppkey AS STRING)) AS Scenario, CAST(s_suppkey % 25 + 5 AS INT) AS WIND_SPEED,
+  -1 AS WIND_DIRECTION, CAST(s_suppkey % 10 + 3 AS DOUBLE) AS FM_1hr,
+  CAST(s_suppkey % 10 + 4 AS DOUBLE) AS FM_10hr, CAST(s_suppkey % 10 + 5 AS DOUBLE) AS FM_100hr,
+  CAST(30 + s_suppkey % 25 AS DOUBLE) AS FM_herb, CAST(60 + s_suppkey % 25 AS DOUBLE) AS FM_woody,
+  CASE WHEN s_nationkey % 2 = 0 THEN 'Yes' ELSE 'No' END AS GRIDDED_WINDS_GENERATE
+FROM {supplier}"""
 HVRAS = ("Total", "Water", "Timber")
 VIEWS["nvc_bl"] = Branches("px", tuple(
     (None, {
