@@ -1,4 +1,4 @@
-"""Longitude/latitude → EPSG:5070 metres (ellipsoidal Albers equal-area, Snyder 1987)."""
+"""Longitude/latitude ↔ EPSG:5070 metres (ellipsoidal Albers equal-area, Snyder 1987)."""
 
 from __future__ import annotations
 
@@ -45,6 +45,27 @@ def to_epsg5070(lon: Column | str, lat: Column | str) -> tuple[Column, Column]:
     return rho * F.sin(theta), RHO0 - rho * F.cos(theta)
 
 
+def from_epsg5070(x: Column | str, y: Column | str) -> tuple[Column, Column]:
+    """Longitude and latitude of an easting and northing, to fractions of a millimetre.
+
+    The series for the latitude of equal area is followed by one step of Newton's method.
+    """
+    east, north = col(x), RHO0 - col(y)
+    q = (C_TERM - (F.hypot(east, north) * CONE / SEMI_MAJOR) ** 2) / CONE
+    beta = F.asin(q / _q_float(90.0))
+    e4, e6 = _E2**2, _E2**3
+    series = (
+        (_E2 / 3 + 31 * e4 / 180 + 517 * e6 / 5040, 2), (23 * e4 / 360 + 251 * e6 / 3780, 4), (761 * e6 / 45360, 6)
+    )
+    phi = beta
+    for factor, times in series:
+        phi = phi + factor * F.sin(times * beta)
+    s = F.sin(phi)
+    rest = q / (1 - _E2) - s / (1 - _E2 * s * s) + F.log((1 - _E * s) / (1 + _E * s)) / (2 * _E)
+    phi = phi + (1 - _E2 * s * s) ** 2 / (2 * F.cos(phi)) * rest
+    return F.degrees(F.atan2(east, north)) / CONE + ORIGIN_LON, F.degrees(phi)
+
+
 def to_grid_crs(df: DataFrame, crs: str, grid_crs: str, pairs=(("x", "y"),)) -> DataFrame:
     """Project coordinate pairs to the grid's system; equal systems pass through unchanged."""
     if crs == grid_crs:

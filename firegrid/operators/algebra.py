@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.common import half_even, missing_to_null
+from ..functions.utm import transformed
 from ..schema import Grid, require_columns
 
 CELL = ["row", "col"]
@@ -144,6 +145,34 @@ def align_to_grid(source: DataFrame, source_grid: Grid, target: DataFrame, targe
     return placed.join(lookup, [*keys, "_srow", "_scol"], "left").drop("_srow", "_scol")
 
 
+def regrid(source: DataFrame, source_grid: Grid, target: DataFrame, target_grid: Grid, columns: Sequence[str], bilinear: bool = False) -> DataFrame:
+    """``target`` cells with the ``columns`` of a source grid in any known system.
+
+    Each target centre is mapped back into the source grid and takes the cell it lies in, or, ``bilinear``, the mean of the
+    four nearest centres weighted by nearness; missing cells leave the mean to the others. The source is shuffled
+    once by (row, col), as are the targets, or their four neighbours.
+    """
+    x, y = transformed(target_grid.x("col"), target_grid.y("row"), target_grid.crs, source_grid.crs)
+    cells = source.select(F.col("row").alias("_srow"), F.col("col").alias("_scol"), *[F.col(c).alias(f"_v_{c}") for c in columns])
+    placed = target.select("row", "col", x.alias("_x"), y.alias("_y"))
+    placed = placed.select("row", "col", source_grid.gx(F.col("_x")).alias("_gx"), source_grid.gy(F.col("_y")).alias("_gy"))
+    if not bilinear:
+        index = {"_srow": F.floor("_gy").cast("int"), "_scol": F.floor("_gx").cast("int")}
+        joined = placed.withColumns(index).join(cells, ["_srow", "_scol"], "left")
+        return joined.select("row", "col", *[F.col(f"_v_{c}").alias(c) for c in columns])
+    corner = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)]))
+    low = {"_r": F.floor(F.col("_gy") - 0.5), "_c": F.floor(F.col("_gx") - 0.5)}
+    near = placed.withColumns(low).withColumn("_k", corner)
+    share = lambda g, at, i: 1.0 - F.abs(F.col(g) - 0.5 - F.col(at) - F.col(i))
+    near = near.select(
+        "row", "col", (F.col("_r") + F.col("_k.i")).cast("int").alias("_srow"), (F.col("_c") + F.col("_k.j")).cast("int").alias("_scol"),
+        (share("_gy", "_r", "_k.i") * share("_gx", "_c", "_k.j")).alias("_w"),
+    )
+    met = near.join(cells, ["_srow", "_scol"], "left").groupBy("row", "col")
+    mean = lambda c: F.try_divide(F.sum(F.col("_w") * F.col(c)), F.sum(F.when(F.col(c).isNotNull(), F.col("_w"))))
+    return met.agg(*[mean(f"_v_{c}").alias(c) for c in columns])
+
+
 def mosaic_first(tiles: DataFrame, keys: Sequence[str] = ("band",), order: str = "tile_ord"):
     """First valid pixel in tile order. ``row``/``col`` are global. Band names follow the band
     index of the first tile when tiles name them differently (``band_index`` as key)."""
