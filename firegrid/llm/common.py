@@ -79,6 +79,27 @@ def limit_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+def lean(task: Callable) -> Callable:
+    """A task for ``mapInArrow`` after which the worker, which is used again, gives freed memory back to the system."""
+
+    def run(batches):
+        yield from task(batches)
+        release_memory()
+
+    return run
+
+
+def release_memory() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def broadcast_checked(stored: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast of a stored side only if its measured size is within the bound.
 

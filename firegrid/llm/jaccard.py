@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, broadcast_checked, fields, gram_hashes, mix, set_apart, text_bytes, word_hashes
+from .common import Scratch, broadcast_checked, fields, gram_hashes, lean, mix, set_apart, text_bytes, word_hashes
 from .components import connected_components
 
 SHINGLE = 5
@@ -46,7 +46,7 @@ BUCKET_ENTRIES = 1_000_000
 # of copies that link with a part of each other becomes one component.
 _STEPS = tuple(range(1, 17))
 _BORDERS = (0, 4, 8, 16, 32)
-_COUNTED = 800_000
+_COUNTED = 500_000
 # A list of which more pairs than this times its length are in different components is paired by places and in blocks.
 _DENSE = 32
 _BLOCK_MEMBERS = 1024
@@ -131,7 +131,7 @@ def survey(docs: DataFrame, shingle: int) -> DataFrame:
             yield from rows(0, np.array(ids, np.int64), sizes, batch=batch)
         yield from counts()
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(found, schema)
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(lean(found), schema)
 
 
 def heavy_border(surveyed: DataFrame, percent: int) -> int:
@@ -228,7 +228,7 @@ def _signatures(docs: DataFrame, frequent, border: int, buckets: int, shingle: i
                     parts, size = [], 0
             yield out(parts)
 
-    return docs.select("text").mapInArrow(made, schema)
+    return docs.select("text").mapInArrow(lean(made), schema)
 
 
 _LIST = fields(("key", "long"), ("members", "binary"), ("sizes", "binary"), ("ends", "binary"), ("places", "binary"))
@@ -553,7 +553,7 @@ def _sets(docs: DataFrame, members: DataFrame, pairs: DataFrame, scratch: Scratc
             bodies = [shingle_set(text, shingle).tobytes() for text in text_bytes(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("_s"), pa.array(bodies, pa.binary())], names=schema.names)
 
-    return scratch.store(texts.select("_s", "text").mapInArrow(made, schema), f"sets_{name}")
+    return scratch.store(texts.select("_s", "text").mapInArrow(lean(made), schema), f"sets_{name}")
 
 
 def _frequent(surveyed: DataFrame, hint_size: int) -> np.ndarray:

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, fields, text_bytes
+from .common import Scratch, fields, lean, text_bytes
 
 THRESHOLD = 0.3
 MAX_LABELS = 8_000
@@ -75,7 +75,7 @@ def with_features(docs: DataFrame) -> DataFrame:
             rows = [features(t or b"").tobytes() for t in text_bytes(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.binary())], names=["doc_id", "features"])
 
-    return docs.select("doc_id", "text").mapInArrow(made, fields(("doc_id", kind), ("features", "binary")))
+    return docs.select("doc_id", "text").mapInArrow(lean(made), fields(("doc_id", kind), ("features", "binary")))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -203,4 +203,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
             value = 1 / (1 + np.exp(-np.clip(slope * (x @ weights) + offset, -500, 500)))
             yield batch.filter(pa.array(value >= threshold))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return docs.mapInArrow(lean(kept), docs.schema)

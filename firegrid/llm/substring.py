@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import Scratch, broadcast_checked, fields, gram_hashes, set_apart, text_bytes, word_hashes
+from .common import Scratch, broadcast_checked, fields, gram_hashes, lean, set_apart, text_bytes, word_hashes
 
 WINDOW = 35
 BUCKET_ENTRIES = 400_000
@@ -108,7 +108,7 @@ def _edge_blobs(texts: DataFrame, window: int, buckets: int) -> DataFrame:
             rows = np.concatenate(parts) if parts else np.empty(0, _EDGE)
             yield _blobs((rows["e"] % np.uint64(buckets)).astype(np.int64), 0, rows)
 
-    return texts.mapInArrow(made, _BLOB)
+    return texts.mapInArrow(lean(made), _BLOB)
 
 
 def _repeated_edges(blobs: DataFrame) -> DataFrame:
@@ -195,7 +195,7 @@ def _window_blobs(rows: DataFrame, window: int, buckets: int) -> DataFrame:
             rows = np.concatenate(spans) if spans else np.empty(0, _SPAN)
             yield _blobs(np.mod(rows["t"], buckets), 1, rows)
 
-    return rows.mapInArrow(made, _BLOB)
+    return rows.mapInArrow(lean(made), _BLOB)
 
 
 def _verified(blobs: DataFrame, buckets: int) -> DataFrame:
