@@ -1,8 +1,9 @@
-"""Packing token sequences: best fit, then a swap-based local search.
+"""Packing token sequences: best fit in the order of arrival, then a swap-based local search.
 
 Every task tokenizes whole texts; only lengths and checksums are shuffled. Pieces are dealt to packing
 groups of bounded size by hash, each group is packed by itself, and a group leaves at most about one
-sequence underfull, so many groups cost little.
+sequence underfull, so many groups cost little. The search has no bounds of its own: it looks at all
+underfull sequences of a group and ends when none of them can exchange anything.
 
 Nulls: a null text is the empty text, which still has the closing id; a null id is kept. Very long
 texts are cut into full pieces. Ties are broken by order in the group, which is sorted, so reruns
@@ -16,6 +17,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -133,13 +135,14 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     return docs.select("doc_id", "text").mapInArrow(pieces, schema)
 
 
-def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
-    """Best-fit decreasing: each item goes to the fullest bin that takes it."""
+def best_fit(lengths: np.ndarray, capacity: int, order: np.ndarray | None = None) -> list[list[int]]:
+    """Best fit in the order of arrival, or in ``order``: each item goes to the fullest bin that takes it."""
     bins: list[list[int]] = []
     by_free: list[list[int]] = [[] for _ in range(capacity + 1)]
     present = 0  # bit f is set if some bin has f free
-    for item in np.argsort(-lengths, kind="stable").tolist():
-        size = int(lengths[item])
+    sizes = lengths.tolist()
+    for item in range(len(sizes)) if order is None else order.tolist():
+        size = sizes[item]
         fits = present >> size
         if fits:
             free = size + (fits & -fits).bit_length() - 1
@@ -156,68 +159,144 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(
-    bins: list[list[int]], lengths: np.ndarray, capacity: int, underfull: int = 64, rounds: int = 200
-) -> list[list[int]]:
+class _Widest:
+    """For each key, the bin with the most free space that is filed under it; changed bins drop out lazily."""
+
+    def __init__(self, keys: int, version: list[int]):
+        self.heaps: list[list[tuple[int, int, int]]] = [[] for _ in range(keys)]
+        self.free = np.zeros(keys, np.int64)
+        self.version = version
+
+    def file(self, key: int, free: int, at: int) -> None:
+        heappush(self.heaps[key], (-free, at, self.version[at]))
+        if free > self.free[key]:
+            self.free[key] = free
+
+    def refresh(self, key: int) -> None:
+        heap = self.heaps[key]
+        while heap and heap[0][2] != self.version[heap[0][1]]:
+            heappop(heap)
+        self.free[key] = -heap[0][0] if heap else 0
+
+
+class SwapSearch:
     """Empty bins by exchanges that raise the sum of squared fills.
 
-    In each round the emptiest bin gives to the other underfull ones: a document moves, a document is
-    exchanged for a smaller one, or two documents for one that is smaller than both together. The
-    search ends at the lower bound of bins, when no exchange helps, or after ``rounds``.
+    The emptiest bin gives to fuller ones: a document moves, or one document or two go for a smaller one. Underfull
+    bins are filed by the size of each document they could give back (0: none) and by that size plus their free space,
+    so that one look over the sizes finds the best exchange with any bin: one that fills the other bin to the brim,
+    else the one that moves most. A giver that can exchange nothing is set aside and the next one gives; givers come
+    again until none of them could exchange anything, or until the lower bound of bins is reached.
     """
-    fill = [int(lengths[b].sum()) for b in bins]
-    least = -(-sum(fill) // capacity)
-    alive = len(bins)
-    for _ in range(rounds):
-        open_bins = sorted((i for i in range(len(bins)) if 0 < fill[i] < capacity), key=lambda i: fill[i])[:underfull]
-        if alive <= least or len(open_bins) < 2:
-            break
-        giver, changed = open_bins[0], False
-        for taker in reversed(open_bins[1:]):
-            while (found := _exchange(bins[giver], bins[taker], fill[giver], capacity - fill[taker], lengths)) is not None:
-                out, back = found
-                for x in out:
-                    bins[giver].remove(x)
-                for x in back:
-                    bins[taker].remove(x)
-                bins[giver] += back
-                bins[taker] += out
-                moved = int(lengths[out].sum() - lengths[back].sum())
-                fill[giver] -= moved
-                fill[taker] += moved
-                changed = True
-            if not bins[giver]:
-                alive -= 1
-                break
-        if not changed:
-            break
-    return [b for b in bins if b]
-
-
-def _exchange(giver: list[int], taker: list[int], fill: int, free: int, lengths: np.ndarray):
-    """The exchange that fills the taker most; None if none fits. Moving ``d`` from a bin of fill g
-    to one of fill t raises the squares' sum if t + d > g, which holds as the giver is the emptiest."""
-    if free <= 0 or not giver:
-        return None
-    give = sorted(giver, key=lambda i: -int(lengths[i]))
-    best, most = None, 0
-    for x in give:  # a move
-        if most < lengths[x] <= free:
-            best, most = ([x], []), int(lengths[x])
-            break
-    if most == free:
-        return best
-    back = sorted(taker, key=lambda i: int(lengths[i]))
-    sizes = np.array([int(lengths[i]) for i in back])
-    outs = [([x], int(lengths[x])) for x in give[:64]]
-    outs += [([x, y], int(lengths[x] + lengths[y])) for i, x in enumerate(give[:24]) for y in give[i + 1 : 24]]
-    for out, size in outs:  # one for one, two for one
-        k = int(np.searchsorted(sizes, size - free))
-        if k < len(back) and most < size - sizes[k] <= free:
-            best, most = (out, [back[k]]), int(size - sizes[k])
-            if most == free:
-                break
-    return best
+
+    def __init__(self, bins: list[list[int]], lengths: np.ndarray, capacity: int):
+        self.bins, self.capacity, self.sizes = bins, capacity, lengths.tolist()
+        self.fill = [sum(map(self.sizes.__getitem__, b)) for b in bins]
+        self.version = [0] * len(bins)
+        self.by_size, self.by_reach = _Widest(capacity + 1, self.version), _Widest(capacity + 1, self.version)
+        self.exchanges = 0
+
+    def _file(self, at: int) -> None:
+        free = self.capacity - self.fill[at]
+        for size in {0, *map(self.sizes.__getitem__, self.bins[at])} if free else ():
+            self.by_size.file(size, free, at)
+            self.by_reach.file(size + free, free, at)
+
+    def _withdraw(self, at: int) -> None:
+        self.version[at] += 1
+        free = self.capacity - self.fill[at]
+        for size in {0, *map(self.sizes.__getitem__, self.bins[at])} if free else ():
+            self.by_size.refresh(size)
+            self.by_reach.refresh(size + free)
+
+    def _offers(self, giver: int) -> np.ndarray:
+        """The sizes of one and of two documents of a bin."""
+        one, n = np.unique([self.sizes[i] for i in self.bins[giver]], return_counts=True)
+        first, second = np.triu_indices(len(one))
+        two = (one[first] + one[second])[(first != second) | (n[first] > 1)]
+        return np.unique(np.concatenate([one, two]))
+
+    def _best(self, offers: np.ndarray) -> tuple[int, int, int] | None:
+        """(size given, size got back, taker)"""
+        brim = self.by_reach.free[offers]
+        k = int(brim.argmax())
+        if brim[k] > 0:
+            size, got = int(offers[k]), int(offers[k] - brim[k])
+            return size, got, self.by_reach.heaps[size][0][1]
+        reach = np.where(self.by_size.free > 0, np.arange(self.capacity + 1) + self.by_size.free, 0)
+        got = np.searchsorted(np.maximum.accumulate(reach), offers)
+        moved = np.where(got <= self.capacity, offers - got, 0)
+        k = int(moved.argmax())
+        if moved[k] <= 0:
+            return None
+        return int(offers[k]), int(got[k]), self.by_size.heaps[int(got[k])][0][1]
+
+    def _documents(self, at: int, size: int) -> list[int]:
+        """One document of a bin, else two, of a size together."""
+        by_size: dict[int, int] = {}
+        for i in self.bins[at]:
+            if self.sizes[i] == size:
+                return [i]
+        for i in self.bins[at]:
+            if (other := by_size.get(size - self.sizes[i])) is not None:
+                return [other, i]
+            by_size[self.sizes[i]] = i
+        raise AssertionError(size)
+
+    def _give(self, giver: int) -> bool:
+        """Exchange as long as something fits; whether anything did. The giver stays withdrawn."""
+        self._withdraw(giver)
+        changed = False
+        while self.bins[giver] and (found := self._best(self._offers(giver))) is not None:
+            size, got, taker = found
+            self._withdraw(taker)
+            out = self._documents(giver, size)
+            back = self._documents(taker, got) if got else []
+            self.bins[giver] = [i for i in self.bins[giver] if i not in out] + back
+            self.bins[taker] = [i for i in self.bins[taker] if i not in back] + out
+            self.fill[giver] -= size - got
+            self.fill[taker] += size - got
+            self._file(taker)
+            self.exchanges += 1
+            changed = True
+        return changed
+
+    def run(self) -> list[list[int]]:
+        alive, least = sum(map(bool, self.bins)), -(-sum(self.fill) // self.capacity)
+        changed = True
+        while changed and alive > least:
+            changed = False
+            waiting = [at for at, fill in enumerate(self.fill) if 0 < fill < self.capacity]
+            for at in waiting:
+                self._file(at)
+            givers = [(self.fill[at], at) for at in waiting]
+            heapify(givers)
+            while givers and alive > least:
+                fill, giver = heappop(givers)
+                if fill != self.fill[giver]:  # it has taken something
+                    if self.fill[giver] < self.capacity:
+                        heappush(givers, (self.fill[giver], giver))
+                    continue
+                changed |= self._give(giver)
+                alive -= not self.bins[giver]
+            for at in waiting:
+                self._withdraw(at)
+        return [b for b in self.bins if b]
+
+
+def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
+    """``bins`` after a :class:`SwapSearch`, without those that it emptied."""
+    return SwapSearch(bins, lengths, capacity).run()
+
+
+def fewest_bins(lengths: np.ndarray, capacity: int) -> list[list[int]]:
+    """Best fit in the order of arrival and the search behind it. Should that end above the lower bound of bins, the
+    search also starts from best fit in falling order, and the better packing counts."""
+    bins = local_search(best_fit(lengths, capacity), lengths, capacity)
+    if len(bins) > -(-int(lengths.sum()) // capacity):
+        other = local_search(best_fit(lengths, capacity, np.argsort(-lengths, kind="stable")), lengths, capacity)
+        bins = min(bins, other, key=len)
+    return bins
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
@@ -230,7 +309,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
     def packed(key, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.drop(columns="_group").sort_values(order, kind="stable", ignore_index=True)
         lengths = frame["length"].to_numpy(np.int64)
-        bins = local_search(best_fit(lengths, capacity), lengths, capacity)
+        bins = fewest_bins(lengths, capacity)
         sequence, offset = np.zeros(len(frame), np.int64), np.zeros(len(frame), np.int64)
         for i, items in enumerate(bins):
             sequence[items] = (int(key[0]) << 32) + i

@@ -52,6 +52,33 @@ def test_search_keeps_items_and_never_adds_bins():
         assert all(lengths[b].sum() <= 100 for b in after)
 
 
+def test_search_beats_best_fit_and_reaches_the_bound():
+    """Two pieces a bin: exchanges need fewer bins than best fit in falling order. Many small pieces: exchanges alone
+    bring best fit in the order of arrival to what that needs."""
+    hard = np.random.default_rng(1).integers(1100, 2900, 2000)
+    falling = lambda x: packing.best_fit(x, 4096, np.argsort(-x, kind="stable"))
+    assert len(packing.fewest_bins(hard, 4096)) <= len(falling(hard)) - 3
+    small = np.minimum(4096, np.random.default_rng(0).lognormal(5.3, 0.9, 43_000).astype(int) + 1)
+    search = packing.SwapSearch(packing.best_fit(small, 4096), small, 4096)
+    before = len(search.bins)
+    assert len(search.run()) < before and search.exchanges > 100
+    assert len(packing.fewest_bins(small, 4096)) <= min(len(falling(small)), -(-int(small.sum()) // 4096) + 1)
+
+
+def test_a_stuck_giver_does_not_end_the_search():
+    """The emptiest bin holds what nobody can take; the next one can still be emptied."""
+    lengths = np.array([50, 20, 40, 45, 45, 80])
+    bins = packing.local_search([[0], [1, 2], [3, 4], [5]], lengths, 100)
+    assert sorted(i for b in bins for i in b) == list(range(6)) and all(lengths[b].sum() <= 100 for b in bins)
+    assert len(bins) == 3
+
+
+def test_awkward_lengths():
+    for lengths in ([], [4096], [4096] * 5, [1] * 5000, [1] * 5000 + [4095] * 40):
+        lengths = np.array(lengths, np.int64)
+        assert len(packing.fewest_bins(lengths, 4096)) == -(-int(lengths.sum()) // 4096)
+
+
 def test_empty_and_reruns(spark):
     assert packing.pack_documents(docs_frame(spark, []), tokenizer_path()).count() == 0
     frame = docs_frame(spark, [doc(i, " ".join(words(i, 5 + i))) for i in range(50)])
