@@ -37,8 +37,7 @@ def test_targets_and_takes(spark):
         assert r["target"] == pytest.approx(targets[r["source"]])
         taken[r["source"]] += r["taken"]
     for source, target in targets.items():
-        shards = len({r["shard"] for r in rows if r["source"] == source})
-        assert abs(taken[source] - target) <= 4 * shards
+        assert abs(taken[source] - target) <= 4
     again = mix_sources(frame.repartition(2), block_words=4, shard_words=2000).collect()
     assert sorted(map(str, rows)) == sorted(map(str, again))
 
@@ -50,15 +49,47 @@ def test_capped_sources_reshare(spark):
     assert got["a"] == 20 and got["d"] == 0
 
 
-def test_highest_quotients(spark):
-    """Blocks of a shard are those of the highest quotients for the number of blocks given."""
-    rows = [doc(i, " ".join(words(i, 40 + 13 * i)), "abc"[i % 3]) for i in range(30)]
-    got = {(r["source"], r["shard"]): (r["target"], r["source_size"], r["shard_blocks"]) for r in mix_sources(docs_frame(spark, rows), block_words=8).collect()}
-    votes = {k: t for k, (t, _, _) in got.items()}  # one shard a source
-    most = {k: 2 * size // 8 for k, (_, size, _) in got.items()}  # nothing is taken more than twice
-    seats = sum(b for _, _, b in got.values())
-    quotients = sorted(((v / (2 * k + 1), s) for s, v in votes.items() for k in range(min(seats, most[s]))), reverse=True)[:seats]
-    assert Counter(s for _, s in quotients) == Counter({k: b for k, (_, _, b) in got.items() if b})
+@pytest.mark.parametrize("shard_words", [300, 1 << 16])
+def test_highest_quotients(spark, shard_words):
+    """A source's blocks are those of the highest quotients over its shards; the next shard takes the rest in words."""
+    rows = [doc(i, " ".join(words(i, 20 + 7 * (i % 11) + (i % 3) * (i % 7) * 30)), "abc"[i % 3]) for i in range(120)]
+    got = mix_sources(docs_frame(spark, rows), block_words=8, shard_words=shard_words, share=1.1).collect()
+    for source in "abc":
+        own = [r for r in got if r["source"] == source]
+        votes = Counter()
+        for r in own:
+            votes[r["shard"]] += r["size"]
+        assert (len(votes) > 5) == (shard_words == 300)
+        quota = round(own[0]["target"])
+        quotients = sorted(((-v / (2 * k + 1), s, k) for s, v in votes.items() for k in range(quota // 8 + 1)))
+        expected = Counter({s: 0 for s in votes})
+        for _, s, _ in quotients[: quota // 8]:
+            expected[s] += 8
+        expected[quotients[quota // 8][1]] += quota % 8
+        over = sum(max(0, n - 2 * votes[s]) for s, n in expected.items())
+        for s in sorted(votes):  # what full shards can't take goes to the others in order
+            expected[s] = min(expected[s], 2 * votes[s])
+            more = min(over, 2 * votes[s] - expected[s])
+            expected[s] += more
+            over -= more
+        assert {r["shard"]: r["shard_words"] for r in own} == dict(expected)
+        assert sum(r["taken"] for r in own) == quota
+
+
+def test_small_sources_and_many_almost_empty_rows(spark):
+    """Sources of one to seven words take their target, as does one of which one row in fifty holds a word."""
+    rows = [doc(i, " ".join(words(i, i + 1)), f"s{i}") for i in range(7)]
+    rows += [doc(100 + i, "word" if i % 50 == 0 else None, "thin") for i in range(20_000)]
+    rows += [doc(30_000 + i, " ".join(words(i, 30)), "wide") for i in range(100)]
+    got = mix_sources(docs_frame(spark, rows), shard_words=5000).collect()
+    assert len(got) == len(rows)
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+        assert r["taken"] <= 2 * r["size"]
+    for source, wanted in target.items():
+        assert abs(taken[source] - wanted) <= 1, source
 
 
 def test_documents_of_the_mix(spark):
