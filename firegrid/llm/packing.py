@@ -1,4 +1,4 @@
-"""Packing token sequences: best fit in the order of arrival, then a swap-based local search.
+"""Packing token sequences: best fit, then a swap-based local search.
 
 Every task tokenizes whole texts; only lengths and checksums are shuffled. Pieces are dealt to packing
 groups of bounded size by hash, each group is packed by itself, and a group leaves at most about one
@@ -290,13 +290,8 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> l
 
 
 def fewest_bins(lengths: np.ndarray, capacity: int) -> list[list[int]]:
-    """Best fit in the order of arrival and the search behind it. Should that end above the lower bound of bins, the
-    search also starts from best fit in falling order, and the better packing counts."""
-    bins = local_search(best_fit(lengths, capacity), lengths, capacity)
-    if len(bins) > -(-int(lengths.sum()) // capacity):
-        other = local_search(best_fit(lengths, capacity, np.argsort(-lengths, kind="stable")), lengths, capacity)
-        bins = min(bins, other, key=len)
-    return bins
+    """Best fit in falling order and the search behind it, which ends at once at the lower bound of bins."""
+    return local_search(best_fit(lengths, capacity, np.argsort(-lengths, kind="stable")), lengths, capacity)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
