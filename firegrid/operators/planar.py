@@ -6,7 +6,8 @@ one horizontal edge along its upper border wherever the polygon covers that bord
 polygon meets holds a few weighted edges, a tile inside it just one, and tiles need nothing from each other.
 The area that two polygons share is the sum, over pairs of weighted edges of one tile, of the product of
 the weights and of the area below both edges. No intersection is constructed and no point is located, so
-slivers, shared borders and touching vertices need no tolerance; results don't depend on the tiles.
+slivers, shared borders and touching vertices need no tolerance; results don't depend on the tiles. Sums are rounded
+to the micrometre squared, far above their error, so that an area compares with a limit that it meets exactly.
 
 Edges are directed with the inside on the left (:func:`oriented`). Parts of one feature must not overlap
 (``arrangement.make_valid`` repairs those that do).
@@ -24,6 +25,7 @@ from .geometry import ring_areas
 
 COORDINATES = ("x1", "y1", "x2", "y2")
 LEAST_M2 = 1e-6
+DIGITS_M2 = 6
 
 
 def oriented(edges: DataFrame, keys: Sequence[str] = ("feature_id",)) -> DataFrame:
@@ -145,7 +147,7 @@ def shared_areas(left: DataFrame, right: DataFrame, tile: float, left_key: str,
     low0, low1, middle = F.least("_a0", "_b0"), F.least("_a1", "_b1"), F.col("_a0") + cross * (F.col("_a1") - F.col("_a0"))
     mean = F.when(d0 * d1 < 0, (cross * (low0 + middle) + (1.0 - cross) * (middle + low1)) / 2.0).otherwise((low0 + low1) / 2.0)
     below = mean * (F.col("_hi") - F.col("_lo")) * F.col("_aw") * F.col("_bw")
-    return pairs.groupBy(left_key, right_key).agg(F.sum(below).alias("area_m2")).where(F.col("area_m2") > least_m2)
+    return pairs.groupBy(left_key, right_key).agg(F.round(F.sum(below), DIGITS_M2).alias("area_m2")).where(F.col("area_m2") > least_m2)
 
 
 def lengths_inside(

@@ -218,3 +218,16 @@ def test_pixels_agree(spark):
     for d in (-3.0, 3.0):  # a point of the grid stands for its cell
         got = areas(offset.offset_polygons(frame(spark, rows), d, 20.0))[1]
         assert got == pytest.approx(sum(v > -d for v in grid) * step * step, rel=0.01)
+
+
+@pytest.mark.parametrize("s", [567, 980])
+def test_overlap_that_meets_its_limit_exactly_counts(spark, s):
+    """These suppliers' figures cover exactly 18,000 of the 900,000 square metres of the region that they share most with."""
+    u, w = (s * 37) % 85 + 0.25, s * 3 // 2 + 0.25
+    place = lambda corners: [((u + x) * 30, -(w + y) * 30) for x, y in corners]
+    zone = ring(s, 0, 0, place([(0, 0), (4 + s % 7, s % 3), (3 + s % 9, 5 + s % 5), (s % 2, 4 + s % 4)]))
+    zone += ring(s, 0, 1, place(box(1.5, 1.5, 1, 1)))
+    regions = [e for r in range(160) for e in ring(r, 0, 0, [(x * 30, -y * 30) for x, y in box(r % 4 * 25, r // 4 * 40, 25, 40)])]
+    edges, units = frame(spark, zone), frame(spark, regions).withColumnRenamed("feature_id", "region_id")
+    out = overlay.assign_majority(edges.select("feature_id").distinct(), edges, units, 240.0, thresh=0.02).first()
+    assert (out["region_id"], out["overlap_acres"]) == ({567: 86, 980: 146}[s], 18000 * 0.000247105)
