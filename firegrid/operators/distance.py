@@ -9,13 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import Grid, require_columns
-from ..session import checkpoint
+from ..session import checkpoint, spread
 from .focal import TILE, disk_half_widths
 from .rasterize import grid_edges, line_spans, span_cells
 
 ROAD_BOUND_M = 900.0
 TRAIL_RADIUS_M = 56.42
 CIRCLE_RADIUS_M = 56.41896
+BAND = 64
 
 
 def _tile_solver(reach: int, tile: int, cell: float, limit: float, keys: list[str]):
@@ -208,9 +209,13 @@ def point_segment_distance(
     return F.hypot(px - (ax + t * dx), py - (ay + t * dy))
 
 
-def _cells_near(e: DataFrame, grid: Grid, reach: float) -> DataFrame:
+def _cells_near(e: DataFrame, grid: Grid, reach: float, keys: Sequence[str]) -> DataFrame:
     """Cells whose centre may lie within ``reach`` grid units of a segment: for each row the
-    column range of the segment part within the row band, widened by the reach."""
+    column range of the segment part within the row band, widened by the reach.
+
+    Segments are cut into bands of ``BAND`` rows and dealt by (keys, ``_band``) before they become cells, as many
+    tasks as the cells need; grouping by these columns and more moves no cell again.
+    """
     low = F.ceil(F.least("ay", "by") - reach - 0.5)
     high = F.floor(F.greatest("ay", "by") + reach - 0.5)
     low = F.greatest(low, F.lit(0)).cast("int")
@@ -229,9 +234,20 @@ def _cells_near(e: DataFrame, grid: Grid, reach: float) -> DataFrame:
     c1 = F.floor(xb + reach - 0.5)
     if grid.ncols is not None:
         c1 = F.least(c1, F.lit(grid.ncols - 1))
-    return (
+    bands = F.sequence(F.floor(F.col("_low") / BAND).cast("int"), F.floor(F.col("_high") / BAND).cast("int"))
+    banded = (
         e.withColumns({"_low": low, "_high": high})
         .where(F.col("_low") <= F.col("_high"))
+        .withColumn("_band", F.explode(bands))
+        .withColumns({
+            "_low": F.greatest(F.col("_low"), F.col("_band") * BAND),
+            "_high": F.least(F.col("_high"), F.col("_band") * BAND + BAND - 1),
+        })
+    )
+    across, down = F.abs(F.col("bx") - F.col("ax")), F.abs(F.col("by") - F.col("ay"))
+    width = F.least(across, F.coalesce(F.try_divide(across, down) * (1.0 + 2.0 * reach), across)) + 2.0 * reach + 1.0
+    return (
+        spread(banded, (F.col("_high") - F.col("_low") + 1) * width, *keys, "_band")
         .withColumn("row", F.explode(F.sequence("_low", "_high")))
         .withColumns({"_c0": c0, "_c1": c1.cast("int")})
         .where(F.col("_c0") <= F.col("_c1"))
@@ -246,7 +262,7 @@ def line_cell_distance(
     """Exact distance from cell centres to each line, for cells within ``max_distance``."""
     keys = list(keys)
     reach = max_distance / grid.cell
-    near = _cells_near(grid_edges(edges, grid, keys), grid, reach)
+    near = _cells_near(grid_edges(edges, grid, keys), grid, reach, keys)
     d = point_segment_distance(
         F.col("col") + 0.5, F.col("row") + 0.5,
         F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"),
@@ -254,8 +270,9 @@ def line_cell_distance(
     return (
         near.withColumn("distance_m", d)
         .where(F.col("distance_m") <= max_distance)
-        .groupBy(*keys, "row", "col")
+        .groupBy(*keys, "_band", "row", "col")
         .agg(F.min("distance_m").alias("distance_m"))
+        .drop("_band")
     )
 
 
@@ -302,7 +319,7 @@ def line_length_in_circle(
 ) -> DataFrame:
     """True length of all lines inside the circle around each cell centre (metres)."""
     reach = radius_m / grid.cell
-    near = _cells_near(grid_edges(edges, grid, []), grid, reach)
+    near = _cells_near(grid_edges(edges, grid, []), grid, reach, [])
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     fx, fy = F.col("ax") - (F.col("col") + 0.5), F.col("ay") - (F.col("row") + 0.5)
     a = dx * dx + dy * dy
@@ -316,6 +333,7 @@ def line_length_in_circle(
     return (
         near.withColumn("_len", part * float(grid.cell))
         .where(F.col("_len") > 0)
-        .groupBy("row", "col")
+        .groupBy("_band", "row", "col")
         .agg(F.sum("_len").alias("trail_m"))
+        .drop("_band")
     )

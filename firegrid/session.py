@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Rows up to which a side is replicated to every executor. At roughly 100 bytes a row this
 # is about 50 MB, far below Spark's 8 GB broadcast limit.
 BROADCAST_ROWS = 500_000
 
+# Rows that one task makes where an operator turns a row into many.
+TASK_ROWS = 500_000
+
 # Settings of the context. Checkpoint files go when no table refers to them any more.
 _CONTEXT_CONF = {"spark.cleaner.referenceTracking.cleanCheckpoints": "true"}
 
@@ -73,3 +77,15 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     """
     stored = checkpoint(df)
     return F.broadcast(stored) if stored.count() <= max_rows else stored
+
+
+def spread(df: DataFrame, rows: Column | int, *by: str, per_task: int = TASK_ROWS) -> DataFrame:
+    """Deal ``df`` by the columns ``by`` (without any: in turn) to so many tasks that each makes about ``per_task`` rows,
+    where a row becomes ``rows`` of them.
+
+    A few hundred thousand lines are one small file and hence one task, and adaptive execution sizes partitions by the
+    bytes before the growth. Computes ``df`` once more, for the sum.
+    """
+    rows = F.lit(rows) if isinstance(rows, int) else rows
+    total = df.agg(F.sum(rows.cast("double")).alias("n")).first()["n"] or 0.0
+    return df.repartition(max(1, math.ceil(total / per_task)), *by)
