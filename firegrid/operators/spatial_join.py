@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import Grid, require_columns
-from ..session import broadcast_if_small, checkpoint
+from ..session import broadcast_if_small, checkpoint, spread
 from .distance import point_segment_distance
 
 
@@ -18,6 +18,9 @@ from .distance import point_segment_distance
 # line up with vertices of digitized features.
 _ANCHOR_X, _ANCHOR_Y = 0.500731, 0.500419
 
+# Points and edges of a task: each meets all edges of its tile.
+TASK_POINTS = 20_000
+
 
 def _tile_grid(tile: float) -> Grid:
     return Grid(x0=0.0, y0=0.0, cell=float(tile))
@@ -32,8 +35,10 @@ def _tiles_between(low: Column, high: Column, tile: float) -> Column:
 
 
 def _edges_by_tile(edges: DataFrame, tile: float, keys: Sequence[str], reach: float = 0.0):
-    """Each edge once per tile of its bounding box widened by ``reach``."""
-    return edges.withColumn(
+    """Each edge once per tile of its bounding box widened by ``reach``, dealt to tasks by the number of these tiles."""
+    cells = lambda a, b: (F.abs(F.col(a) - F.col(b)) + 2.0 * reach) / float(tile) + 1.0
+    dealt = spread(edges, cells("x1", "x2") * cells("y1", "y2"), *keys, "x1", "y1", per_task=TASK_POINTS)
+    return dealt.withColumn(
         "_tx", _tiles_between(F.least("x1", "x2") - reach, F.greatest("x1", "x2") + reach, tile)
     ).withColumn(
         "_ty", _tiles_between(F.least("y1", "y2") - reach, F.greatest("y1", "y2") + reach, tile)
@@ -96,7 +101,8 @@ def points_in_polygons(
         F.coalesce("_border", F.lit(False)).alias("_border"),
     )
     geometry = tiles.join(tiled_edges, [key, "_tx", "_ty"], "left")
-    placed = points.select(
+    dealt = spread(points.select(point_id, "x", "y"), 1, point_id, per_task=TASK_POINTS)
+    placed = dealt.select(
         point_id, "x", "y", _tile_of("x", tile).alias("_tx"), _tile_of("y", tile).alias("_ty")
     )
     px, py = F.col("x"), F.col("y")
@@ -134,7 +140,8 @@ def points_within_distance(
     distance."""
     tile = float(max(distance, tile))
     near_edges = _edges_by_tile(edges, tile, [key], reach=distance)
-    placed = points.select(
+    dealt = spread(points.select(point_id, "x", "y"), 1, point_id, per_task=TASK_POINTS)
+    placed = dealt.select(
         point_id, "x", "y", _tile_of("x", tile).alias("_tx"), _tile_of("y", tile).alias("_ty")
     )
     d = point_segment_distance(*(F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2")))
@@ -188,8 +195,12 @@ def near_line_flag(
         point_segment_distance(c["u1"], c["v1"], c["x1"], c["y1"], c["x2"], c["y2"]),
         point_segment_distance(c["u2"], c["v2"], c["x1"], c["y1"], c["x2"], c["y2"]),
     )
+    # Boxes first: most pairs of a tile are far apart, and the distances cost much more than a comparison.
+    slack = distance * (1.0 + 1e-9)
+    apart = lambda a, b, u, v: (F.least(a, b) - F.greatest(u, v) > slack) | (F.least(u, v) - F.greatest(a, b) > slack)
     close = (
         poly_tiles.join(broadcast_if_small(seg_tiles), ["_tx", "_ty"])
+        .where(~apart("x1", "x2", "u1", "u2") & ~apart("y1", "y2", "v1", "v2"))
         .where((d <= distance) | _segments_meet())
         .select(key)
     )

@@ -1,7 +1,7 @@
 """Operators that turn a row into many deal their input to tasks first; results are compared in other tests."""
 
 from firegrid import Grid
-from firegrid.operators import distance
+from firegrid.operators import distance, spatial_join
 from firegrid.session import spread
 
 
@@ -46,3 +46,22 @@ def test_bands_cut_no_cell_off(spark):
                 if d <= 3.0:
                     want[f, r, c] = d
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_points_and_edges_of_small_files_are_dealt(spark):
+    """Before, pairs were made by the single task that read the points or the polygons."""
+    zones = lines(spark, 300).selectExpr("feature_id", "0 AS part", "0 AS ring", "seq", "x1", "y1", "x2", "y2")
+    points = spark.range(50_000).coalesce(1).selectExpr("id AS point_id", "id % 3000 + 0.5D AS x", "-(id % 13000) - 0.5D AS y")
+    for df in (spatial_join.points_within_distance(points, zones, 60.0), spatial_join.near_line_flag(zones, lines(spark, 300), 120.0)):
+        assert "REPARTITION_BY_NUM" in plan(df)
+
+
+def test_lines_exactly_at_the_distance_are_near(spark):
+    """Boxes are compared before distances; neither the limit nor a diagonal neighbour may be lost."""
+    box = [(0.0, 0.0, 10.0, 0.0), (10.0, 0.0, 10.0, 10.0), (10.0, 10.0, 0.0, 10.0), (0.0, 10.0, 0.0, 0.0)]
+    rows = [(f, 0, 0, i, a + 1e4 * f, b, c + 1e4 * f, d) for f in range(5) for i, (a, b, c, d) in enumerate(box)]
+    zones = spark.createDataFrame(rows, "feature_id int, part int, ring int, seq int, x1 double, y1 double, x2 double, y2 double")
+    away = [(0, 12.5, -50.0, 12.5, 50.0), (1, 12.6, -50.0, 12.6, 50.0), (2, 11.5, 12.0, 40.0, 40.0), (3, 11.6, 12.0, 40.0, 40.0), (4, -20.0, 5.0, 30.0, 5.0)]
+    segs = spark.createDataFrame([(f, x1 + 1e4 * f, y1, x2 + 1e4 * f, y2) for f, x1, y1, x2, y2 in away], "feature_id int, x1 double, y1 double, x2 double, y2 double")
+    got = {r["feature_id"]: r["pod_line"] for r in spatial_join.near_line_flag(zones, segs, 2.5).collect()}
+    assert got == {0: "Line", 1: "Interior", 2: "Line", 3: "Interior", 4: "Line"}
