@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.common import half_even, missing_to_null
 from ..functions.utm import transformed
 from ..schema import Grid, require_columns
+from ..session import broadcast_if_small
 
 CELL = ["row", "col"]
 
@@ -43,7 +44,7 @@ def find_band(bands: DataFrame, pixels: DataFrame, name: str) -> DataFrame:
     """First band (by ``band_index``) whose name contains ``name``, ignoring case.
 
     Rasters with a single band are returned as they are. ``bands`` is the catalog
-    ``(raster_id, band_index, band)``.
+    ``(raster_id, band_index, band)``; the chosen bands are broadcast if few, so that the pixels stay where they are.
     """
     order = Window.partitionBy("raster_id").orderBy(
         (~F.lower("band").contains(name.lower())).cast("int"), "band_index"
@@ -62,7 +63,7 @@ def find_band(bands: DataFrame, pixels: DataFrame, name: str) -> DataFrame:
         )
         .select("raster_id", "band")
     )
-    return pixels.join(chosen, ["raster_id", "band"], "left_semi")
+    return pixels.join(broadcast_if_small(chosen), ["raster_id", "band"], "left_semi")
 
 
 def stack_bands(

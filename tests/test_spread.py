@@ -1,7 +1,7 @@
 """Operators that turn a row into many deal their input to tasks first; results are compared in other tests."""
 
 from firegrid import Grid
-from firegrid.operators import distance, spatial_join
+from firegrid.operators import algebra, distance, spatial_join
 from firegrid.session import spread
 
 
@@ -65,3 +65,12 @@ def test_lines_exactly_at_the_distance_are_near(spark):
     segs = spark.createDataFrame([(f, x1 + 1e4 * f, y1, x2 + 1e4 * f, y2) for f, x1, y1, x2, y2 in away], "feature_id int, x1 double, y1 double, x2 double, y2 double")
     got = {r["feature_id"]: r["pod_line"] for r in spatial_join.near_line_flag(zones, segs, 2.5).collect()}
     assert got == {0: "Line", 1: "Interior", 2: "Line", 3: "Interior", 4: "Line"}
+
+
+def test_pixels_of_a_band_stay_where_they_are(spark):
+    """All pixels of a raster's band have one key; a join by it moved and sorted them in a few tasks."""
+    px = spark.range(1000).selectExpr(
+        "'r' AS raster_id", "CAST(id % 3 AS INT) AS band_index", "concat('LC_', id % 3) AS band", "CAST(id AS INT) AS row", "0 AS col", "0D AS value"
+    )
+    found = algebra.find_band(px.select("raster_id", "band_index", "band").distinct(), px, "lc_1")
+    assert found.count() == 333 and "Exchange hashpartitioning" not in plan(found)
