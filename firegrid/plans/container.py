@@ -9,19 +9,38 @@ from ..operators.overlap import lookup_region
 from ..operators.rasterize import dissolve_spans, join_pixels
 from ..operators.treatment import apply_treatment
 from ..schema import require_columns
-from ..sources.documents import fspro_lines, paired_lines
+from ..session import checkpoint, spread
+from ..sources.documents import fspro_documents
 
+DOCUMENT_LINES = 64
 
-def _with_bundle(containers: DataFrame, region_spans: DataFrame, bundle: DataFrame) -> DataFrame:
-    regions = lookup_region(containers, region_spans, "container_id", "pyrome").select(
-        "container_id", "pyrome"
-    )
-    joined = regions.join(bundle, "pyrome", "left")
-    known = F.when(
-        F.col("erc_classes").isNull(),
+
+def _regions(containers: DataFrame, region_spans: DataFrame) -> DataFrame:
+    """(container_id, pyrome), stored: documents and manifest both read it."""
+    return checkpoint(lookup_region(containers, region_spans, "container_id", "pyrome").select("container_id", "pyrome"))
+
+
+def _known(probe: str):
+    """``pyrome`` as text; an error where the weather's column ``probe`` is missing."""
+    return F.when(
+        F.col(probe).isNull(),
         F.raise_error(F.concat(F.lit("no weather for region "), F.col("pyrome").cast("string"))),
     ).otherwise(F.col("pyrome").cast("string"))
-    return joined.withColumn("pyrome", known)
+
+
+def _with_weather(regions: DataFrame, bundle: DataFrame) -> DataFrame:
+    """Containers whose region has weather."""
+    return regions.join(bundle.select("pyrome", "erc_classes"), "pyrome", "left").withColumn("pyrome", _known("erc_classes"))
+
+
+def _document_lines(regions: DataFrame, bundle: DataFrame, ignition, **overrides) -> DataFrame:
+    """(container_id, line_no, line). Documents of one region differ in the last line only, so they are written once a
+    region; containers are dealt to tasks by their lines."""
+    documents = fspro_documents(bundle, "", **overrides)
+    joined = spread(regions, DOCUMENT_LINES, "container_id").join(documents, "pyrome", "left").withColumn("_pyrome", _known("lines"))
+    last = F.concat(F.element_at("lines", -1), ignition)
+    lines = F.when(F.col("_pyrome").isNotNull(), F.concat(F.slice("lines", 1, F.size("lines") - 1), F.array(last)))
+    return joined.select("container_id", F.posexplode(lines).alias("line_no", "line"))
 
 
 def container_ignitions(container_spans: DataFrame) -> DataFrame:
@@ -44,10 +63,11 @@ def prepare_containers(
     c0, c1)``.
     """
     require_columns(container_spans, ["container_id", "row", "c0", "c1"], "containers")
-    rows = _with_bundle(container_spans, region_spans, bundle)
+    regions = _regions(container_spans, region_spans)
+    rows = _with_weather(regions, bundle)
     folder = F.concat(F.lit(f"{out_dir}/"), F.col("container_id").cast("string"))
     ignition = F.concat(folder, F.lit("/ignitions/container_ignition.shp"))
-    lines = fspro_lines(rows, ignition, key="container_id", **overrides)
+    lines = _document_lines(regions, bundle, ignition, **overrides)
     lcp = F.lit(lcp_path) if lcp_path else F.concat(folder, F.lit(f"/lcp/{lf_year}.tif"))
     manifest = rows.select(
         "container_id", lcp.alias("lcp_path"), ignition.alias("ignition_path"),
@@ -92,10 +112,11 @@ def prepare_counterfactuals(
         inside, canopy, surface, canopy_scenario, surface_scenario,
         mask=F.col("_all").isNotNull(),
     ).drop("_all")
-    rows = _with_bundle(container_spans, region_spans, bundle)
+    regions = _regions(container_spans, region_spans)
+    rows = _with_weather(regions, bundle)
     folder = F.concat(F.lit(f"{out_dir}/"), F.col("container_id").cast("string"))
     ignition = F.concat(folder, F.lit("/ignitions/container_ignition.shp"))
-    lines = paired_lines(rows, ignition, seed, key="container_id", **overrides)
+    lines = _document_lines(regions, bundle, ignition, **{**overrides, "SPOTTING_SEED": seed})
     at = lambda tail: F.concat(folder, F.lit(tail))
     manifest = rows.select(
         "container_id", at(f"/baseline/lcp/{lf_year}.tif").alias("baseline_lcp_path"),

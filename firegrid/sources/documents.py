@@ -43,7 +43,7 @@ def _joined(values: Column, digits: int) -> Column:
     return F.concat_ws(" ", F.transform(values, lambda v: fixed(v, digits)))
 
 
-def fspro_lines(
+def fspro_documents(
     bundle: DataFrame,
     ignition_file: Column | str,
     key: str = "pyrome",
@@ -52,7 +52,7 @@ def fspro_lines(
     forecast: list[tuple] | None = None,
     **overrides,
 ) -> DataFrame:
-    """``(key, line_no, line)`` of the probability-run document of every bundle row.
+    """``(key, lines)``: the probability-run document of every bundle row; its last line names the ignition file.
 
     ``bundle`` rows hold ``wind_cells`` (speed x direction), ``calm_value``, ``erc_historic``
     (year x day), ``erc_avg``, ``erc_std``, ``erc_classes`` (structs), ``current_erc``. A document
@@ -106,7 +106,12 @@ def fspro_lines(
             F.concat(F.lit("IgnitionFile: "), ignition),
         ),
     ]
-    return bundle.select(key, F.posexplode(F.concat(*blocks)).alias("line_no", "line"))
+    return bundle.select(key, F.concat(*blocks).alias("lines"))
+
+
+def fspro_lines(bundle: DataFrame, ignition_file: Column | str, key: str = "pyrome", **settings) -> DataFrame:
+    """``(key, line_no, line)`` of :func:`fspro_documents`, which takes the ``settings``."""
+    return fspro_documents(bundle, ignition_file, key, **settings).select(key, F.posexplode("lines").alias("line_no", "line"))
 
 
 def paired_lines(bundle: DataFrame, ignition_file, seed: int = 617327, **overrides) -> DataFrame:

@@ -1,8 +1,14 @@
 """Operators that turn a row into many deal their input to tasks first; results are compared in other tests."""
 
+import pytest
+from pyspark.sql import functions as F
+from test_tables import bundle
+
 from firegrid import Grid
 from firegrid.operators import algebra, distance, spatial_join
+from firegrid.plans import container
 from firegrid.session import spread
+from firegrid.sources import documents
 
 
 def plan(df):
@@ -74,3 +80,18 @@ def test_pixels_of_a_band_stay_where_they_are(spark):
     )
     found = algebra.find_band(px.select("raster_id", "band_index", "band").distinct(), px, "lc_1")
     assert found.count() == 333 and "Exchange hashpartitioning" not in plan(found)
+
+
+def test_documents_are_written_once_a_region(spark):
+    """Before, every container's document was formatted anew, all of them by one task."""
+    spans = spark.createDataFrame([(1, 0, 0, 3), (2, 1, 2, 5)], "container_id int, row int, c0 int, c1 int")
+    regions = spark.createDataFrame([("9", 0, 0, 9), ("9", 1, 0, 9)], "pyrome string, row int, c0 int, c1 int")
+    lines, _ = container.prepare_containers(spans, regions, bundle(spark), "/out", 2022, NumFires=5)
+    assert "REPARTITION_BY_NUM" in plan(lines)
+    for i in (1, 2):
+        want = documents.fspro_lines(bundle(spark), f"/out/{i}/ignitions/container_ignition.shp", NumFires=5)
+        got = lines.where(f"container_id = {i}").select("line_no", "line")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select("line_no", "line").collect()))
+    lost = regions.withColumn("pyrome", F.lit("8"))
+    with pytest.raises(Exception, match="no weather for region 8"):
+        container.prepare_containers(spans, lost, bundle(spark), "/out", 2022)[0].collect()
