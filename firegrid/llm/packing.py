@@ -13,7 +13,6 @@ input are ignored.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,25 +23,37 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, fields, text_bytes
+from .common import Scratch, fields, lean
 
 CAPACITY = 4096
 GROUP_PIECES = 50_000
-_WORDS = 300_000
-_LEARNED_BYTES = 12_000_000
 # A word of Latin letters (none of which changes its length in lower case) and marks that the tokenizer takes as
 # one run behind it.
-_WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([.,;:!?*&%$#|\"]*)").fullmatch
+_WORD = "^(?P<word>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)(?P<marks>[.,;:!?*&%$#|\"]*)$"
+_LEARNED_WORDS = 20_000
+_GATHERED_CHUNKS = 250_000
+
+
+class Ragged:
+    """Runs of ids, one after the other in ``flat``."""
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray):
+        self.flat, self.sizes = flat, sizes
+        self.starts = np.cumsum(sizes) - sizes
+
+    def take(self, which: np.ndarray) -> Ragged:
+        sizes = self.sizes[which]
+        shift = self.starts[which] - (np.cumsum(sizes) - sizes)
+        return Ragged(self.flat[np.arange(int(sizes.sum())) + np.repeat(shift, sizes)], sizes)
 
 
 class ChunkIds:
-    """Ids of chunks between ASCII white space as little-endian bytes, remembered.
+    """Ids of chunks between ASCII white space.
 
     The tokenizer drops white space, looks at letters in lower case and never across white space or from
     letters to marks. So a text's ids are those of its chunks in order, and those of a word with
-    marks behind it are the word's and the marks'. New words are encoded together, each ends with the only
-    token that closes a word; any other chunk is encoded by itself. Words are remembered by the worker; the
-    memory is emptied when it outgrows its bound.
+    marks behind it are the word's and the marks'. Words are encoded together, each ends with the only
+    token that closes a word; any other chunk is encoded by itself. Nothing is remembered but the tokenizer.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -51,43 +62,45 @@ class ChunkIds:
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         size = self.tokenizer.get_vocab_size()
         self.closes = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        self.words: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
-
-    def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-
-    def _learn(self, words: list[str]) -> None:
-        """Ids of words of letters."""
-        if len(self.words) + len(words) > _WORDS:
-            self.words = {}
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
-            ids = self._encode(" ".join(part))
-            ends = 4 * (np.flatnonzero(self.closes[ids]) + 1)
-            if len(ends) != len(part):
+        # Words come in lower case and composed, which is all that the normalizer would see to.
+        self.normal = Tokenizer(self.tokenizer.model)
+        self.normal.pre_tokenizer = self.tokenizer.pre_tokenizer
+
+    def _encode(self, text: str, normal: bool = False) -> np.ndarray:
+        tokenizer = self.normal if normal else self.tokenizer
+        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _words(self, words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids and their numbers of an Arrow array of words of letters."""
+        for at in range(0, len(words), _LEARNED_WORDS):
+            part = words.slice(at, _LEARNED_WORDS).to_pylist()
+            ids = self._encode(" ".join(part), normal=True)
+            sizes = np.diff(np.flatnonzero(self.closes[ids]), prepend=-1)
+            if len(sizes) != len(part) or sizes.sum() != len(ids):
                 raise ValueError("a word of letters is not one word to this tokenizer")
-            data, ends = ids.tobytes(), ends.tolist()
-            self.words.update(zip(part, (data[x:y] for x, y in zip([0, *ends], ends))))
-
-    def chunk_ids(self, chunks: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of distinct chunks."""
-        found, split = {}, []
-        for chunk in chunks:
-            text = chunk.decode("utf-8", "replace")
-            if match := _WORD(text):
-                word, marks = match.groups()
-                split.append((chunk, word.lower(), marks))
-            else:
-                found[chunk] = self._encode(text).tobytes()
-        wanted = {w for _, w, _ in split}
-        new = wanted - self.words.keys()
-        self._learn(list(new if len(self.words) + len(new) <= _WORDS else wanted))
-        words, marks = self.words, self.marks
-        for m in {m for _, _, m in split} - marks.keys():
-            marks[m] = self._encode(m).tobytes()
-        found.update((chunk, words[w] + marks[m] if m else words[w]) for chunk, w, m in split)
-        return found
+            yield ids, sizes
+
+    def chunk_ids(self, chunks) -> Ragged:
+        """Ids of an Arrow array of distinct chunks."""
+        import pyarrow.compute as pc
+
+        split = pc.extract_regex(chunks, _WORD)
+        plain = pc.is_valid(split)
+        words = pc.utf8_lower(pc.struct_field(split.filter(plain), "word")).dictionary_encode()
+        marks = pc.struct_field(split.filter(plain), "marks").dictionary_encode()
+        odd = chunks.filter(pc.invert(plain)).cast("binary").to_pylist()
+        others = [self._encode(m) for m in marks.dictionary.to_pylist()] + [self._encode(c.decode("utf-8", "replace")) for c in odd]
+        runs = list(self._words(words.dictionary)) + [(ids, np.array([len(ids)])) for ids in [*others, np.empty(0, "<u4")]]
+        parts = Ragged(np.concatenate([ids for ids, _ in runs]), np.concatenate([sizes for _, sizes in runs]))
+        # A chunk is two parts: a word and its marks, or an odd chunk and nothing, the last part.
+        plain = plain.to_numpy(zero_copy_only=False)
+        n_words, n_marks = len(words.dictionary), len(marks.dictionary)
+        pairs = np.full((len(chunks), 2), len(parts.sizes) - 1)
+        pairs[plain, 0] = words.indices.to_numpy()
+        pairs[plain, 1] = marks.indices.to_numpy() + n_words
+        pairs[~plain, 0] = np.arange(len(odd)) + n_words + n_marks
+        both = parts.take(pairs.ravel())
+        return Ragged(both.flat, both.sizes.reshape(-1, 2).sum(axis=1))
 
 
 @lru_cache(maxsize=1)
@@ -95,17 +108,25 @@ def _chunk_ids(tokenizer_path: str) -> ChunkIds:
     return ChunkIds(tokenizer_path)
 
 
-def _ids(chunks: ChunkIds, texts: list[bytes | None], closing_id: int) -> Iterator[bytes]:
-    """Ids of each text, learned for some megabytes of text at a time."""
-    held: list[list[bytes]] = []
-    size, closing = 0, np.array([closing_id], "<u4").tobytes()
-    for i, text in enumerate(texts):
-        held.append((text or b"").split())
-        size += len(text or b"")
-        if size > _LEARNED_BYTES or i == len(texts) - 1:
-            known = chunks.chunk_ids(set().union(*held))
-            yield from (b"".join(map(known.__getitem__, c)) + closing for c in held)
-            held, size = [], 0
+def _ids(chunk_ids: ChunkIds, texts, closing_id: int) -> Iterator[np.ndarray]:
+    """Ids of each text of an Arrow array."""
+    import pyarrow.compute as pc
+
+    split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    ends = split.offsets.to_numpy()[1:] - split.offsets[0].as_py()
+    coded = split.flatten().dictionary_encode()
+    del split
+    known = chunk_ids.chunk_ids(coded.dictionary)
+    known = Ragged(np.append(known.flat, np.array([closing_id], "<u4")), np.append(known.sizes, 1))
+    closing, which = len(known.sizes) - 1, coded.indices.to_numpy()
+    first = begin = 0
+    while first < len(ends):
+        last = max(first + 1, int(np.searchsorted(ends, begin + _GATHERED_CHUNKS, "right")))
+        own = ends[first:last] - begin
+        found = known.take(np.insert(which[begin : ends[last - 1]], own, closing))
+        after = np.cumsum(found.sizes)[own + np.arange(len(own))]
+        yield from np.split(found.flat, after[:-1])
+        first, begin = last, int(ends[last - 1])
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, closing_id: int = 1) -> DataFrame:
@@ -116,15 +137,14 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     def pieces(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        chunks = _chunk_ids(tokenizer_path)
-        width = 4 * capacity
+        chunk_ids = _chunk_ids(tokenizer_path)
         for batch in batches:
             source, rows = [], []
-            for i, ids in enumerate(_ids(chunks, text_bytes(batch.column("text")), closing_id)):
-                for p, at in enumerate(range(0, len(ids), width)):
-                    part = ids[at : at + width]
+            for i, ids in enumerate(_ids(chunk_ids, batch.column("text"), closing_id)):
+                for p, at in enumerate(range(0, len(ids), capacity)):
+                    part = ids[at : at + capacity]
                     source.append(i)
-                    rows.append((p, at // 4, len(part) // 4, zlib.crc32(part)))
+                    rows.append((p, at, len(part), zlib.crc32(part)))
             columns = list(zip(*rows)) or [()] * 4
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(pa.array(source, pa.int64())), pa.array(columns[0], pa.int32())]
@@ -132,7 +152,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
                 names=schema.names,
             )
 
-    return docs.select("doc_id", "text").mapInArrow(pieces, schema)
+    return docs.select("doc_id", "text").mapInArrow(lean(pieces), schema)
 
 
 def best_fit(lengths: np.ndarray, capacity: int, order: np.ndarray | None = None) -> list[list[int]]:

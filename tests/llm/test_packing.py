@@ -1,7 +1,9 @@
+import tracemalloc
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import doc, docs_frame, words
 from tokenizers import Tokenizer
@@ -33,6 +35,35 @@ def test_ids_cuts_and_places(spark, group_pieces):
         assert len(sequences) <= -(-sum(r["length"] for r in rows) // 4096) + 1
 
 
+def test_ids_of_odd_chunks():
+    """Chunks that are no word of Latin letters, and letters that change in lower case or when composed."""
+    texts = ["", None, " ", "  a  b\t\nc\x0b\x0cd\r", "\u0130stanbul \u0130 ISTANBUL", "it's don't \u00c0\u00c9 \u023a\u2c65 \u01c4 \u01c5 \u017f \u00df \u1e9e",
+             "e\u0301 ae\u0301a \u212b \ufb01", "a\u00a0b a\u2003b x\u3000y", "\u4e2d\u6587 test\u4e2d\u6587", 'x.. y,,!? #a a# a#b 1234 12a "q"', "''s 's", "a" * 5000,
+             "<|endoftext|> a<|startoftext|>b </w>", "a\x1fb a\x85b a\x00b", "word&&& $%$ a|b|", "\u0661\u0662 \u00bd \U0001f600 a\U0001f600", "Caf\u00c9, caf\u00e9 CAF\u00c9!"]
+    tokenizer, chunk_ids = Tokenizer.from_file(tokenizer_path()), packing.ChunkIds(tokenizer_path())
+    expected = [tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+    for own in (slice(None), slice(3, 9), slice(1, 2), slice(0, 0)):
+        assert [x.tolist() for x in packing._ids(chunk_ids, pa.array(texts, pa.string())[own], 1)] == expected[own]
+    again = [x.tolist() for x in packing._ids(chunk_ids, pa.array(texts * 40, pa.large_string()), 1)]
+    assert again == expected * 40
+
+
+def test_texts_take_little_memory_and_leave_none():
+    """Millions of words of a batch are no Python objects, and a worker remembers no words."""
+    draw = np.random.default_rng(0)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    known = ["".join(w) for w in draw.choice(letters, (60_000, 6))]
+    texts = pa.array([" ".join(known[i] for i in draw.integers(0, len(known), 50_000)) for _ in range(24)])
+    chunk_ids = packing.ChunkIds(tokenizer_path())
+    tracemalloc.start()
+    try:
+        assert sum(map(len, packing._ids(chunk_ids, texts, 1))) > 1_200_000
+        held, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert held < 1_000_000 and peak < 50_000_000
+
+
 def test_exchanges_reach_the_lower_bound():
     """Best fit needs three bins here; one-for-one and two-for-one exchanges need two."""
     lengths = np.array([5, 4, 3, 3, 3, 2])
