@@ -299,7 +299,7 @@ def repeated_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 names=schema.names,
             )
 
-    return _marked(docs.select("doc_id", "text"), window).mapInArrow(counted, schema)
+    return _marked(docs.select("doc_id", "text"), window).mapInArrow(lean(counted), schema)
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -327,4 +327,4 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 columns.append(column)
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(stay, pa.bool_()))
 
-    return restore(_marked(docs, window).mapInArrow(kept_rows, schema))
+    return restore(_marked(docs, window).mapInArrow(lean(kept_rows), schema))

@@ -5,11 +5,12 @@ import zlib
 
 import corpus_pipeline
 import numpy as np
+from helpers import docs_frame
 from test_jaccard import plain as plain_components
 from test_substring import plain as plain_removed
 from tokenizers import Tokenizer
 
-from firegrid.llm import mixing, quality
+from firegrid.llm import common, mixing, packing, quality, substring
 from firegrid.llm.common import Scratch
 from firegrid.llm.queries import QUERIES, SQL, tokenizer_path
 
@@ -54,6 +55,20 @@ def test_each_stage_against_plain_python(spark):
         docs = out
 
 
+def test_workers_give_memory_back_after_texts(spark, monkeypatch):
+    """Workers live on from stage to stage, so no task over texts may keep what it freed."""
+    lean, given, made = common.lean, [], []
+    frame = docs_frame(spark)
+    plain = type(frame).mapInArrow
+    for module in (substring, packing):
+        monkeypatch.setattr(module, "lean", lambda task: made.append(lean(task)) or made[-1])
+    monkeypatch.setattr(type(frame), "mapInArrow", lambda df, task, *args, **options: given.append(task) or plain(df, task, *args, **options))
+    substring.without_repeats(frame)
+    substring.repeated_words(frame)
+    packing.token_pieces(frame, tokenizer_path())
+    assert len(given) >= 7 and all(task in made for task in given)
+
+
 def test_queries_are_registered():
     import __spark_entry__ as entry
 
